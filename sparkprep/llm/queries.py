@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from sparkprep.llm import langid, mixing
+from sparkprep.llm import archive, langid, mixing, packing
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op6_language_id": langid.query,
     "op8_mix_sources": mixing.query,
+    "op9_warc": archive.query,
 }
 ORACLE_SQL = {
     "op8_mix_sources": mixing.SQL,
+    "op9_warc": archive.SQL,
 }
