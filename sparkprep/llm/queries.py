@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkprep.llm import archive, langid, mixing, packing
+from sparkprep.llm import archive, langid, mixing, packing, simjoin
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_ngram_jaccard_join": simjoin.query,
     "op6_language_id": langid.query,
     "op8_mix_sources": mixing.query,
     "op9_warc": archive.query,
