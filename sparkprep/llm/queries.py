@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkprep.llm import archive, langid, mixing, packing, simjoin
+from sparkprep.llm import archive, langid, mixing, packing, simjoin, vectors
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_language_id": langid.query,
     "op8_mix_sources": mixing.query,
     "op9_warc": archive.query,
+    "op10_nearest_neighbours": vectors.query,
 }
 ORACLE_SQL = {
     "op8_mix_sources": mixing.SQL,
