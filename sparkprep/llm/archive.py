@@ -49,7 +49,10 @@ def write(pages: DataFrame, revisit_from: int = 1000, key: str = "page_id", url:
     # Each payload comes from the rows of its owner alone; a payload of null ids only from any of its rows.
     chosen = owners.select(F.col("sha256").alias("address"), F.col("owner"))
     own = rows.withColumn("sha256", F.sha2("payload", 256)).join(chosen, (F.col("sha256") == F.col("address")) & F.col("id").eqNullSafe(F.col("owner")), "left_semi")
-    payloads = materialize(own.groupBy("sha256").agg(F.first("payload").alias("payload")), "warc-payloads")
+    own = own.select("sha256", "payload")
+    if not digests.groupBy("sha256", "id").count().filter("count > 1").isEmpty():  # rows that repeat an id and a payload
+        own = own.groupBy("sha256").agg(F.first("payload").alias("payload"))
+    payloads = materialize(own, "warc-payloads")
     return headers, payloads
 
 
