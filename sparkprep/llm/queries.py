@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkprep.llm import archive, fingerprints, langid, mixing, packing, simjoin, vectors
+from sparkprep.llm import archive, fingerprints, langid, mixing, packing, pitman_yor, simjoin, vectors
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_ngram_jaccard_join": simjoin.query,
+    "op3_pitman_yor_scores": pitman_yor.query,
     "op4_fingerprints": fingerprints.query,
     "op6_language_id": langid.query,
     "op8_mix_sources": mixing.query,
