@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkprep.llm import archive, fingerprints, langid, mixing, packing, pitman_yor, simjoin, vectors
+from sparkprep.llm import archive, fingerprints, langid, mixing, packing, pitman_yor, quality, simjoin, vectors
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_ngram_jaccard_join": simjoin.query,
     "op3_pitman_yor_scores": pitman_yor.query,
     "op4_fingerprints": fingerprints.query,
+    "op5_quality": quality.query,
     "op6_language_id": langid.query,
     "op8_mix_sources": mixing.query,
     "op9_warc": archive.query,
