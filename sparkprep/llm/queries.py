@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkprep.llm import archive, fingerprints, langid, mixing, packing, pitman_yor, quality, simjoin, vectors
+from sparkprep.llm import archive, fingerprints, langid, line_dedup, mixing, packing, pitman_yor, quality, simjoin, vectors
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fingerprints": fingerprints.query,
     "op5_quality": quality.query,
     "op6_language_id": langid.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_mix_sources": mixing.query,
     "op9_warc": archive.query,
     "op10_nearest_neighbours": vectors.query,

@@ -159,7 +159,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity(s: np.ndarray) -> bytes:
-    width = 1 << max(8, (4 * len(s) - 1).bit_length())
+    width = 1 << max(8, (len(s) - 1).bit_length())
     return np.packbits(np.bincount((mix(s) % np.uint64(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1).tobytes()
 
 
@@ -378,7 +378,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", te
     # A set is known by its first document; equal sets need no comparison.
     reps = materialize(meta.filter("n > 0").groupBy("node", "check").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
     nodes = reps.dropDuplicates(["node"]).select("node", "n", "bits")
-    lists = found.filter("sig IS NOT NULL").groupBy("members").agg(F.min("sig").alias("sig")).withColumn("blocks", F.ceil(F.size("members") / BLOCK).cast("int"))
+    lists = found.filter("sig IS NOT NULL").withColumn("blocks", F.ceil(F.size("members") / BLOCK).cast("int"))
     short = lists.filter("blocks <= 2").select(F.struct(F.col("sig"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("list"), F.lit(0).alias("side"), F.explode("members").alias("node"))
     # Long lists: every pair of blocks of their members meets in a task of its own.
     long = lists.filter("blocks > 2").select("sig", "blocks", F.posexplode("members").alias("at", "node")).withColumn("block", F.pmod("at", "blocks"))
@@ -418,5 +418,16 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", te
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """A pipeline stage: of each group of near duplicates the document with the smallest id stays."""
+    groups = materialize(join(docs), "groups")
+    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"))
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if not repeated.isEmpty():  # rows that repeat an id and a text
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), k=4, percent=85)
