@@ -40,7 +40,7 @@ def duplicate_lines_score(t: Column) -> Column:
     return F.when(n <= 1, 1.0).when(repeated > 0.5, 0.2).otherwise(1 - repeated)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def byte_entropy(texts: pd.Series) -> pd.Series:
     """Shannon entropy of the bytes, in bits: one histogram per text, where expressions would need a row per byte."""
 
