@@ -9,8 +9,9 @@ share no signature, each is missing so many tokens of the other that their overl
 
 Documents with equal sets are one node. In each posting list with two or more nodes, pairs are bounded
 by parity bitmaps (the Hamming distance of two parity bitmaps never exceeds the symmetric difference, so
-no link is lost). Instead of all pairs a star per group of alike nodes is verified first; then only
-pairs that are still in different components are. Verification intersects the whole token sets.
+no link is lost). Instead of all pairs a star per group of alike nodes is verified first, then one pair per
+node and list between different components, and last all pairs that still are in different components.
+Verification intersects the whole token sets.
 
 Defined cases: null text, or text without words, has an empty set and no links; fewer words than a
 shingle form one token; equal sets are linked however many there are; rows that repeat an id are all
@@ -124,7 +125,7 @@ def frequent_tokens(docs: DataFrame, text: str, k: int, most: int = MOST_FREQUEN
 
 
 # ------------------------------------------------------------------ signatures
-def _classes(size: int, cut: int) -> int:
+def _classes(cut: int) -> int:
     return max(1, (1 << cut) // 32)
 
 
@@ -143,7 +144,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
             if cut < 3:  # a few tokens: singles of the frequent class, too
                 out.append(mix(often[:left] ^ _K2))
                 continue
-            group = (mix(often) % np.uint64(_classes(n, cut))).astype(np.int64)
+            group = (mix(often) % np.uint64(_classes(cut))).astype(np.int64)
             _, first = np.unique(group, return_index=True)
             worth = np.ones(len(often), np.int64)
             worth[first] = 0
@@ -282,12 +283,12 @@ def _near(bits: list[np.ndarray], sizes: np.ndarray, i: int, js: np.ndarray, per
     return np.concatenate(good) if good else js[:0]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
     """Sorted rows (list, side, node, n, bits, component) -> pairs to verify.
 
     Without components, a star around the first of each group of alike nodes, and a pair at least for
-    every node that has an alike one; with components, every pair of nodes of two components that the
-    bitmaps allow.
+    every node that has an alike one; with components, for a node the first other that is alike and of
+    another component, or with ``every`` all of them.
     """
     seen: set[tuple[int, int]] = set()
 
@@ -323,7 +324,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                 js = np.arange(i + 1, len(rows))
                 js = js[(comp[js] != comp[i]) & ((side[js] != side[i]) | ~mixed)]
                 if len(js):
-                    out += [(nodes[i], nodes[j]) for j in _near(bits, sizes, i, js, percent)]
+                    near = _near(bits, sizes, i, js, percent)
+                    out += [(nodes[i], nodes[j]) for j in (near if every else near[:1])]
         return out
 
     now, rows = None, []
@@ -344,11 +346,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*dict.fromkeys(out), strict=True)], ["a", "b"])
 
 
-def _candidates(entries: DataFrame, nodes: DataFrame, percent: int, labels: DataFrame | None) -> DataFrame:
+def _candidates(entries: DataFrame, nodes: DataFrame, percent: int, labels: DataFrame | None, every: bool = False) -> DataFrame:
     rows = entries.join(nodes, "node")
     rows = rows.withColumn("component", F.lit(None).cast("long")) if labels is None else rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.select("list", "side", "node", "n", "bits", "component").repartition(partitions(entries.sparkSession), "list").sortWithinPartitions("list", "side")
-    return rows.mapInArrow(lambda it: _pairs(it, percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.mapInArrow(lambda it: _pairs(it, percent, every), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -406,13 +408,16 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", te
     sets = materialize(sets.mapInArrow(fetch, f"id {kind}, node long, tokens binary"), "tokens")
     links = materialize(_verify(pairs, sets, percent), "links")
     label = components(links, "u", "v")
-    by_node = reps.join(label, reps.id == label.node).select(reps.node, "component")
-    by_node = by_node.groupBy("node").agg(F.min("component").alias("component"))
-    # Names of components in node terms: any value will do, as long as equal means equal.
-    more = _candidates(entries, nodes, percent, materialize(by_node.withColumn("component", F.xxhash64("component")), "labels"))
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    links = materialize(links.unionByName(_verify(more, sets, percent)), "links")
-    label = components(links, "u", "v").select(F.col("node").alias("_id"), "component")
+    for every in (False, True):  # few pairs join most of what belongs together; then all that are left are tried
+        by_node = reps.join(label, reps.id == label.node).select(reps.node, "component")
+        by_node = by_node.groupBy("node").agg(F.min("component").alias("component"))
+        # Any name of a component will do, as long as equal means equal.
+        named = materialize(by_node.withColumn("component", F.xxhash64("component")), "labels")
+        more = materialize(_candidates(entries, nodes, percent, named, every).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = materialize(links.unionByName(_verify(more, sets, percent)), "links")
+        pairs = pairs.unionByName(more)
+        label = components(links, "u", "v")
+    label = label.select(F.col("node").alias("_id"), "component")
     named = reps.join(label, reps.id == F.col("_id"), "left").select(F.col("node").alias("_node"), F.col("check").alias("_check"), F.coalesce("component", "id").alias("component"))
     out = meta.join(named, (meta.node == F.col("_node")) & (meta.check == F.col("_check")) & (meta.n > 0), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
