@@ -126,7 +126,7 @@ def frequent_tokens(docs: DataFrame, text: str, k: int, most: int = MOST_FREQUEN
 
 # ------------------------------------------------------------------ signatures
 def _classes(cut: int) -> int:
-    return max(1, (1 << cut) // 32)
+    return max(1, (1 << cut) // 8)
 
 
 def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
