@@ -69,14 +69,14 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return mix(leaf * _K + tail), counts, per_row
 
 
-def _lines(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, text):
             t, n, per_row = templates(part.column(text))
             owner = np.repeat(np.arange(part.num_rows), per_row)
             stop = np.cumsum(per_row)
             place = np.arange(len(t)) - np.repeat(stop - per_row, per_row)
-            whole = part.column("_hash").to_numpy().view(np.uint64)[owner]
+            whole = part.column("__sp_hash").to_numpy().view(np.uint64)[owner]
             with np.errstate(over="ignore"):
                 before, after = mix(whole + np.uint64(1)), mix(whole + np.uint64(2))
             inner = place > 0
@@ -85,34 +85,34 @@ def _lines(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             after[inner] = t[np.flatnonzero(inner) + 1]
             use = np.flatnonzero(n >= MIN_TOKENS)
             at = pa.array(owner[use])
-            yield pa.RecordBatch.from_arrays([part.column("_key").take(at), part.column("_hash").take(at), pa.array(place[use].astype(np.int32)), *(pa.array(x[use].view(np.int64)) for x in (t, before, after))], ["_key", "_hash", "place", "template", "before", "after"])
+            yield pa.RecordBatch.from_arrays([part.column("__sp_key").take(at), part.column("__sp_hash").take(at), pa.array(place[use].astype(np.int32)), *(pa.array(x[use].view(np.int64)) for x in (t, before, after))], ["__sp_key", "__sp_hash", "place", "template", "before", "after"])
 
 
 def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_key, _hash, places): the lines to drop of the documents that lose any."""
+    """(__sp_key, __sp_hash, __sp_places): the lines to drop of the documents that lose any."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text)).filter(F.col(text).isNotNull())
-    lines = materialize(rows.mapInArrow(lambda it: _lines(it, text), f"_key {kind}, _hash long, place int, template long, before long, after long"), "lines")
-    first = F.min(F.struct(F.col("_key").isNull(), F.col("_key"), F.col("_hash"), F.col("place")))
+    rows = docs.select(F.col(key).alias("__sp_key"), F.xxhash64(text).alias("__sp_hash"), F.col(text)).filter(F.col(text).isNotNull())
+    lines = materialize(rows.mapInArrow(lambda it: _places(it, text), f"__sp_key {kind}, __sp_hash long, place int, template long, before long, after long"), "lines")
+    first = F.min(F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place")))
     found = lines.groupBy("template").agg(F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"), first.alias("first"))
     recurring = found.filter("b0 <> b1 AND a0 <> a1").select("template", "first")
-    kept = F.struct(F.col("_key").isNull(), F.col("_key"), F.col("_hash"), F.col("place"))
+    kept = F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place"))
     lost = lines.join(recurring, "template").filter(~kept.eqNullSafe(F.col("first")))
-    return lost.groupBy("_key", "_hash").agg(F.collect_set("place").alias("places"))
+    return lost.groupBy("__sp_key", "__sp_hash").agg(F.collect_set("place").alias("__sp_places"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the recurring lines taken out of text, and the number of lines before (_lines) and dropped (_dropped)."""
-    lost = drops(docs, key, text).withColumnRenamed("_hash", "_h")
-    both = docs.withColumn("_hash", F.xxhash64(text)).join(lost, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_h")), "left")
+    """docs with the recurring lines taken out of text, and the number of lines before (__sp_lines) and dropped (__sp_dropped)."""
+    lost = drops(docs, key, text).withColumnRenamed("__sp_hash", "__sp_h")
+    both = docs.withColumn("__sp_hash", F.xxhash64(text)).join(lost, F.col(key).eqNullSafe(F.col("__sp_key")) & (F.col("__sp_hash") == F.col("__sp_h")), "left")
     names = docs.columns
-    schema = T.StructType([*docs.schema, T.StructField("_lines", T.LongType()), T.StructField("_dropped", T.LongType())])
+    schema = T.StructType([*docs.schema, T.StructField("__sp_lines", T.LongType()), T.StructField("__sp_dropped", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
         for batch in batches:
             for part in slices(batch, text):
-                texts, places = part.column(text).to_pylist(), part.column("places").to_pylist()
+                texts, places = part.column(text).to_pylist(), part.column("__sp_places").to_pylist()
                 total, gone = [], []
                 for i, (x, p) in enumerate(zip(texts, places, strict=True)):
                     total.append(0 if x is None else x.count("\n") + 1)
@@ -124,17 +124,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 columns[at] = pa.array(texts, part.schema.field(text).type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], schema.names)
 
-    return both.select(*names, "places").mapInArrow(cut, schema)
+    return both.select(*names, "__sp_places").mapInArrow(cut, schema)
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """A pipeline stage: documents without their recurring lines; those with nothing left go."""
-    cut = dedup(docs).filter("_dropped = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    cut = dedup(docs).filter("__sp_dropped = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col("__sp_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+    return cut.select("doc_id", F.col("__sp_lines").alias("n_lines"), F.col("__sp_dropped").alias("n_dropped"), F.sha2(F.col("text"), 256).alias("text_sha256"))

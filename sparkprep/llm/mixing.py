@@ -74,9 +74,9 @@ def mix(docs: DataFrame, weights: list[int], max_epochs: int = 3, seed: int = 17
 
 def repeat(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents as often as mix() says; the columns of docs are kept. Rows that repeat a key are taken alike."""
-    times = mixed.filter(F.col("times") > 0).groupBy(F.col(key).alias("_key")).agg(F.max("times").alias("_times"))
-    out = docs.join(times, F.col(key).eqNullSafe(F.col("_key")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = mixed.filter(F.col("times") > 0).groupBy(F.col(key).alias("__sp_key")).agg(F.max("times").alias("__sp_times"))
+    out = docs.join(times, F.col(key).eqNullSafe(F.col("__sp_key")))
+    return out.withColumn("__sp_copy", F.explode(F.sequence(F.lit(1), F.col("__sp_times")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -426,8 +426,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", te
 def keep(docs: DataFrame) -> DataFrame:
     """A pipeline stage: of each group of near duplicates the document with the smallest id stays."""
     groups = materialize(join(docs), "groups")
-    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__sp_id"))
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__sp_id")), "left_semi")
     repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if not repeated.isEmpty():  # rows that repeat an id and a text
         out = out.dropDuplicates(["doc_id", "text"])
