@@ -1,0 +1,405 @@
+"""Every operator against a brute-force version, an exact round trip, or held-out accuracy; and the awkward cases."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkprep.llm import archive, components, fingerprints, langid, line_dedup, mixing, packing, pitman_yor, quality, simjoin, vectors
+from sparkprep.llm.common import crc_mod
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def words(t):
+    return WORD.findall(lower(t))
+
+
+def rows(corpus):
+    return [(r.doc_id, r.text) for r in corpus.select("doc_id", "text").collect()]
+
+
+# ------------------------------------------------------------------ 1
+def test_packing_round_trip(spark, corpus, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    special = spark.createDataFrame([(9100, "a <|endoftext|> b")], "doc_id long, text string")
+    got = packing.pack(corpus.select("doc_id", "text").unionByName(special), path, width=256).collect()
+    pieces = collections.defaultdict(list)
+    for r in got:
+        pieces[r.doc_id].append(r)
+        assert r.length * 4 == len(r.ids) and r.ids_crc32 == zlib.crc32(r.ids) and 0 < r.length <= 256 and r.offset + r.length <= 256
+    for i, text in [*rows(corpus), (9100, "a <|endoftext|> b")]:
+        p = sorted(pieces[i], key=lambda r: r.start)
+        ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in p])
+        assert [r.start for r in p] == np.cumsum([0, *[r.length for r in p]])[:-1].tolist()
+        assert ids.tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 0] and p[0].doc_tokens == len(ids)
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for s, x in sequences.items():
+        x.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False)) and x[0][0] == 0
+        assert s == len(sequences) - 1 or sum(n for _, n in x) == 256
+    assert packing.pack(empty, path).count() == 0
+    assert packing.padded_length(512) == 512 and packing.padded_length(513) == 1024
+
+
+# ------------------------------------------------------------------ 2
+def brute_join(pairs, k, percent):
+    sets = {i: frozenset(zip(*[w[j:] for j in range(k)], strict=False)) if len(w := words(t)) >= k else frozenset([tuple(w)] if w else []) for i, t in pairs}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if shared and 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("k", "percent", "most"), [(4, 85, 1 << 20), (2, 80, 50), (5, 60, 1 << 20)])
+def test_join_equals_brute_force(spark, corpus, monkeypatch, k, percent, most):
+    monkeypatch.setattr(simjoin, "MIN_DF", 3)
+    base = [t.split() for _, t in rows(corpus.filter("length(text) > 400").limit(3))]
+    rng = np.random.default_rng(7)
+    near = []
+    for n in range(60):  # groups around the limit, of various sizes
+        w = list(base[n % 3])[: 40 + 7 * (n % 5)]
+        for at in rng.integers(0, len(w), 1 + n % 4):
+            w[at] = f"edit{n}"
+        near.append((20000 + n, " ".join(w)))
+    docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.join(docs, k, percent, most_frequent=most).collect()}
+    assert got == brute_join(rows(docs), k, percent)
+
+
+def test_signatures_meet(monkeypatch):
+    """Any two sets at the limit share a signature, whatever tokens are frequent."""
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 40), 64, 100, 333]:
+        for _ in range(6):
+            pool = np.unique(rng.integers(1, 2**63, 3 * n, dtype=np.uint64))
+            x = np.sort(rng.permutation(pool)[:n])
+            m = int(rng.integers(0, n // 5 + 1))
+            y = np.sort(np.concatenate([rng.permutation(x)[m:], rng.integers(1, 2**63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)]))
+            shared = len(np.intersect1d(x, y))
+            if 100 * shared < 80 * (len(x) + len(y) - shared):
+                continue
+            often = rng.random() < 0.5
+            mark = lambda s: (s % np.uint64(10) < 8) if often else np.ones(len(s), bool)  # noqa: B023, E731
+            assert len(np.intersect1d(simjoin.signatures(x, mark(x), 80), simjoin.signatures(y, mark(y), 80)))
+            bits = [np.frombuffer(simjoin.parity(s), np.uint64) for s in sorted((x, y), key=len, reverse=True)]
+            assert len(simjoin._near(bits, np.array(sorted((len(x), len(y)), reverse=True)), 0, np.array([1]), 80)) == 1
+
+
+def test_join_of_repeated_and_null_ids(spark, empty):
+    t = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    df = spark.createDataFrame([(3, t), (3, t), (None, t), (5, t + " z2"), (7, "other words are here now")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simjoin.join(df).collect()), key=str)
+    assert got == [(3, 3), (3, 3), (5, 3), (7, 7), (None, 3)]
+    assert simjoin.join(empty).count() == 0
+    full = df.select("*", F.lit("en").alias("lang"))
+    assert sorted(r.doc_id for r in simjoin.keep(full).collect()) == [3, 7]
+
+
+def test_long_lists_are_cut_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "BLOCK", 8)
+    monkeypatch.setattr(simjoin, "MIN_DF", 3)
+    base = [f"t{i}" for i in range(120)]
+    rng = np.random.default_rng(2)
+    data = []
+    for n in range(50):
+        w = list(base)
+        for at in rng.integers(0, 120, 3):
+            w[at] = f"e{n}"
+        data.append((n, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.join(df, 3, 80).collect()}
+    assert got == brute_join(data, 3, 80)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(0, 40)] + [(100 + i, 100) for i in range(1, 30)] + [(200, 201)]
+    df = spark.createDataFrame(chain, "u long, v long")
+    got = {r.node: r.component for r in components.components(df, "u", "v").collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
+    assert components.components(df.limit(0), "u", "v").count() == 0
+
+
+# ------------------------------------------------------------------ 3
+def test_scores(corpus, empty):
+    held = crc_mod("doc_id", 7) == 2
+    got = {r.doc_id: r for r in pitman_yor.score(corpus, held, shard=20000).collect()}
+    docs = rows(corpus)
+    assert set(got) == {i for i, _ in docs}
+    counts = collections.Counter()
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update([*words(t), None])
+    n, v = sum(counts.values()), len(counts)
+    for i, t in docs:
+        tokens, r = [*words(t), None], got[i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2) and (r.n_tokens, r.train_tokens) == (len(tokens), n)
+        assert r.n_known == sum(counts[w] > 0 for w in tokens)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens), rel=1e-9)
+        assert r.score <= 1e-9 and math.isfinite(r.score)
+    test = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in test) > sum(r.base_score for r in test)
+    again = {r.doc_id: r.score for r in pitman_yor.score(corpus, held, shard=20000).collect()}
+    assert all(again[i] == pytest.approx(r.score, rel=1e-5) for i, r in got.items())
+    assert pitman_yor.score(empty, held).count() == 0
+    assert {r.score for r in pitman_yor.score(corpus.limit(5), F.lit(True)).collect()} == {0.0}
+
+
+def test_probabilities_share_one_mass(spark):
+    """Texts that differ in one word share at most the whole mass."""
+    rng = np.random.default_rng(1)
+    vocabulary = [f"v{i}" for i in range(30)]
+    data = [(i, " ".join(rng.choice(vocabulary, 40))) for i in range(60)]
+    probe = [(1000 + i, f"v3 {w}") for i, w in enumerate([*vocabulary, "unseen"])]
+    df = spark.createDataFrame(data + probe, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score(df, F.col("doc_id") >= 1000, shard=400).collect()}
+    assert 0 < sum(10 ** x for i, x in got.items() if i >= 1000) <= 1.0
+
+
+def test_seating_is_within_bounds():
+    rng = np.random.default_rng(0)
+    c = np.sort(rng.integers(1, 500, 2000))[::-1]
+    t = pitman_yor.seat(c, np.full(2000, 0.5), np.full(2000, 0.01), 0.8, rng)
+    assert (t >= 1).all() and (t <= c).all() and t[:500].mean() > t[-500:].mean()
+    assert (pitman_yor.seat(np.array([5, 1]), np.array([1e-9, 1.0]), np.zeros(2), 0.5, rng) == [1, 1]).all()
+
+
+# ------------------------------------------------------------------ 4
+def test_fingerprints(spark, corpus, empty):
+    got = {r.doc_id: r for r in fingerprints.neighbours(corpus).collect()}
+    docs = sorted(rows(corpus), reverse=True)
+    prints = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(corpus).collect()}
+    errors = []
+    shingles = lambda t: set(zip(*[w[j:] for j in range(5)], strict=False)) if len(w := words(t)) >= 5 else {tuple(w)} if words(t) else set()
+    for n, (i, t) in enumerate(docs):
+        t, other, r = t or "", docs[(n + 1) % len(docs)][1] or "", got[i]
+        third = len(t) // 3
+        want = t[: len(t) - third] + other[:third]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.fingerprint == prints[i]
+        a, b = shingles(t), shingles(want)
+        if len(a) > 200:
+            errors.append(abs(r.near_edited - len(a & b) / len(a | b)))
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert np.mean(errors) < 0.06
+    texts = collections.defaultdict(set)
+    for i, t in docs:
+        texts[t].add(got[i].fingerprint)
+    assert all(len(x) == 1 for x in texts.values())
+    assert fingerprints.neighbours(empty).count() == 0
+    one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    assert fingerprints.neighbours(one).first().near_next == 1.0
+    tied = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (None, "z z")], "doc_id long, text string")
+    assert fingerprints.neighbours(tied).count() == 4
+
+
+def test_sketches_merge_and_contain():
+    import pyarrow as pa
+
+    big, small = (" ".join(f"w{i}" for i in range(n)) for n in (4000, 400))
+    a, b, c = fingerprints.sketches(pa.array([big, small, None]))
+    assert fingerprints.containment(b, a) == 1.0 and fingerprints.containment(a, b) == pytest.approx(0.1, abs=0.03)
+    assert (fingerprints.merge(a, b) == a).all() and len(c) == 0 and fingerprints.likeness(c, c) == 1.0 and fingerprints.likeness(c, a) == 0.0
+    assert (fingerprints.from_text(fingerprints.text_of(a)) == a).all()
+
+
+# ------------------------------------------------------------------ 5
+def test_kneser_ney_is_a_distribution(spark, corpus):
+    model = quality.train(corpus.filter("length(text) BETWEEN 100 AND 5000").select("text"))
+    for context in (b"\n\n\n\n", b"the ", b"zq#x"):
+        code = np.array([int.from_bytes(context + bytes([i])) for i in range(256)], np.uint64)
+        assert 2.0 ** -quality.bits(model, code) @ np.ones(256) == pytest.approx(1, abs=1e-4)
+
+
+def test_quality_separates(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got = quality.judge(docs, quality.trusted_labels(spark, d)).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    good, bad = ([r.kept for r in got if r.quality == q] for q in (1, 0))
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.4
+    kept = quality.keep(spark, docs, d)
+    assert kept.columns == docs.columns and 0.8 * docs.count() < kept.count() < docs.count()
+
+
+def test_quality_of_awkward_rows(spark, corpus, empty):
+    labels = corpus.select("doc_id")
+    got = {r.doc_id: r for r in quality.judge(corpus, labels, extra=["_key", "id"]).collect()}
+    assert len(got) == corpus.count() and got[9001].kept and got[9002].kept and got[9001]["_key"] == "x"
+    assert quality.judge(empty, labels).count() == 0
+    assert quality.judge(corpus, labels.limit(0)).filter("kept").count() == corpus.count()
+
+
+def test_hash_table():
+    keys = np.random.default_rng(0).permutation(np.arange(1, 20001, dtype=np.uint64) * np.uint64(8) + np.uint64(3))
+    table = quality.hash_table(keys[:10000], np.arange(10000, dtype=np.float32))
+    hit, x = quality.find(table, keys)
+    assert hit[:10000].all() and not hit[10000:].any() and (x[:10000] == np.arange(10000)).all()
+
+
+# ------------------------------------------------------------------ 6
+def test_language(spark, corpus, empty):
+    docs = corpus.withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    model = langid.train(docs.filter(~F.col("held_out")))
+    got = {r.doc_id: r for r in langid.predict(docs, model, ["doc_id", "held_out", "lang"]).collect()}
+    held = [r for r in got.values() if r.held_out and r.doc_id < 9000]
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
+    assert all(got[i].lang_pred == "und" for i in (9001, 9002, 9003, 9009)) and got[9008].lang_pred in model[0]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    swapped = docs.withColumn("lang", F.lit("zz")).withColumn("source", F.lit("q"))
+    assert {r.doc_id: r.lang_pred for r in langid.predict(swapped, model, ["doc_id"]).collect()} == {i: r.lang_pred for i, r in got.items()}
+    assert langid.predict(empty, model, ["doc_id"]).count() == 0
+    assert {r.lang_pred for r in langid.predict(corpus, langid.train(empty), ["doc_id"]).collect()} == {"und"}
+
+
+# ------------------------------------------------------------------ 7
+def brute_lines(docs):
+    at, out = collections.defaultdict(list), {}
+    for i, t in docs:
+        if t is None:
+            continue
+        ts = [tuple("*" if re.search("[0-9@/]", w) else w for w in words(x)) for x in t.split("\n")]
+        for j, w in enumerate(ts):
+            if len(w) >= line_dedup.MIN_TOKENS:
+                at[w].append((i, j, ts[j - 1] if j else ("start", t), ts[j + 1] if j + 1 < len(ts) else ("end", t)))
+    drop = collections.defaultdict(set)
+    for o in at.values():
+        if len({x[2] for x in o}) > 1 and len({x[3] for x in o}) > 1:
+            for x in sorted(o, key=lambda x: x[:2])[1:]:
+                drop[x[0]].add(x[1])
+    for i, t in docs:
+        out[i] = t if t is None or i not in drop else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in drop[i])
+    return out
+
+
+def test_lines_equal_brute_force(spark, corpus, empty):
+    extra = [(9200, "head\nAn order 17 was sent to a@b.c\ntail x y\n"), (9201, "top\nan order 9918 was sent to x@y\nfoot\n\n"), (9202, "\n\n"), (9203, "a b c\na b c\na b c")]
+    docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
+    assert got == brute_lines(rows(docs))
+    assert got[9200] == extra[0][1] and got[9201] == "top\nfoot\n\n"
+    whole = line_dedup.keep(corpus)
+    assert whole.columns == corpus.columns and line_dedup.dedup(empty).count() == 0
+
+
+def test_line_of_copies_stays(spark):
+    text = "one line of words\nanother line of words\nlast line of words"
+    df = spark.createDataFrame([(i, text) for i in range(5)] + [(None, text)], "doc_id long, text string")
+    assert line_dedup.dedup(df).filter("__sp_dropped > 0").count() == 0
+
+
+# ------------------------------------------------------------------ 8
+def water(sizes, weights, cap):
+    free, left, out = set(sizes), float(sum(sizes.values())), {}
+    while True:
+        w = sum(weights[s] for s in free)
+        over = {s for s in free if left * weights[s] / w > cap * sizes[s]}
+        if not over:
+            return {**out, **{s: left * weights[s] / w for s in free}}
+        for s in over:
+            out[s] = float(cap * sizes[s])
+            left -= out[s]
+        free -= over
+
+
+@pytest.mark.parametrize("sizes", [[5, 100, 7, 1000, 30, 2], [10, 10, 10], [1, 1000000, 3, 900, 1], [0, 5, 9], [7]])
+def test_water_filling(spark, sizes):
+    names = [f"s{i}" for i in range(len(sizes) - 1)] + [None]
+    df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df, [5, 2, 1], 3).collect()}
+    want = water(dict(zip(names, sizes, strict=True)), dict(zip(names, [5, 2, 1] * 5, strict=False)), 3)
+    assert got == pytest.approx(want)
+
+
+def test_mixing(spark, corpus, empty):
+    got = mixing.mix(corpus, [5, 2, 1]).collect()
+    size = {i: len(words(t)) for i, t in rows(corpus)}
+    assert all(r["size"] == size[r.doc_id] and r.taken == r.times * r["size"] and 0 <= r.times <= 3 for r in got)
+    source = {r.doc_id: r.source for r in corpus.collect()}
+    for s in set(source.values()):
+        own = [r for r in got if source[r.doc_id] == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own)
+    again = {r.doc_id: r.taken for r in mixing.mix(corpus.repartition(7), [5, 2, 1]).collect()}
+    assert again == {r.doc_id: r.taken for r in got}
+    mixed = mixing.repeat(corpus, mixing.mix(corpus, [5, 2, 1]))
+    assert mixed.count() == sum(r.times for r in got) and mixed.columns == corpus.columns
+    assert mixing.mix(empty, [5, 2, 1]).count() == 0
+
+
+# ------------------------------------------------------------------ 9
+def test_archive(spark):
+    big, bad = "x" * 1500 + "é", "<p>" + "y" * 2000
+    data = [(1, "http://a/1", big), (2, "http://a/2", big), (5, "http://a/\r\nX: 1", big), (3, None, "short"), (4, "u", "short"), (6, "u", None), (7, "u", bad), (None, "u", bad)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    headers, payloads = archive.write(pages)
+    assert payloads.count() == 4
+    got = {r.id: r for r in archive.read(headers, payloads).collect()}
+    assert {i: r.record_type for i, r in got.items()} == {1: "revisit", 2: "revisit", 5: "response", 3: "response", 4: "response", 6: "response", 7: "response", None: "revisit"}
+    assert got[1].refers_to == "5" and got[None].refers_to == "7" and got[5].refers_to is None
+    for i, _, html in data:
+        body = (html or "").encode()
+        assert bytes(got[i].payload) == body and got[i].payload_digest == hashlib.sha1(body).hexdigest()
+        block = body if got[i].record_type == "response" else b""
+        assert bytes(got[i].record) == bytes(got[i].header) + block + b"\r\n\r\n"
+        assert f"Content-Length: {len(block)}\r\n".encode() in bytes(got[i].header) and bytes(got[i].header).startswith(b"WARC/1.1\r\n")
+    assert bytes(got[5].header).count(b"\r\nX: 1") == 0
+    damaged = payloads.withColumn("payload", F.encode(F.lit("z"), "UTF-8"))
+    with pytest.raises(Exception, match="damaged payload"):
+        archive.read(headers, damaged).collect()
+    assert archive.read(*archive.write(pages.limit(0))).count() == 0
+    twice = archive.read(*archive.write(pages.unionByName(pages.filter("page_id = 5"))))
+    assert twice.count() == 9
+
+
+# ------------------------------------------------------------------ 10
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16)).astype("float32")
+    x[100:400] = x[100]  # a common vector
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(2001, None), (2002, [0.0] * 16), (2003, [float("nan")] + [1.0] * 15), (2004, [None] + [1.0] * 15), (2005, [1.0] * 3), (2020, [])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in vectors.search(df, F.col("id") % 20 == 0, 10).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    d = x.astype(float)
+    recall = []
+    assert set(got) == set(range(0, 1500, 20))
+    for q, found in got.items():
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 11)) and q not in {v for _, v, _ in found}
+        assert all(s == pytest.approx(float(d[q] @ d[v]), rel=1e-12) for _, v, s in found)
+        assert found == sorted(found, key=lambda f: (-f[2], f[1]))
+        s = d @ d[q]
+        s[q] = -np.inf
+        best = sorted(range(1500), key=lambda v: (-s[v], v))[:10]
+        recall.append(len(set(best) & {v for _, v, _ in found}) / 10)
+    assert np.mean(recall) >= 0.9
+    assert [v for _, v, _ in got[200]] == [v for v in range(100, 111)][:10] or got[200][0][2] >= d[200] @ d[100] - 1e-9
+    few = vectors.search(df.filter("vec_id < 5"), F.col("id") % 20 == 0, 10).collect()
+    assert [r.vec_id for r in few] and len(few) == 4
+    assert vectors.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
