@@ -5,15 +5,22 @@ Both sides cast counts to BIGINT and round doubles, so that neither types nor th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkprep.content import BOOK, Constraint, Field, Schema
+from sparkprep.core import shared_dir
 from sparkprep.functions import text as tx
 from sparkprep.operators import columns as co
 from sparkprep.operators import doctests, federated, fim, rows, similarity, splits, tensors, values, watermark
 from sparkprep.profile import drift, imbalance, quality, sketches
+from sparkprep.registry import Registry
+from sparkprep.sources import container, files
+from sparkprep.sources.hub import LICENSES
+from sparkprep.streaming import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -420,3 +427,82 @@ def extract_doctests(spark, d):
     code = "def f(x):\n    \"\"\"Double.\n\n    >>> f(2)\n    4\n    \"\"\"\n    return 2 * x\n"
     files = load(spark, d, "region").select(F.lit(code).alias("content"), F.concat(F.lit("pkg.m"), F.col("r_regionkey").cast("string")).alias("module"))
     return doctests.extract(files, "demo", "1.0")
+
+
+# ------------------------------------------------------------------ sources and sinks
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}/{name}"
+
+
+@query("SELECT * FROM customer")
+def csv_round_trip(spark, d):
+    customers, path = load(spark, d, "customer"), _place(spark, "t.csv")
+    files.save(customers, path)
+    return files.read_csv(spark, path, files.CsvOptions(schema=customers.schema))
+
+
+@query("SELECT * FROM nation")
+def json_round_trip(spark, d):
+    nations, path = load(spark, d, "nation"), _place(spark, "t.json")
+    files.save(nations, path)
+    return files.read_json(spark, path, files.JsonOptions(schema=nations.schema)).select(*nations.columns)
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def ipc_round_trip(spark, d):
+    path = _place(spark, "t.arrow")
+    files.save(load(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), path)
+    return files.load(spark, path)
+
+
+@query("SELECT * FROM supplier")
+def container_round_trip(spark, d):
+    data = container.dumps(load(spark, d, "supplier").toArrow(), metadata=container.Metadata(name="supplier"))
+    return spark.createDataFrame(container.loads(data).table)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 700 OFFSET 900")
+def chunked_rows(spark, d):
+    path = _place(spark, "t.spd").removeprefix("file://")
+    import os
+
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    container.write_chunks(load(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(3000), path, 500)
+    return container.Chunked(spark, path).get_rows(900, 700)
+
+
+@query("SELECT * FROM region")
+def registry_pull(spark, d):
+    registry = Registry(spark, _place(spark, "registry"))
+    registry.publish("region", "1.0", load(spark, d, "region").limit(2))
+    registry.publish("region", "1.1", load(spark, d, "region"))
+    return registry.pull("region")
+
+
+@query("SELECT n_nationkey::VARCHAR AS chapter_id, n_name AS chapter_title, n_regionkey::VARCHAR AS \"order\", CASE WHEN n_nationkey % 2 = 0 THEN 'easy' END AS difficulty, NULL::VARCHAR AS estimated_time FROM nation")
+def book_chapters(spark, d):
+    chapter = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title"), F.col("n_regionkey").alias("order"), F.struct(F.when(F.col("n_nationkey") % 2 == 0, "easy").alias("difficulty")).alias("settings"))
+    books = load(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(chapter).alias("chapters"))
+    return BOOK.to_rows(books.select(F.to_json(F.struct(F.lit("b").alias("id"), F.lit("t").alias("title"), F.lit("a").alias("author"), "chapters")).alias("json")))
+
+
+@query("SELECT rule, count(*)::BIGINT AS n FROM (SELECT 'p_size:max' AS rule FROM part WHERE p_size > 25 UNION ALL SELECT 'p_name:pattern' FROM part WHERE NOT regexp_matches(p_name, '^[a-m]') UNION ALL SELECT 'p_brand:enum' FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#22')) GROUP BY rule")
+def schema_violations(spark, d):
+    schema = Schema("parts", fields=(Field("p_size", "integer", constraints=(Constraint("max", 25),)), Field("p_name", "string", constraints=(Constraint("pattern", "^[a-m]"),)), Field("p_brand", "string", constraints=(Constraint("enum", ("Brand#11", "Brand#22")),))))
+    return schema.validate(load(spark, d, "part")).select(F.explode("_violations").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, min(levenshtein(c_mktsegment, x))::BIGINT AS distance FROM customer, (SELECT unnest(['" + "', '".join(LICENSES) + "']) AS x) GROUP BY c_custkey")
+def nearest_name(spark, d):
+    known = F.array(*[F.lit(x) for x in LICENSES])
+    return load(spark, d, "customer").select("c_custkey", F.array_min(F.transform(known, lambda x: F.levenshtein("c_mktsegment", x))).cast("bigint").alias("distance"))
+
+
+@query("SELECT event_type, ts::DATE AS day, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def streaming_daily_counts(spark, d):
+    base = _place(spark, "stream")
+    schema = load(spark, d, "events").schema
+    stream = frames.read_stream(spark, f"{d}/events*.parquet", schema)
+    counts = lambda batch: batch.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    frames.each_batch(stream, counts, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("event_type", "day").agg(F.sum("n").alias("n"))
