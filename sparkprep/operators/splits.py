@@ -171,15 +171,29 @@ class DataLoader:
         return n // self.batch_size if self.drop_last else -(-n // self.batch_size)
 
     def __iter__(self) -> Iterator[pa.RecordBatch]:
+        """Partitions arrive as Arrow streams, one at a time and in order, and are cut anew into batches."""
         df = self.df if self.order is None else self.df.orderBy(*self.order)
-        schema, held = df.limit(0).toArrow().schema, []
-        for row in df.toLocalIterator(prefetchPartitions=self.prefetch):
-            held.append(row.asDict(recursive=True))
-            if len(held) == self.batch_size:
-                yield pa.RecordBatch.from_pylist(held, schema)
-                held = []
-        if held and not self.drop_last:
-            yield pa.RecordBatch.from_pylist(held, schema)
+        schema = df.limit(0).toArrow().schema
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 65536):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as out:
+                        out.write_batch(batch.slice(at, 65536))
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+        held, size = [], 0
+        for row in df.mapInArrow(packed, "data binary").toLocalIterator(prefetchPartitions=self.prefetch):
+            part = pa.ipc.open_stream(bytes(row.data)).read_all().cast(schema)
+            held.append(part)
+            size += part.num_rows
+            while size >= self.batch_size:
+                whole = pa.concat_tables(held)
+                yield whole.slice(0, self.batch_size).combine_chunks().to_batches()[0]
+                held, size = [whole.slice(self.batch_size)], size - self.batch_size
+        if size and not self.drop_last:
+            yield pa.concat_tables(held).combine_chunks().to_batches()[0]
 
 
 def split_sizes(df: DataFrame) -> DataFrame:

@@ -467,14 +467,14 @@ def chunked_rows(spark, d):
     import os
 
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    container.write_chunks(load(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(3000), path, 500)
+    container.write_chunks(load(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey"), path, 5000)
     return container.Chunked(spark, path).get_rows(900, 700)
 
 
 @query("SELECT * FROM region")
 def registry_pull(spark, d):
     registry = Registry(spark, _place(spark, "registry"))
-    registry.publish("region", "1.0", load(spark, d, "region").limit(2))
+    registry.publish("region", "1.0", load(spark, d, "region").drop("r_name"))
     registry.publish("region", "1.1", load(spark, d, "region"))
     return registry.pull("region")
 
