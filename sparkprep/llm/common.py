@@ -56,6 +56,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """The number of tables written so far; two marks enclose what was written between them."""
+    return len(_made)
+
+
+def discard(since: int, until: int) -> None:
+    """Delete the scratch tables between two marks; whatever was computed from them has been written."""
+    for spark, path in _made[since:until]:
+        delete_path(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
