@@ -18,7 +18,7 @@ from sparkprep.errors import InvalidConfig
 BITS = 256
 LAG = 256
 # Where autocorrelation starts to count, and the least confidence of an extraction.
-AUTOCORRELATION_LIMIT, CONFIDENCE_LIMIT = 0.5, 0.75
+AUTOCORRELATION_LIMIT, CONFIDENCE_LIMIT = 0.7, 0.80
 
 
 def float_columns(df: DataFrame) -> list[str]:
