@@ -95,7 +95,8 @@ def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     lines = materialize(rows.mapInArrow(lambda it: _places(it, text), f"__sp_key {kind}, __sp_hash long, place int, template long, before long, after long"), "lines")
     first = F.min(F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place")))
     found = lines.groupBy("template").agg(F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"), first.alias("first"))
-    recurring = found.filter("b0 <> b1 AND a0 <> a1").select("template", "first")
+    # Written, so that the join shuffles both sides and adaptive execution can split a very common template.
+    recurring = materialize(found.filter("b0 <> b1 AND a0 <> a1").select("template", "first"), "recurring")
     kept = F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place"))
     lost = lines.join(recurring, "template").filter(~kept.eqNullSafe(F.col("first")))
     return lost.groupBy("__sp_key", "__sp_hash").agg(F.collect_set("place").alias("__sp_places"))
