@@ -6,9 +6,10 @@ with a digit, an at sign or a slash: numbers, dates, hashes, addresses, links) a
 before they choose a branch, so a line's template does not depend on which lines were seen before it and
 all shards of the corpus agree on it without exchanging their trees.
 
-A template recurs if two of its occurrences have different neighbours, both before and after; so a passage
-that was put into different documents recurs, while the lines of a document that was copied as a whole do not
-(that is the business of near-duplicate detection). Of a recurring template the first line of the document with
+A template recurs if its occurrences have different neighbours, both before and after, or if its documents
+differ in two of three anchors (their first, middle and last lines), as those do that share a passage of several
+lines. So what was put into different documents recurs, while the lines of a document that was copied as a whole
+do not (that is the business of near-duplicate detection). Of a recurring template the first line of the document with
 the smallest id stays, and all other lines are dropped.
 
 Counting is pre-aggregated minima and maxima; the decisions return to documents by an ordinary join.
@@ -32,6 +33,7 @@ from sparkprep.llm.common import hash_spans, materialize, mix, slices, table, ut
 
 DEPTH = 3
 MIN_TOKENS = 3
+ANCHORS = ("first_line", "middle_line", "last_line")
 _FIELD = np.zeros(256, np.int64)
 _FIELD[[*range(48, 58), ord("@"), ord("/")]] = 1
 _ANY = np.uint64(0x27D4EB2F165667C5)
@@ -85,18 +87,22 @@ def _places(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
             after[inner] = t[np.flatnonzero(inner) + 1]
             use = np.flatnonzero(n >= MIN_TOKENS)
             at = pa.array(owner[use])
-            yield pa.RecordBatch.from_arrays([part.column("__sp_key").take(at), part.column("__sp_hash").take(at), pa.array(place[use].astype(np.int32)), *(pa.array(x[use].view(np.int64)) for x in (t, before, after))], ["__sp_key", "__sp_hash", "place", "template", "before", "after"])
+            own = np.bincount(owner[use], minlength=part.num_rows)
+            begin = (np.cumsum(own) - own)[owner[use]]
+            anchors = [t[use[begin + skip]] for skip in (0, own[owner[use]] // 2, own[owner[use]] - 1)]
+            yield pa.RecordBatch.from_arrays([part.column("__sp_key").take(at), part.column("__sp_hash").take(at), pa.array(place[use].astype(np.int32)), *(pa.array(x[use].view(np.int64)) for x in (t, before, after)), *(pa.array(x.view(np.int64)) for x in anchors)], ["__sp_key", "__sp_hash", "place", "template", "before", "after", *ANCHORS])
 
 
 def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(__sp_key, __sp_hash, __sp_places): the lines to drop of the documents that lose any."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("__sp_key"), F.xxhash64(text).alias("__sp_hash"), F.col(text)).filter(F.col(text).isNotNull())
-    lines = materialize(rows.mapInArrow(lambda it: _places(it, text), f"__sp_key {kind}, __sp_hash long, place int, template long, before long, after long"), "lines")
+    lines = materialize(rows.mapInArrow(lambda it: _places(it, text), f"__sp_key {kind}, __sp_hash long, place int, template long, before long, after long, {', '.join(f'{a} long' for a in ANCHORS)}"), "lines")
     first = F.min(F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place")))
-    found = lines.groupBy("template").agg(F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"), first.alias("first"))
+    found = lines.groupBy("template").agg(F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"), *(x for a in ANCHORS for x in (F.min(a).alias(f"{a}0"), F.max(a).alias(f"{a}1"))), first.alias("first"))
+    unlike = sum((F.col(f"{a}0") != F.col(f"{a}1")).cast("int") for a in ANCHORS) >= 2
     # Written, so that the join shuffles both sides and adaptive execution can split a very common template.
-    recurring = materialize(found.filter("b0 <> b1 AND a0 <> a1").select("template", "first"), "recurring")
+    recurring = materialize(found.filter(((F.col("b0") != F.col("b1")) & (F.col("a0") != F.col("a1"))) | unlike).select("template", "first"), "recurring")
     kept = F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place"))
     lost = lines.join(recurring, "template").filter(~kept.eqNullSafe(F.col("first")))
     return lost.groupBy("__sp_key", "__sp_hash").agg(F.collect_set("place").alias("__sp_places"))

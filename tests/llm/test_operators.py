@@ -284,12 +284,14 @@ def brute_lines(docs):
         if t is None:
             continue
         ts = [tuple("*" if re.search("[0-9@/]", w) else w for w in words(x)) for x in t.split("\n")]
+        full = [w for w in ts if len(w) >= line_dedup.MIN_TOKENS]
         for j, w in enumerate(ts):
             if len(w) >= line_dedup.MIN_TOKENS:
-                at[w].append((i, j, ts[j - 1] if j else ("start", t), ts[j + 1] if j + 1 < len(ts) else ("end", t)))
+                at[w].append((i, j, ts[j - 1] if j else ("start", t), ts[j + 1] if j + 1 < len(ts) else ("end", t), full[0], full[len(full) // 2], full[-1]))
     drop = collections.defaultdict(set)
     for o in at.values():
-        if len({x[2] for x in o}) > 1 and len({x[3] for x in o}) > 1:
+        differ = [len({x[k] for x in o}) > 1 for k in range(2, 7)]
+        if (differ[0] and differ[1]) or sum(differ[2:]) >= 2:
             for x in sorted(o, key=lambda x: x[:2])[1:]:
                 drop[x[0]].add(x[1])
     for i, t in docs:
@@ -298,10 +300,11 @@ def brute_lines(docs):
 
 
 def test_lines_equal_brute_force(spark, corpus, empty):
-    extra = [(9200, "head\nAn order 17 was sent to a@b.c\ntail x y\n"), (9201, "top\nan order 9918 was sent to x@y\nfoot\n\n"), (9202, "\n\n"), (9203, "a b c\na b c\na b c")]
+    extra = [(9200, "head\nAn order 17 was sent to a@b.c\ntail x y\n"), (9201, "top\nan order 9918 was sent to x@y\nfoot\n\n"), (9202, "\n\n"), (9203, "a b c\na b c\na b c"), (9204, "p1 is here now\nshared first line x\nshared second line x\np1 ends here now"), (9205, "p2 was there then\nalso p2 text here\nshared first line x\nshared second line x\np2 ends at last")]
     docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     got = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
     assert got == brute_lines(rows(docs))
+    assert got[9204] == extra[4][1] and got[9205] == "p2 was there then\nalso p2 text here\np2 ends at last"
     assert got[9200] == extra[0][1] and got[9201] == "top\nfoot\n\n"
     whole = line_dedup.keep(corpus)
     assert whole.columns == corpus.columns and line_dedup.dedup(empty).count() == 0
