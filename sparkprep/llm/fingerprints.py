@@ -27,6 +27,7 @@ from sparkprep.llm.common import SLICE_BYTES, hash_spans, partitions, shingle_ha
 
 SHINGLE = 5
 FRACTION = 0.25
+SEGMENTS = 4
 
 
 def sketches(texts: pa.Array, k: int = SHINGLE, fraction: float = FRACTION) -> list[np.ndarray]:
@@ -100,14 +101,18 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    steps = [i / n for i in range(1, n)]
+    parts = SEGMENTS * n  # several small segments per task even out what hashing deals unevenly
+    steps = [i / parts for i in range(1, parts)]
     cuts = []
     if steps:
-        cuts = docs.agg(F.percentile_approx(F.col(key), F.array(*map(F.lit, steps)), F.lit(max(10000, 20 * n)))).first()[0] or []
+        cuts = docs.agg(F.percentile_approx(F.col(key), F.array(*map(F.lit, steps)), F.lit(max(10000, 20 * parts)))).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
     # Segment i holds the keys in (cuts[i], cuts[i - 1]]; nulls are last.
-    bounds = F.lit(cuts) if cuts else F.array().cast("array<long>")
-    segment = F.when(F.col(key).isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda c: c >= F.col(key))))
+    # The number of cuts that are not below the key, by binary search.
+    bounds, jumps = F.lit(cuts), [1 << b for b in reversed(range(len(cuts).bit_length()))]
+    step = lambda at, jump: F.when((at + jump <= len(cuts)) & (F.get(bounds, at + jump - 1) >= F.col(key)), at + jump).otherwise(at)
+    found = F.aggregate(F.lit(jumps), F.lit(0), step) if cuts else F.lit(0)
+    segment = F.when(F.col(key).isNull(), F.lit(len(cuts) + 1)).otherwise(found)
     placed = docs.select(F.col(key), F.col(text), segment.alias("_segment"))
     heads = sorted(placed.groupBy("_segment").agg(F.max(key).alias("head")).collect(), key=lambda r: r[0])  # one row a segment
     to = [(heads[i]["head"], heads[i - 1]["_segment"]) for i in range(len(heads))]
