@@ -6,13 +6,17 @@ with a digit, an at sign or a slash: numbers, dates, hashes, addresses, links) a
 before they choose a branch, so a line's template does not depend on which lines were seen before it and
 all shards of the corpus agree on it without exchanging their trees.
 
-A template recurs if its occurrences have different neighbours, both before and after, or if its documents
-differ in two of three anchors (their first, middle and last lines), as those do that share a passage of several
-lines. So what was put into different documents recurs, while the lines of a document that was copied as a whole
-do not (that is the business of near-duplicate detection). Of a recurring template the first line of the document with
-the smallest id stays, and all other lines are dropped.
-
-Counting is pre-aggregated minima and maxima; the decisions return to documents by an ordinary join.
+A template recurs if it is in at least two different documents, wherever it stands in them, or if its occurrences
+have different neighbours, both before and after (also within one document). Documents are different unless one is a
+near copy of the other as a whole: a Jaccard similarity of at least ALIKE over the shingles of SHINGLE words, estimated
+from BINS minima of hashes (a standard error of about 0.035 at the threshold, less for short texts). So what was put into
+different documents recurs, while the lines of a document that was copied as a whole do not (that is the business of
+near-duplicate detection). Of a recurring template the first line of the document with the smallest id stays, and
+all other lines are dropped.
+
+Every template has one of its documents as its centre; if any other of its documents is not a near copy of that one,
+there are two. Only templates of several texts whose neighbours do not decide are compared so, each pair of
+texts once. Counting is pre-aggregated minima and maxima; the decisions return to documents by an ordinary join.
 
 Defined cases: a null text stays null; lines of fewer than MIN_TOKENS tokens never recur; a text without
 recurring lines is unchanged, byte for byte; rows of null id come after all others in choosing what stays, and
@@ -29,15 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.llm.common import hash_spans, materialize, mix, slices, table, utf8, words
+from sparkprep.llm.common import hash_spans, materialize, mix, shingle_hashes, slices, table, utf8, words
 
 DEPTH = 3
 MIN_TOKENS = 3
-ANCHORS = ("first_line", "middle_line", "last_line")
+SHINGLE, BINS, ALIKE = 5, 128, 0.8
 _FIELD = np.zeros(256, np.int64)
 _FIELD[[*range(48, 58), ord("@"), ord("/")]] = 1
 _ANY = np.uint64(0x27D4EB2F165667C5)
 _K = np.uint64(0x9E3779B97F4A7C15)
+_LINE = ["__sp_key", "__sp_hash", "place", "template", "before", "after", "sketch"]
 
 
 def line_offsets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,12 +54,29 @@ def line_offsets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.append(edges, len(data)), per_row
 
 
-def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template of each line, tokens of each line, lines of each row)."""
+def sketches(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each row of counts words with hashes h, a byte of the least hash of its shingles in each of BINS classes (0: none)."""
+    x, each = shingle_hashes(h, counts, SHINGLE)
+    out = np.zeros((len(counts), BINS), np.uint32)
+    at = np.repeat(np.arange(len(counts)) * BINS, each) + (x % np.uint64(BINS)).astype(np.int64)
+    np.maximum.at(out.reshape(-1), at, ~(x >> np.uint64(32)).astype(np.uint32))
+    return np.where(out > 0, out % 255 + 1, 0).astype(np.uint8)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimated Jaccard similarity of pairs of sketches."""
+    some = ((a > 0) | (b > 0)).sum(1)
+    return np.where(some > 0, ((a == b) & (a > 0)).sum(1) / np.maximum(some, 1), 1.0)
+
+
+def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template of each line, tokens of each line, lines of each row, sketch of each row)."""
     raw, off = utf8(column)
     lines, per_row = line_offsets(raw, off)
     data, starts, ends, counts = words(raw, lines)
     h = hash_spans(data, starts, ends)
+    tokens = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(per_row)])]
+    sketch = sketches(h, np.diff(tokens))
     fields = np.concatenate([[0], np.cumsum(_FIELD[data])]) if len(data) else np.zeros(1, np.int64)
     h = np.where(fields[ends] > fields[starts], _ANY, h)
     begin = np.cumsum(counts) - counts
@@ -68,13 +90,13 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             leaf[some] = np.add.reduceat(lead, begin[some])
             tail[some] = np.add.reduceat(value - lead, begin[some])
         leaf = mix(leaf + counts.astype(np.uint64) * _K)
-        return mix(leaf * _K + tail), counts, per_row
+        return mix(leaf * _K + tail), counts, per_row, sketch
 
 
 def _places(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, text):
-            t, n, per_row = templates(part.column(text))
+            t, n, per_row, sketch = templates(part.column(text))
             owner = np.repeat(np.arange(part.num_rows), per_row)
             stop = np.cumsum(per_row)
             place = np.arange(len(t)) - np.repeat(stop - per_row, per_row)
@@ -87,22 +109,40 @@ def _places(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
             after[inner] = t[np.flatnonzero(inner) + 1]
             use = np.flatnonzero(n >= MIN_TOKENS)
             at = pa.array(owner[use])
-            own = np.bincount(owner[use], minlength=part.num_rows)
-            begin = (np.cumsum(own) - own)[owner[use]]
-            anchors = [t[use[begin + skip]] for skip in (0, own[owner[use]] // 2, own[owner[use]] - 1)]
-            yield pa.RecordBatch.from_arrays([part.column("__sp_key").take(at), part.column("__sp_hash").take(at), pa.array(place[use].astype(np.int32)), *(pa.array(x[use].view(np.int64)) for x in (t, before, after)), *(pa.array(x.view(np.int64)) for x in anchors)], ["__sp_key", "__sp_hash", "place", "template", "before", "after", *ANCHORS])
+            yield pa.RecordBatch.from_arrays([part.column("__sp_key").take(at), part.column("__sp_hash").take(at), pa.array(place[use].astype(np.int32)), *(pa.array(x[use].view(np.int64)) for x in (t, before, after)), pa.nulls(len(use), pa.binary())], _LINE)
+            size = part.num_rows
+            yield pa.RecordBatch.from_arrays([part.column("__sp_key"), part.column("__sp_hash"), pa.nulls(size, pa.int32()), *[pa.nulls(size, pa.int64())] * 3, pa.array([x.tobytes() for x in sketch], pa.binary())], _LINE)
+
+
+def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of texts that are not near copies."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "other"))
+        yield batch.select(["__sp_hash", "centre"]).filter(pa.array(likeness(a, b) < ALIKE))
 
 
 def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(__sp_key, __sp_hash, __sp_places): the lines to drop of the documents that lose any."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("__sp_key"), F.xxhash64(text).alias("__sp_hash"), F.col(text)).filter(F.col(text).isNotNull())
-    lines = materialize(rows.mapInArrow(lambda it: _places(it, text), f"__sp_key {kind}, __sp_hash long, place int, template long, before long, after long, {', '.join(f'{a} long' for a in ANCHORS)}"), "lines")
+    both = materialize(rows.mapInArrow(lambda it: _places(it, text), f"__sp_key {kind}, __sp_hash long, place int, template long, before long, after long, sketch binary"), "lines")
+    lines = both.filter("place IS NOT NULL").drop("sketch")
     first = F.min(F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place")))
-    found = lines.groupBy("template").agg(F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1"), *(x for a in ANCHORS for x in (F.min(a).alias(f"{a}0"), F.max(a).alias(f"{a}1"))), first.alias("first"))
-    unlike = sum((F.col(f"{a}0") != F.col(f"{a}1")).cast("int") for a in ANCHORS) >= 2
-    # Written, so that the join shuffles both sides and adaptive execution can split a very common template.
-    recurring = materialize(found.filter(((F.col("b0") != F.col("b1")) & (F.col("a0") != F.col("a1"))) | unlike).select("template", "first"), "recurring")
+    ends = (x for c, a in (("before", "b"), ("after", "a"), ("__sp_hash", "h")) for x in (F.min(c).alias(f"{a}0"), F.max(c).alias(f"{a}1")))
+    apart = (F.col("b0") != F.col("b1")) & (F.col("a0") != F.col("a1"))
+    # Written, so that the joins shuffle both sides and adaptive execution can split a very common template.
+    found = materialize(lines.groupBy("template").agg(*ends, first.alias("first")).filter(apart | (F.col("h0") != F.col("h1"))), "repeated")
+    asked = lines.select("template", "__sp_hash").join(found.filter(~apart).select("template", F.col("h0").alias("centre")), "template").filter("__sp_hash != centre")
+    asked = materialize(asked, "asked")
+    needed = asked.select("__sp_hash").unionByName(asked.select(F.col("centre").alias("__sp_hash"))).distinct()
+    sketches_of = both.filter("sketch IS NOT NULL").groupBy("__sp_hash").agg(F.min("sketch").alias("sketch")).join(needed, "__sp_hash", "left_semi")
+    sketches_of = materialize(sketches_of, "sketches")
+    pairs = asked.select("__sp_hash", "centre").distinct().join(sketches_of, "__sp_hash")
+    pairs = pairs.join(sketches_of.select(F.col("__sp_hash").alias("centre"), F.col("sketch").alias("other")), "centre")
+    unlike = materialize(pairs.mapInArrow(_unlike, "__sp_hash long, centre long"), "unlike")
+    several = asked.join(unlike, ["__sp_hash", "centre"]).select("template").distinct()
+    recurring = found.filter(apart).select("template", "first").unionByName(found.filter(~apart).join(several, "template", "left_semi").select("template", "first"))
+    recurring = materialize(recurring, "recurring")
     kept = F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place"))
     lost = lines.join(recurring, "template").filter(~kept.eqNullSafe(F.col("first")))
     return lost.groupBy("__sp_key", "__sp_hash").agg(F.collect_set("place").alias("__sp_places"))

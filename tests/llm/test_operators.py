@@ -316,6 +316,20 @@ def test_line_of_copies_stays(spark):
     assert line_dedup.dedup(df).filter("__sp_dropped > 0").count() == 0
 
 
+def test_lines_of_different_documents_recur(spark):
+    """Boilerplate at both ends, or most of a document, recurs wherever it stands; whole near copies stay."""
+    own = lambda i, n: "\n".join(" ".join(f"{c}{'abcdefghij'[i]}{'klmnopqrst'[j]}{c}" for c in "uvwxyz") for j in range(n))
+    ends = [(i, f"top line of site\nsecond line of site\n{own(i, 3)}\nfoot line of site\nlast line of site") for i in range(3)]
+    shared = "\n".join(f"a shared passage {'abcde'[j]} has many words in a row" for j in range(5))
+    start = [(10 + i, f"{shared}\n{own(3 + i, 3)}") for i in range(3)]
+    copy = own(8, 10)
+    near = [(20, copy), (21, copy.replace("zikz", "other"))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(ends + start + near, "doc_id long, text string")).collect()}
+    assert got[0] == ends[0][1] and got[10] == start[0][1]
+    assert [got[i] for i in (1, 2, 11, 12)] == [own(1, 3), own(2, 3), own(4, 3), own(5, 3)]
+    assert all(got[i] == t for i, t in near)
+
+
 # ------------------------------------------------------------------ 8
 def water(sizes, weights, cap):
     free, left, out = set(sizes), float(sum(sizes.values())), {}
