@@ -4,7 +4,9 @@ Lines are parsed to templates by a tree of fixed depth: the first level is the n
 DEPTH levels are the leading tokens, and a leaf holds the templates of what follows. Variable fields (tokens
 with a digit, an at sign or a slash: numbers, dates, hashes, addresses, links) are generalised to one mark
 before they choose a branch, so a line's template does not depend on which lines were seen before it and
-all shards of the corpus agree on it without exchanging their trees.
+all shards of the corpus agree on it without exchanging their trees. In tokens of scripts written without spaces, which
+hold whole sentences, only the digits are generalised, and lines of fewer than FIXED tokens that are all
+variable keep these as they are (long links, say), as nothing else would tell such lines apart.
 
 A template recurs if it is in at least two different documents, wherever it stands in them, or if its occurrences
 have different neighbours, both before and after (also within one document). Documents are different unless one is a
@@ -18,13 +20,14 @@ Every template has one of its documents as its centre; if any other of its docum
 there are two. Only templates of several texts whose neighbours do not decide are compared so, each pair of
 texts once. Counting is pre-aggregated minima and maxima; the decisions return to documents by an ordinary join.
 
-Defined cases: a null text stays null; lines of fewer than MIN_TOKENS tokens never recur; a text without
+Defined cases: a null text stays null; lines without a word character never recur, all others are counted; a text without
 recurring lines is unchanged, byte for byte; rows of null id come after all others in choosing what stays, and
 rows that repeat an id and a text are one document; an empty table gives no rows; other columns are passed through.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +39,16 @@ from pyspark.sql import types as T
 from sparkprep.llm.common import hash_spans, materialize, mix, shingle_hashes, slices, table, utf8, words
 
 DEPTH = 3
-MIN_TOKENS = 3
+MIN_TOKENS, FIXED = 1, 3
 SHINGLE, BINS, ALIKE = 5, 128, 0.8
 _FIELD = np.zeros(256, np.int64)
 _FIELD[[*range(48, 58), ord("@"), ord("/")]] = 1
+# Leading bytes of scripts written without spaces, and bytes that only word characters have.
+_UNSPACED = np.zeros(256, np.int64)
+_UNSPACED[[0xE0, 0xE1, *range(0xE3, 0xEE)]] = 1
+_WORD = np.zeros(256, np.int64)
+_WORD[[*range(48, 58), *range(97, 123), ord("_"), *range(0xC3, 0xE2), *range(0xE4, 0xED)]] = 1
+_WORD_CHARACTER = re.compile(r"\w")
 _ANY = np.uint64(0x27D4EB2F165667C5)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LINE = ["__sp_key", "__sp_hash", "place", "template", "before", "after", "sketch"]
@@ -70,16 +79,26 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template of each line, tokens of each line, lines of each row, sketch of each row)."""
+    """(template of each line, tokens of each line or 0 without a word character, lines of each row, sketch of each row)."""
     raw, off = utf8(column)
     lines, per_row = line_offsets(raw, off)
     data, starts, ends, counts = words(raw, lines)
     h = hash_spans(data, starts, ends)
     tokens = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(per_row)])]
     sketch = sketches(h, np.diff(tokens))
-    fields = np.concatenate([[0], np.cumsum(_FIELD[data])]) if len(data) else np.zeros(1, np.int64)
-    h = np.where(fields[ends] > fields[starts], _ANY, h)
+    fields, wide, letters = (np.concatenate([[0], np.cumsum(kind[data])]) for kind in (_FIELD, _UNSPACED, _WORD))
     begin = np.cumsum(counts) - counts
+    field, unspaced = fields[ends] > fields[starts], wide[ends] > wide[starts]
+    part = np.flatnonzero(field & unspaced)
+    if len(part):
+        h[part] = hash_spans(np.where((data >= 48) & (data <= 57), np.uint8(48), data), starts[part], ends[part])
+    field &= ~unspaced
+    fixed = np.concatenate([[0], np.cumsum(~field)])
+    fixed = (fixed[begin + counts] == fixed[begin]) & (counts < FIXED)
+    h = np.where(field & ~np.repeat(fixed, counts), _ANY, h)
+    worded = letters[lines[1:]] > letters[lines[:-1]]
+    for i in np.flatnonzero(~worded & (counts > 0)):
+        worded[i] = _WORD_CHARACTER.search(raw[lines[i] : lines[i + 1]].tobytes().decode(errors="ignore")) is not None
     place = np.arange(len(h)) - np.repeat(begin, counts)
     with np.errstate(over="ignore"):
         value = mix(h ^ mix(place.astype(np.uint64) + np.uint64(1)))
@@ -90,7 +109,7 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
             leaf[some] = np.add.reduceat(lead, begin[some])
             tail[some] = np.add.reduceat(value - lead, begin[some])
         leaf = mix(leaf + counts.astype(np.uint64) * _K)
-        return mix(leaf * _K + tail), counts, per_row, sketch
+        return mix(leaf * _K + tail), np.where(worded, counts, 0), per_row, sketch
 
 
 def _places(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:

@@ -330,6 +330,17 @@ def test_lines_of_different_documents_recur(spark):
     assert all(got[i] == t for i, t in near)
 
 
+def test_short_and_unspaced_lines_recur(spark):
+    """Lines of one or two tokens, of scripts without spaces too; but not marks, or lines that differ in their only tokens."""
+    lines = ["And so.", "Yes", "本文はすべての文書にある長い行です。", "本文の第1章です", "https://example.org/a/long/link/1", "---", "。"]
+    own = [["alpha beta gamma", "10", "二〇一年に書かれた行で、価格は5円"], ["delta epsilon zeta", "11", "別の文書の行で、価格は7円"], ["eta theta iota", "12", "三つ目の文書の行で、価格は9円"]]
+    texts = ["\n".join([o[0], *lines, *o[1:], f"https://example.org/{'abc'[i]}", f"本文の第{i + 2}章です", "end of " + o[0]]) for i, o in enumerate(own)]
+    got = [r.text for r in line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0] == texts[0].replace("\n本文の第2章です", "")
+    for i in (1, 2):
+        assert got[i].split("\n") == [own[i][0], "---", "。", *own[i][1:], f"https://example.org/{'abc'[i]}", "end of " + own[i][0]]
+
+
 # ------------------------------------------------------------------ 8
 def water(sizes, weights, cap):
     free, left, out = set(sizes), float(sum(sizes.values())), {}
