@@ -13,9 +13,9 @@ parent over words, whose base is uniform. Training has three sharded steps:
    take seats again, one by one, given the tables of all other dishes and the parent. Predictive
    probabilities, averaged over the sweeps after the first, score the tokens; sums per document return.
 
-What is broadcast is bounded: parent probabilities of at most ``TOP`` most frequent words, and of SLOTS
-classes by hash that the rarer words fall into (a class shares its mass equally among its words), and
-the divided contexts (fewer than twice the number of shards).
+What is broadcast is bounded: parent probabilities of at most ``TOP`` most frequent words, and the divided
+contexts (fewer than twice the number of shards). The shards ask for those of all rarer words: requests are
+joined with the counted words by ranges of the word's hash, and each shard is sent the words that it has.
 
 Defined cases: a null or empty text is the end token alone; a word unknown in training gets the base's
 share; without any training token all probabilities are 1 (scores 0); repeated ids are scored each on
@@ -36,7 +36,6 @@ from pyspark.sql import types as T
 from sparkprep.llm.common import crc_mod, hash_spans, materialize, mix, partitions, slices, table, utf8, words
 
 TOP = 1 << 20
-SLOTS = 1 << 18
 CHUNK = 1 << 20
 SHARD = 1_500_000
 SWEEPS = 3
@@ -167,40 +166,31 @@ def discount(n1: int, n2: int) -> float:
 class Parent:
     """Bounded tables of the parent's probabilities, and the corpus totals."""
 
-    def __init__(self, counted: DataFrame, bits: int, shard: int = SHARD):
+    def __init__(self, counted: DataFrame, shard: int = SHARD):
         s = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "customers", "tables", "n1", "n2")), *(F.coalesce(F.sum(F.get("hist", F.lit(i))), F.lit(0)).alias(f"h{i}") for i in range(64))).first()
         self.v, self.n = int(s.v), int(s.n)
         room, least = TOP, 64
         while least > 0 and s[f"h{least - 1}"] <= room:
             least -= 1
             room -= s[f"h{least}"]
-        cut, slot_bits = 1 << least, SLOTS.bit_length() - 1
+        cut = 1 << least
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b, *raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "c", "c0", "t0")), strict=True):
+                for raw in zip(*(batch.column(c).to_pylist() for c in ("words", "c", "c0", "t0")), strict=True):
                     k, c, c0 = (np.frombuffer(x, np.uint64) for x in raw[:3])
-                    t0 = np.frombuffer(raw[3], np.float32)
-                    top = c >= cut
-                    at = (k[~top] >> np.uint64(64 - slot_bits)).astype(np.int64) - (b << (slot_bits - bits))
-                    wide = 1 << (slot_bits - bits)
-                    sums = [np.bincount(at, x, wide) for x in (c0[~top].astype(float), t0[~top].astype(float), np.ones(len(at)))]
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (b, *(x[top].tobytes() for x in (k, c, c0, t0)), *(x.tobytes() for x in sums))], ["b", "k", "c", "c0", "t0", "s0", "s1", "s2"])
-
-        rows = counted.mapInArrow(split, "b long, k binary, c binary, c0 binary, t0 binary, s0 binary, s1 binary, s2 binary").collect()
+                    t0, top = np.frombuffer(raw[3], np.float32), c >= cut
+                    yield pa.RecordBatch.from_arrays([pa.array([x[top].tobytes()]) for x in (k, c, c0, t0)], ["k", "c", "c0", "t0"])
+
+        rows = counted.mapInArrow(split, "k binary, c binary, c0 binary, t0 binary").collect()
         k, c, c0 = (np.concatenate([np.frombuffer(r[x], np.uint64) for r in rows] or [np.zeros(0, np.uint64)]) for x in ("k", "c", "c0"))
         t0 = np.concatenate([np.frombuffer(r.t0, np.float32) for r in rows] or [np.zeros(0, np.float32)])
         disc, whole = discount(s.n1, s.n2), PARENT_STRENGTH + s.customers
         base = (PARENT_STRENGTH + disc * s.tables) / (self.v + 1)
         order = np.argsort(k)
         self.words, self.counts = k[order], c[order].astype(np.int64)
-        self.p = ((c0[order] - disc * t0[order] + base) / whole).astype(np.float32)
-        mass = np.full((3, SLOTS), 0.0)
-        for r in rows:
-            wide = SLOTS >> bits
-            for i in range(3):
-                mass[i, r.b * wide : (r.b + 1) * wide] = np.frombuffer(r[f"s{i}"])
-        self.slots = ((mass[0] - disc * mass[1] + (mass[2] + 1) * base) / whole / (mass[2] + 1)).astype(np.float32)
+        self.whole, self.disc, self.base = whole, disc, base
+        self.p, self.unseen = self.of(c0[order], t0[order]).astype(np.float32), base / whole
         # Contexts of more tokens than a part of a shard are divided, by low bits of the word's second hash.
         self.end = int(self.count(END))
         hot = [(int(w), int(x)) for w, x in zip(self.words[self.counts > shard // 4], self.counts[self.counts > shard // 4], strict=True) if w != END]
@@ -208,7 +198,27 @@ class Parent:
             hot.append((int(START), self.end))
         self.hot = {w: (x, max(2, 1 << (8 * x // shard).bit_length())) for w, x in hot}
         most = max([1, *(x for _, x in self.hot.values())])
-        self.share = np.bincount(self.part(self.words, most), self.p, most) + float((self.slots * (mass[2] + 1)).sum()) / most
+        self.share = np.full(most, self.unseen / most)
+        if self.hot:
+            of = self.formula()
+
+            def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(most)
+                for batch in batches:
+                    for k, c0, t0 in zip(*(batch.column(c).to_pylist() for c in ("words", "c0", "t0")), strict=True):
+                        total += np.bincount(Parent.part(np.frombuffer(k, np.uint64), most), of(np.frombuffer(c0, np.uint64), np.frombuffer(t0, np.float32)), most)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(most)), pa.array(total)], ["part", "mass"])
+
+            for r in counted.mapInArrow(masses, "part long, mass double").groupBy("part").agg(F.sum("mass").alias("mass")).collect():
+                self.share[r.part] += r.mass
+
+    def formula(self):
+        """The parent probability of words with c0 customers at t0 tables."""
+        disc, base, whole = self.disc, self.base, self.whole
+        return lambda c0, t0: (c0 - disc * t0.astype(float) + base) / whole
+
+    def of(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
+        return self.formula()(c0, t0)
 
     @staticmethod
     def part(w: np.ndarray, parts) -> np.ndarray:
@@ -222,14 +232,15 @@ class Parent:
         return self.share.reshape(-1, parts).sum(0)
 
 
-def _lookup(parent: tuple, w32: np.ndarray) -> np.ndarray:
+def _lookup(parent: tuple, rare: tuple, w32: np.ndarray) -> np.ndarray:
     """Parent probabilities of words by the leading 32 bits of their hashes."""
-    keys, p, slots = parent
-    out = slots[(w32 >> np.uint32(32 - (SLOTS.bit_length() - 1))).astype(np.int64)]
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, w32), len(keys) - 1)
-        out = np.where(keys[at] == w32, p[at], out)
-    return out.astype(np.float64)
+    *frequent, unseen = parent
+    out = np.full(len(w32), unseen)
+    for keys, p in (rare, frequent):
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, w32), len(keys) - 1)
+            out = np.where(keys[at] == w32, p[at], out)
+    return out
 
 
 # ------------------------------------------------------------------ scoring
@@ -241,21 +252,18 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", sh
     """Per document: key, held_out, n_tokens, n_known, train_tokens, base_score and score. held_out: a condition; those rows are not learned from."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(text), held_out.alias("_held"))
-    parent = Parent(*count_words(rows.filter(~F.col("_held")), text), shard=shard)
+    counted, bits = count_words(rows.filter(~F.col("_held")), text)
+    parent = Parent(counted, shard=shard)
     shards = max(1, -(-2 * parent.n // shard))
-    sent = spark.sparkContext.broadcast(((parent.words >> np.uint64(32)).astype(np.uint32), parent.p, parent.slots))
+    sent = spark.sparkContext.broadcast(((parent.words >> np.uint64(32)).astype(np.uint32), parent.p, parent.unseen))
     hot_words = np.array(sorted(parent.hot), np.uint64)
     hot = np.array([parent.hot[int(w)] for w in hot_words], np.int64).reshape(-1, 2)
     shares = {int(s): parent.shares(int(s)) for s in set(hot[:, 1])}
-    n_train, v_train, end = parent.n, parent.v, parent.end
+    n_train, v_train, end, formula = parent.n, parent.v, parent.end, parent.formula()
     key_type = docs.select(key).limit(0).toArrow().schema.field(0).type
     names = [x.split()[0] for x in _BLOB.split(", ")]
 
-    def emit(chunk: int, us: list, ws: list, ns: list, held: np.ndarray) -> Iterator[tuple]:
-        n_docs = np.concatenate(ns)
-        place = np.empty(len(n_docs), np.int64)  # documents to learn from come first
-        place[np.argsort(held, kind="stable")] = np.arange(len(held))
-        u, w, doc = np.concatenate(us), np.concatenate(ws), np.repeat(place, n_docs)
+    def group_of(u: np.ndarray, w: np.ndarray) -> np.ndarray:
         group = mix(u ^ _K1)
         if len(hot_words):
             at = np.minimum(np.searchsorted(hot_words, u), len(hot_words) - 1)
@@ -263,6 +271,79 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", sh
             j = Parent.part(w[split], hot[at[split], 1].astype(np.uint64))
             with np.errstate(over="ignore"):
                 group[split] = mix(group[split] + (j.astype(np.uint64) + np.uint64(1)) * _K2)
+        return group
+
+    def shard_of(group: np.ndarray) -> np.ndarray:
+        return (group >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)  # ranges of groups
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of each shard that are not among the most frequent, by buckets of the counted words."""
+        frequent = sent.value[0]
+
+        def asked(ws: list, to: list) -> pa.RecordBatch:
+            w, s = np.concatenate(ws), np.concatenate(to)
+            order = np.lexsort((s, w))
+            w, s = w[order], s[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (s[1:] != s[:-1])
+            w, s = w[new], s[new].astype(np.uint32)
+            edge = np.searchsorted(w, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            found = [(b, w[x:y].tobytes(), s[x:y].tobytes()) for b, (x, y) in enumerate(zip(edge, [*edge[1:], len(w)], strict=True)) if x < y]
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays([columns[0], pa.array([True] * len(found)), columns[1], columns[2], pa.nulls(len(found), pa.binary())], ["bucket", "asks", "words", "x", "y"])
+
+        ws, to, size = [], [], 0
+        for batch in batches:
+            for u, w, _ in tokens(batch, text):
+                w32 = (w >> np.uint64(32)).astype(np.uint32)
+                rare = frequent[np.minimum(np.searchsorted(frequent, w32), len(frequent) - 1)] != w32 if len(frequent) else np.ones(len(w), bool)
+                if rare.any():
+                    ws.append(w[rare])
+                    to.append(shard_of(group_of(u[rare], w[rare])))
+                    size += len(ws[-1])
+                if size >= CHUNK:
+                    yield asked(ws, to)
+                    ws, to, size = [], [], 0
+        if size:
+            yield asked(ws, to)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answers(known: tuple, ws: list, to: list) -> pa.RecordBatch:
+            w, s = np.concatenate(ws), np.concatenate(to)
+            order = np.lexsort((w, s))
+            w, s = w[order], s[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (s[1:] != s[:-1])
+            at = np.minimum(np.searchsorted(known[0], w), len(known[0]) - 1)
+            new &= known[0][at] == w  # a word without counts is unseen
+            w32, p, s = (w[new] >> np.uint64(32)).astype(np.uint32), formula(known[1][at[new]], known[2][at[new]]), s[new]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+            cut = list(zip(first, [*first[1:], len(s)], strict=True)) if len(s) else []
+            none = pa.array([b""] * len(cut), pa.binary())
+            columns = [pa.array([int(s[a]) for a, _ in cut], pa.int32()), pa.array([-1] * len(cut), pa.int64()), none, none, none, pa.array([w32[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([p[a:b].tobytes() for a, b in cut], pa.binary()), none, *[pa.array([0] * len(cut), pa.int32())] * 2]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        now, known, ws, to = None, None, [], []
+        for batch in batches:
+            for b, asks, words_of, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != now:
+                    if known and ws:
+                        yield answers(known, ws, to)
+                    now, known, ws, to = b, None, [], []
+                if asks:
+                    ws.append(np.frombuffer(words_of, np.uint64))
+                    to.append(np.frombuffer(x, np.uint32))
+                else:
+                    known = np.frombuffer(words_of, np.uint64), np.frombuffer(x, np.uint64), np.frombuffer(y, np.float32)
+        if known and ws:
+            yield answers(known, ws, to)
+
+    def emit(chunk: int, us: list, ws: list, ns: list, held: np.ndarray) -> Iterator[tuple]:
+        n_docs = np.concatenate(ns)
+        place = np.empty(len(n_docs), np.int64)  # documents to learn from come first
+        place[np.argsort(held, kind="stable")] = np.arange(len(held))
+        u, w, doc = np.concatenate(us), np.concatenate(ws), np.repeat(place, n_docs)
+        group = group_of(u, w)
         w32 = (w >> np.uint64(32)).astype(np.uint32)
         order = np.argsort((w32.astype(np.uint64) << np.uint64(32)) | doc.astype(np.uint64))
         order = order[np.argsort(group[order], kind="stable")]
@@ -272,7 +353,7 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", sh
         first = np.flatnonzero(new)
         times = np.diff(np.append(first, len(g)))
         g, x, d, source = g[first], x[first], d[first].astype(np.uint16), order[first]
-        to = (g >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)  # ranges of groups
+        to = shard_of(g)
         edge = np.searchsorted(to, np.arange(shards + 1, dtype=np.uint64))
         for s in np.flatnonzero(edge[1:] > edge[:-1]):
             a, b = edge[s], edge[s + 1]
@@ -328,6 +409,10 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", sh
             yield from flush()
 
     def close(rows: list[tuple], model: tuple, sums: dict) -> None:
+        replied = [r for r in rows if r[1] == -1]
+        rows = [r for r in rows if r[1] != -1]
+        rare = np.frombuffer(b"".join(r[5] for r in replied), np.uint32), np.frombuffer(b"".join(r[6] for r in replied))
+        rare = tuple(x[np.argsort(rare[0], kind="stable")] for x in rare)
         groups = [np.frombuffer(r[2], np.uint64) for r in rows]
         sizes = [np.frombuffer(r[3], np.uint32) for r in rows]
         names_of, gid = np.unique(np.concatenate(groups), return_inverse=True)
@@ -355,7 +440,7 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", sh
         learned = np.where(train, times, 0)
         c = np.add.reduceat(learned[order], first)
         tg = (kind[first] >> np.uint64(32)).astype(np.int64)
-        p = _lookup(model, (kind[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)) / pi[tg]
+        p = _lookup(model, rare, (kind[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)) / pi[tg]
         customers = np.bincount(tg, c, len(names_of))
         disc = discount(int((c == 1).sum()), int((c == 2).sum()))
         t = (c > 0).astype(float)
@@ -441,7 +526,12 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", sh
         if held:
             yield done(held)
 
-    blobs = rows.mapInArrow(local, _BLOB).repartition(n, "shard").sortWithinPartitions("shard", "chunk")
+    blobs = rows.mapInArrow(local, _BLOB)
+    if parent.v > len(parent.words):
+        asked = rows.select(text).mapInArrow(ask, "bucket int, asks boolean, words binary, x binary, y binary")
+        both = counted.select("bucket", F.lit(False).alias("asks"), "words", F.col("c0").alias("x"), F.col("t0").alias("y")).unionByName(asked)
+        blobs = blobs.unionByName(both.repartition(n, "bucket").sortWithinPartitions("bucket", "asks").mapInArrow(answer, _BLOB))
+    blobs = blobs.repartition(n, "shard").sortWithinPartitions("shard", "chunk")
     return blobs.mapInArrow(infer, _REPLY).repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(finish, out_schema)
 
 

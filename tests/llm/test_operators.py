@@ -183,6 +183,15 @@ def test_probabilities_share_one_mass(spark):
     assert 0 < sum(10 ** x for i, x in got.items() if i >= 1000) <= 1.0
 
 
+def test_rare_words_keep_their_own_counts(corpus, monkeypatch):
+    """Scores don't depend on how many words are broadcast."""
+    held = crc_mod("doc_id", 7) == 2
+    want = {r.doc_id: r.score for r in pitman_yor.score(corpus, held).collect()}
+    monkeypatch.setattr(pitman_yor, "TOP", 64)
+    got = {r.doc_id: r.score for r in pitman_yor.score(corpus, held).collect()}
+    assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_seating_is_within_bounds():
     rng = np.random.default_rng(0)
     c = np.sort(rng.integers(1, 500, 2000))[::-1]
