@@ -264,6 +264,14 @@ def test_quality_of_awkward_rows(spark, corpus, empty):
     assert quality.judge(corpus, labels.limit(0)).filter("kept").count() == corpus.count()
 
 
+def test_languages_of_few_documents_have_their_own_thresholds(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got = quality.judge(docs, quality.trusted_labels(spark, d)).filter("lang IS NOT NULL").select("lang", "threshold").distinct().collect()
+    at = {r.lang: r.threshold for r in got}
+    assert len(got) == len(at) == len(set(at.values())) == 4 and at["es"] > at["en"]
+
+
 def test_hash_table():
     keys = np.random.default_rng(0).permutation(np.arange(1, 20001, dtype=np.uint64) * np.uint64(8) + np.uint64(3))
     table = quality.hash_table(keys[:10000], np.arange(10000, dtype=np.float32))
