@@ -1,28 +1,31 @@
 """Line deduplication with a log-template tree.
 
 Lines are parsed to templates by a tree of fixed depth: the first level is the number of tokens, the next
-DEPTH levels are the leading tokens, and a leaf holds the templates of what follows. Variable fields (tokens
-with a digit, an at sign or a slash: numbers, dates, hashes, addresses, links) are generalised to one mark
-before they choose a branch, so a line's template does not depend on which lines were seen before it and
-all shards of the corpus agree on it without exchanging their trees. In tokens of scripts written without spaces, which
-hold whole sentences, only the digits are generalised, and lines of fewer than FIXED tokens that are all
-variable keep these as they are (long links, say), as nothing else would tell such lines apart.
-
-A template recurs if it is in at least two different documents, wherever it stands in them, or if its occurrences
-have different neighbours, both before and after (also within one document). Documents are different unless one is a
-near copy of the other as a whole: a Jaccard similarity of at least ALIKE over the shingles of SHINGLE words, estimated
-from BINS minima of hashes (a standard error of about 0.035 at the threshold, less for short texts). So what was put into
-different documents recurs, while the lines of a document that was copied as a whole do not (that is the business of
-near-duplicate detection). Of a recurring template the first line of the document with the smallest id stays, and
-all other lines are dropped.
+``depth`` levels are the leading tokens, and a leaf holds the lines that share these. Fields are generalised in two
+ways. By form: tokens with a digit, an at sign or a slash (numbers, dates, hashes, addresses, links) become one mark
+before they choose a branch. In tokens of scripts written without spaces, which hold whole sentences, only the digits
+do, and lines of fewer than FIXED tokens that are all variable keep these as they are (long links, say), as nothing
+else would tell such lines apart. By comparison within the leaf: a token that no other line of its leaf has at its
+place is a field (a name, say), if at least CONSTANT tokens of the line remain and the fields are at most FIELDS of its
+tokens; lines that agree but for such fields are one template, if there are at least VALUES of them. All this is counted, not
+learned line by line: a shard's lines are compared by pre-aggregated counts over (leaf, place, token), so the outcome
+depends neither on the order of lines nor on their partitions.
+
+A template recurs if it is in at least two different documents, wherever it stands in them. Documents are different
+unless one is a near copy of the other as a whole: a Jaccard similarity of at least ALIKE over the shingles of SHINGLE
+words, estimated from BINS minima of hashes (a standard error of about 0.035 at the threshold, less for short texts). So
+what was put into different documents recurs, while the lines of a document that was copied as a whole do not (that is
+the business of near-duplicate detection), and neither do lines that one document repeats (a refrain). Of a recurring
+template the first line of the document with the smallest id stays, and all other lines are dropped.
 
 Every template has one of its documents as its centre; if any other of its documents is not a near copy of that one,
-there are two. Only templates of several texts whose neighbours do not decide are compared so, each pair of
-texts once. Counting is pre-aggregated minima and maxima; the decisions return to documents by an ordinary join.
+there are two. Each pair of texts is compared once. Counting is pre-aggregated minima and maxima; the decisions return
+to documents by an ordinary join.
 
-Defined cases: a null text stays null; lines without a word character never recur, all others are counted; a text without
-recurring lines is unchanged, byte for byte; rows of null id come after all others in choosing what stays, and
-rows that repeat an id and a text are one document; an empty table gives no rows; other columns are passed through.
+Defined cases: a null text stays null; lines without a word character never recur, nor do lines of fewer than ``least`` tokens
+(by default all others are counted); a text without recurring lines is unchanged, byte for byte; rows of null id come
+after all others in choosing what stays, and rows that repeat an id and a text are one document; an empty table
+gives no rows; other columns are passed through, whatever their names (names that begin with ``__sp_`` are reserved).
 """
 
 from __future__ import annotations
@@ -38,8 +41,9 @@ from pyspark.sql import types as T
 
 from sparkprep.llm.common import hash_spans, materialize, mix, shingle_hashes, slices, table, utf8, words
 
-DEPTH = 3
+DEPTH = 2
 MIN_TOKENS, FIXED = 1, 3
+CONSTANT, FIELDS, VALUES = 5, 0.3, 3
 SHINGLE, BINS, ALIKE = 5, 128, 0.8
 _FIELD = np.zeros(256, np.int64)
 _FIELD[[*range(48, 58), ord("@"), ord("/")]] = 1
@@ -51,7 +55,8 @@ _WORD[[*range(48, 58), *range(97, 123), ord("_"), *range(0xC3, 0xE2), *range(0xE
 _WORD_CHARACTER = re.compile(r"\w")
 _ANY = np.uint64(0x27D4EB2F165667C5)
 _K = np.uint64(0x9E3779B97F4A7C15)
-_LINE = ["__sp_key", "__sp_hash", "place", "template", "before", "after", "sketch"]
+_LINE = ["__sp_key", "__sp_hash", "place", "template", "leaf", "base", "plain", "tokens", "sketch"]
+_PLACE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def line_offsets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +83,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(some > 0, ((a == b) & (a > 0)).sum(1) / np.maximum(some, 1), 1.0)
 
 
-def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template of each line, tokens of each line or 0 without a word character, lines of each row, sketch of each row)."""
+def cells(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of each token at its place in the line."""
+    with np.errstate(over="ignore"):
+        return mix(tokens ^ mix(place.astype(np.uint64) * _PLACE + np.uint64(1)))
+
+
+def templates(column: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
+    """(template, leaf, tokens, tokens that are no fields by form, with a word character or not) of each line; the tokens of all
+    lines; lines of each row; sketch of each row."""
     raw, off = utf8(column)
     lines, per_row = line_offsets(raw, off)
     data, starts, ends, counts = words(raw, lines)
@@ -94,43 +106,77 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         h[part] = hash_spans(np.where((data >= 48) & (data <= 57), np.uint8(48), data), starts[part], ends[part])
     field &= ~unspaced
     fixed = np.concatenate([[0], np.cumsum(~field)])
-    fixed = (fixed[begin + counts] == fixed[begin]) & (counts < FIXED)
-    h = np.where(field & ~np.repeat(fixed, counts), _ANY, h)
+    plain = fixed[begin + counts] - fixed[begin]
+    h = np.where(field & ~np.repeat((plain == 0) & (counts < FIXED), counts), _ANY, h)
     worded = letters[lines[1:]] > letters[lines[:-1]]
     for i in np.flatnonzero(~worded & (counts > 0)):
         worded[i] = _WORD_CHARACTER.search(raw[lines[i] : lines[i + 1]].tobytes().decode(errors="ignore")) is not None
     place = np.arange(len(h)) - np.repeat(begin, counts)
+    value = cells(h, place)
     with np.errstate(over="ignore"):
-        value = mix(h ^ mix(place.astype(np.uint64) + np.uint64(1)))
-        lead = np.where(place < DEPTH, value, np.uint64(0))
-        leaf, tail = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
-        some = counts > 0
-        if len(h):
-            leaf[some] = np.add.reduceat(lead, begin[some])
-            tail[some] = np.add.reduceat(value - lead, begin[some])
-        leaf = mix(leaf + counts.astype(np.uint64) * _K)
-        return mix(leaf * _K + tail), np.where(worded, counts, 0), per_row, sketch
-
-
-def _places(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+        size = mix(counts.astype(np.uint64) * _K + np.uint64(1))
+    return size ^ by_line(value, counts), size ^ by_line(np.where(place < depth, value, np.uint64(0)), counts), counts, plain, worded, h, per_row, sketch
+
+
+def by_line(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The exclusive or of the values of each line."""
+    out, some = np.zeros(len(counts), np.uint64), counts > 0
+    if len(values):
+        out[some] = np.bitwise_xor.reduceat(values, (np.cumsum(counts) - counts)[some])
+    return out
+
+
+def _places(batches: Iterator[pa.RecordBatch], text: str, depth: int, least: int) -> Iterator[pa.RecordBatch]:
+    long = lambda x: pa.array(x.view(np.int64))
     for batch in batches:
         for part in slices(batch, text):
-            t, n, per_row, sketch = templates(part.column(text))
+            t, leaf, counts, plain, worded, h, per_row, sketch = templates(part.column(text), depth)
             owner = np.repeat(np.arange(part.num_rows), per_row)
-            stop = np.cumsum(per_row)
-            place = np.arange(len(t)) - np.repeat(stop - per_row, per_row)
-            whole = part.column("__sp_hash").to_numpy().view(np.uint64)[owner]
-            with np.errstate(over="ignore"):
-                before, after = mix(whole + np.uint64(1)), mix(whole + np.uint64(2))
-            inner = place > 0
-            before[inner] = t[np.flatnonzero(inner) - 1]
-            inner = place < (per_row[owner] - 1)
-            after[inner] = t[np.flatnonzero(inner) + 1]
-            use = np.flatnonzero(n >= MIN_TOKENS)
+            place = np.arange(len(t)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+            use = np.flatnonzero(worded & (counts >= max(1, least)))
+            # Within a leaf and a place, 32 bits of a token's hash do.
+            short, stop = (h >> np.uint64(32)).astype(np.uint32), np.cumsum(counts)
+            base = by_line(cells(short.astype(np.uint64), np.arange(len(h)) - np.repeat(stop - counts, counts)), counts)
+            own = [short[e - m : e].tobytes() if m > CONSTANT and p >= CONSTANT else None for e, m, p in zip(stop[use].tolist(), counts[use].tolist(), plain[use].tolist(), strict=True)]
             at = pa.array(owner[use])
-            yield pa.RecordBatch.from_arrays([part.column("__sp_key").take(at), part.column("__sp_hash").take(at), pa.array(place[use].astype(np.int32)), *(pa.array(x[use].view(np.int64)) for x in (t, before, after)), pa.nulls(len(use), pa.binary())], _LINE)
+            yield pa.RecordBatch.from_arrays([part.column("__sp_key").take(at), part.column("__sp_hash").take(at), pa.array(place[use].astype(np.int32)), *(long(x[use]) for x in (t, leaf, base)), pa.array(plain[use].astype(np.int32)), pa.array(own, pa.binary()), pa.nulls(len(use), pa.binary())], _LINE)
             size = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column("__sp_key"), part.column("__sp_hash"), pa.nulls(size, pa.int32()), *[pa.nulls(size, pa.int64())] * 3, pa.array([x.tobytes() for x in sketch], pa.binary())], _LINE)
+            yield pa.RecordBatch.from_arrays([part.column("__sp_key"), part.column("__sp_hash"), pa.nulls(size, pa.int32()), *[pa.nulls(size, pa.int64())] * 3, pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], _LINE)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(template, cell, delta) of the tokens that are no fields by form: what their place in the leaf is called, and how the
+    line's hash changes if the token is a field."""
+    mark = _ANY >> np.uint64(32)
+    for batch in batches:
+        for a in range(0, batch.num_rows, 4096):
+            part = batch.slice(a, 4096)
+            raw = part.column("tokens")
+            counts = np.array([len(x) // 4 for x in raw.to_pylist()], np.int64)
+            tokens = np.frombuffer(b"".join(raw.to_pylist()), np.uint32).astype(np.uint64)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
+            value, owner = cells(tokens, place), np.repeat(np.arange(len(counts)), counts)
+            cell = mix(value ^ part.column("leaf").to_numpy().view(np.uint64)[owner])
+            delta = value ^ cells(np.full(len(tokens), mark), place)
+            some = tokens != mark
+            yield pa.RecordBatch.from_arrays([part.column("template").take(pa.array(owner[some])), pa.array(cell[some].view(np.int64)), pa.array(delta[some].view(np.int64))], ["template", "cell", "delta"])
+
+
+def _generalised(lines: DataFrame) -> DataFrame:
+    """(template, named): for the templates that are one but for fields, the name they share."""
+    lines = lines.filter("tokens IS NOT NULL")
+    # Leaves with one line, or of one document, have nothing to compare.
+    open_ = lines.groupBy("leaf").agg(*(f(c).alias(f"{c}{i}") for c in ("template", "__sp_hash") for i, f in enumerate((F.min, F.max))))
+    open_ = open_.filter("template0 != template1 AND __sp_hash0 != __sp_hash1").select("leaf")
+    kinds = materialize(lines.select("template", "leaf", "base", "plain", "tokens").join(open_, "leaf", "left_semi").dropDuplicates(["template"]), "leaves")
+    alone = kinds.select("template", "leaf", "tokens").mapInArrow(_cells, "template long, cell long, delta long")
+    alone = alone.groupBy("cell").agg(F.count("*").alias("n"), F.min("template").alias("template"), F.min("delta").alias("delta")).filter("n = 1")
+    fields = alone.groupBy("template").agg(F.count("*").alias("fields"), F.bit_xor("delta").alias("delta"))
+    alike = kinds.select("template", "leaf", "base", "plain", (F.octet_length("tokens") / 4).alias("n")).join(fields, "template")
+    alike = alike.filter((F.col("plain") - F.col("fields") >= CONSTANT) & (F.col("fields") <= FIELDS * F.col("n")))
+    alike = materialize(alike.select("template", F.xxhash64("leaf", F.col("base").bitwiseXOR(F.col("delta"))).alias("named")), "alike")
+    several = alike.groupBy("named").agg(F.count("*").alias("n")).filter(F.col("n") >= VALUES).select("named")
+    return alike.join(several, "named").select("template", "named")
 
 
 def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,18 +186,21 @@ def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["__sp_hash", "centre"]).filter(pa.array(likeness(a, b) < ALIKE))
 
 
-def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drops(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = MIN_TOKENS) -> DataFrame:
     """(__sp_key, __sp_hash, __sp_places): the lines to drop of the documents that lose any."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("__sp_key"), F.xxhash64(text).alias("__sp_hash"), F.col(text)).filter(F.col(text).isNotNull())
-    both = materialize(rows.mapInArrow(lambda it: _places(it, text), f"__sp_key {kind}, __sp_hash long, place int, template long, before long, after long, sketch binary"), "lines")
+    rows = docs.select(F.col(key).alias("__sp_key"), F.xxhash64(text).alias("__sp_hash"), F.col(text).alias("__sp_text")).filter("__sp_text IS NOT NULL")
+    schema = f"__sp_key {kind}, __sp_hash long, place int, template long, leaf long, base long, plain int, tokens binary, sketch binary"
+    both = materialize(rows.mapInArrow(lambda it: _places(it, "__sp_text", depth, least), schema), "lines")
     lines = both.filter("place IS NOT NULL").drop("sketch")
-    first = F.min(F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place")))
-    ends = (x for c, a in (("before", "b"), ("after", "a"), ("__sp_hash", "h")) for x in (F.min(c).alias(f"{a}0"), F.max(c).alias(f"{a}1")))
-    apart = (F.col("b0") != F.col("b1")) & (F.col("a0") != F.col("a1"))
+    named = _generalised(lines)
+    lines = lines.select("__sp_key", "__sp_hash", "place", "template").join(named, "template", "left")
     # Written, so that the joins shuffle both sides and adaptive execution can split a very common template.
-    found = materialize(lines.groupBy("template").agg(*ends, first.alias("first")).filter(apart | (F.col("h0") != F.col("h1"))), "repeated")
-    asked = lines.select("template", "__sp_hash").join(found.filter(~apart).select("template", F.col("h0").alias("centre")), "template").filter("__sp_hash != centre")
+    lines = materialize(lines.select("__sp_key", "__sp_hash", "place", F.coalesce("named", "template").alias("template")), "templates")
+    first = F.min(F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place")))
+    found = lines.groupBy("template").agg(F.min("__sp_hash").alias("centre"), F.max("__sp_hash").alias("last"), first.alias("first"))
+    found = materialize(found.filter("centre != last"), "repeated")
+    asked = lines.select("template", "__sp_hash").join(found.select("template", "centre"), "template").filter("__sp_hash != centre")
     asked = materialize(asked, "asked")
     needed = asked.select("__sp_hash").unionByName(asked.select(F.col("centre").alias("__sp_hash"))).distinct()
     sketches_of = both.filter("sketch IS NOT NULL").groupBy("__sp_hash").agg(F.min("sketch").alias("sketch")).join(needed, "__sp_hash", "left_semi")
@@ -160,16 +209,15 @@ def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     pairs = pairs.join(sketches_of.select(F.col("__sp_hash").alias("centre"), F.col("sketch").alias("other")), "centre")
     unlike = materialize(pairs.mapInArrow(_unlike, "__sp_hash long, centre long"), "unlike")
     several = asked.join(unlike, ["__sp_hash", "centre"]).select("template").distinct()
-    recurring = found.filter(apart).select("template", "first").unionByName(found.filter(~apart).join(several, "template", "left_semi").select("template", "first"))
-    recurring = materialize(recurring, "recurring")
+    recurring = materialize(found.join(several, "template", "left_semi").select("template", "first"), "recurring")
     kept = F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place"))
     lost = lines.join(recurring, "template").filter(~kept.eqNullSafe(F.col("first")))
     return lost.groupBy("__sp_key", "__sp_hash").agg(F.collect_set("place").alias("__sp_places"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = MIN_TOKENS) -> DataFrame:
     """docs with the recurring lines taken out of text, and the number of lines before (__sp_lines) and dropped (__sp_dropped)."""
-    lost = drops(docs, key, text).withColumnRenamed("__sp_hash", "__sp_h")
+    lost = drops(docs, key, text, depth, least).withColumnRenamed("__sp_hash", "__sp_h")
     both = docs.withColumn("__sp_hash", F.xxhash64(text)).join(lost, F.col(key).eqNullSafe(F.col("__sp_key")) & (F.col("__sp_hash") == F.col("__sp_h")), "left")
     names = docs.columns
     schema = T.StructType([*docs.schema, T.StructField("__sp_lines", T.LongType()), T.StructField("__sp_dropped", T.LongType())])
