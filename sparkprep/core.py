@@ -8,9 +8,12 @@ all rows in one task.
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,15 +44,45 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if spark.sparkContext.master.startswith("local"):
+    if re.match(r"local($|\[)", spark.sparkContext.master):
         return f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_scratch(since: int = 0) -> None:
+    """Delete the tables that materialize() has written; frames that still read them fail."""
+    while len(_scratch) > since:
+        try:
+            _delete(*_scratch.pop())
+        except Exception:  # noqa: BLE001  at exit the session may be gone
+            return
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end: for work whose results have been saved or collected by then."""
+    mark = len(_scratch)
+    try:
+        yield
+    finally:
+        free_scratch(mark)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that rows stay in their partitions' files."""
+    """Write df to the shared folder and read it back, so that rows stay in their partitions' files; deleted at exit, or by scratch()."""
     path = f"{shared_dir(df.sparkSession)}/prep-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _scratch:
+        atexit.register(free_scratch)
+    _scratch.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -96,11 +129,17 @@ def running_totals(df: DataFrame, group: str, order_by: str, sums: dict[str, str
     return both.select(*df.columns, *(F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()), *(f"_a_{n}" for n in sums)).select(*df.columns, *((F.col(f"_i_{n}") + F.col(f"_a_{n}")).alias(n) for n in sums))
 
 
+def order_value(names: Sequence[str]) -> Column:
+    """The order of named columns, nulls last, as one comparable value."""
+    return F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in names])
+
+
 def seeded(seed: int, *keys: str | Column) -> Column:
-    """A reproducible pseudo-random 64-bit key of a row."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys])
+    """A reproducible pseudo-random number of 60 bits of a row: the leading digits of the MD5 of its seed and key."""
+    cells = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *cells)), 1, 15), 16, 10).cast("long")
 
 
 def uniform(seed: int, *keys: str | Column) -> Column:
     """A reproducible number in [0, 1)."""
-    return F.pmod(seeded(seed, *keys), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return (seeded(seed, *keys) % F.lit(1 << 52)) / F.lit(float(1 << 52))

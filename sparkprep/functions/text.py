@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,32 +28,54 @@ def alnum_ratio_score(t: Column) -> Column:
     return F.when(F.octet_length(t) == 0, 0.0).when(ratio < 0.2, 0.0).when(ratio < 0.3, ratio).otherwise(1.0)
 
 
-def line_length_score(t: Column) -> Column:
-    """1 for 10 to 200 bytes a line on average."""
-    n = F.size(lines(t))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _line_counts(t: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(lines, distinct lines), from one split of the text."""
+    counts = _once(lines(t), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("u")))
+    return _once(counts, lambda c: use(c["n"], c["u"]))
+
+
+def _length_score(t: Column, n: Column) -> Column:
     mean = F.octet_length(t) / F.when(n > 0, n)
     return F.when(n == 0, 0.0).when(mean < 10, 0.2).when(mean > 200, 0.5).otherwise(1.0)
 
 
+def _distinct_score(n: Column, u: Column) -> Column:
+    share = u / F.when(n > 0, n)
+    return F.when(n <= 1, 1.0).when(1 - share > 0.5, 0.2).otherwise(share)
+
+
+def line_length_score(t: Column) -> Column:
+    """1 for 10 to 200 bytes a line on average."""
+    return _line_counts(t, lambda n, u: _length_score(t, n))
+
+
 def duplicate_lines_score(t: Column) -> Column:
     """The share of distinct lines; 0.2 if fewer than half are."""
-    n = F.size(lines(t))
-    repeated = 1 - F.size(F.array_distinct(lines(t))) / F.when(n > 0, n)
-    return F.when(n <= 1, 1.0).when(repeated > 0.5, 0.2).otherwise(1 - repeated)
+    return _line_counts(t, _distinct_score)
 
 
 @F.pandas_udf(T.DoubleType())
 def byte_entropy(texts: pd.Series) -> pd.Series:
-    """Shannon entropy of the bytes, in bits: one histogram per text, where expressions would need a row per byte."""
-
-    def one(t: str | None) -> float | None:
-        if t is None:
-            return None
-        n = np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-        n = n[n > 0]
-        return float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()) if len(n) else 0.0
-
-    return texts.map(one).astype("float64")
+    """Shannon entropy of the bytes, in bits: one histogram over (row, byte) per run of rows, where expressions would need a row per byte."""
+    raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    out, at = np.full(len(raw), np.nan), 0
+    while at < len(raw):
+        stop, size = at, 0
+        while stop < len(raw) and stop - at < 4096 and (size < 1 << 24 or stop == at):
+            size += len(raw[stop] or b"")
+            stop += 1
+        sizes = np.array([len(x or b"") for x in raw[at:stop]])
+        cells = np.frombuffer(b"".join(x or b"" for x in raw[at:stop]), np.uint8) + np.repeat(np.arange(stop - at) * 256, sizes)
+        n = np.bincount(cells, minlength=256 * (stop - at)).reshape(-1, 256).astype(float)
+        total = np.maximum(sizes, 1)
+        out[at:stop] = np.where(sizes > 0, np.log2(total) - (n * np.log2(np.maximum(n, 1))).sum(1) / total, 0.0)
+        at = stop
+    return pd.Series(out).mask([x is None for x in raw])
 
 
 def entropy_score(t: Column) -> Column:
@@ -61,7 +85,8 @@ def entropy_score(t: Column) -> Column:
 
 def composite_score(t: Column) -> Column:
     """The mean of the four scores."""
-    return (alnum_ratio_score(t) + line_length_score(t) + duplicate_lines_score(t) + entropy_score(t)) / 4
+    by_lines = _line_counts(t, lambda n, u: _length_score(t, n) + _distinct_score(n, u))
+    return (alnum_ratio_score(t) + by_lines + entropy_score(t)) / 4
 
 
 def find_text_column(df: DataFrame) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkprep.core import Order, need, order_columns, ordered, seeded, with_row_id
+from sparkprep.core import Order, need, order_columns, order_value, ordered, seeded, with_row_id
 from sparkprep.errors import IndexOutOfBounds, InvalidConfig
 from sparkprep.operators.columns import Transform
 
@@ -36,14 +36,50 @@ def take(n: int, order_by: Order | Sequence[Order]) -> Transform:
     return lambda df: df.orderBy(*order_columns(order_by)).limit(max(n, 0))
 
 
+#: Offsets up to this are found by a merged top-n; larger ones by numbering the rows.
+NEAR = 100_000
+
+
+def _names(order_by: Order | Sequence[Order]) -> list[str] | None:
+    items = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
+    return items if all(isinstance(x, str) for x in items) else None
+
+
+def _literal(df: DataFrame, names: Sequence[str], found) -> Column:
+    return F.struct(*[F.struct(F.lit(found[c] is None), F.lit(found[c]).cast(df.schema[c].dataType)) for c in names])
+
+
+def _edge(df: DataFrame, n: int, names: Sequence[str]):
+    """The order columns of the row at a position near the start; None beyond the end."""
+    return df.select(*names).orderBy(*order_columns(list(names))).offset(n).limit(1).first()
+
+
 def skip(n: int, order_by: Order | Sequence[Order]) -> Transform:
-    """All rows but the first n; rows are numbered in parallel rather than gathered for an offset."""
-    return lambda df: with_row_id(df, order_by).filter(F.col("_row_id") >= n).drop("_row_id")
+    """All rows but the first n: those not below the row at that place, which a top-n finds without moving the others. Far offsets, and
+    an edge that several rows share, number the rows in parallel."""
+
+    def run(df: DataFrame) -> DataFrame:
+        names = _names(order_by)
+        if n <= 0:
+            return df
+        if names and n <= NEAR:
+            found = _edge(df, n, names)
+            if found is None:
+                return df.limit(0)
+            edge = _literal(df, names, found)
+            if df.filter(order_value(names) < edge).count() == n:
+                return df.filter(order_value(names) >= edge)
+        return with_row_id(df, order_by).filter(F.col("_row_id") >= n).drop("_row_id")
+
+    return run
 
 
 def row(df: DataFrame, i: int, order_by: Order | Sequence[Order]):
     """The row at a position."""
-    found = with_row_id(df, order_by).filter(F.col("_row_id") == i).drop("_row_id").head(1)
+    if 0 <= i <= NEAR:
+        found = df.orderBy(*order_columns(order_by)).offset(i).head(1)
+    else:
+        found = with_row_id(df, order_by).filter(F.col("_row_id") == i).drop("_row_id").head(1)
     if not found:
         raise IndexOutOfBounds(f"no row {i}")
     return found[0]
@@ -59,18 +95,34 @@ def shuffle(seed: int, key: str | Sequence[str]) -> Transform:
     return lambda df: df.orderBy(seeded(seed, *keys), *keys)
 
 
+#: Buckets of the seeded hash that a sample's cut-off is looked up in.
+BUCKET_BITS = 16
+
+
 def sample(n: int | None = None, *, fraction: float | None = None, seed: int = 42, key: str | Sequence[str]) -> Transform:
     """Exactly n rows, or round(rows * fraction), without replacement; all of them if there are no more.
 
-    The rows with the smallest seeded hashes: a top-n, so no full sort."""
+    The rows with the smallest seeded hashes: counts by hash bucket give the cut-off, rows below it are filtered, and only the bucket
+    on the edge is sorted."""
     keys = [key] if isinstance(key, str) else list(key)
     if (n is None) == (fraction is None):
         raise InvalidConfig("give either n or a fraction")
 
     def run(df: DataFrame) -> DataFrame:
         need(df, *keys)
-        size = n if fraction is None else int(df.count() * min(1.0, max(0.0, fraction)) + 0.5)
-        return df.orderBy(seeded(seed, *keys), *keys).limit(max(0, size))
+        bucket = F.shiftright(seeded(seed, *keys), 60 - BUCKET_BITS)
+        counts = sorted(df.groupBy(bucket.alias("b")).count().collect())  # at most 1 << BUCKET_BITS rows
+        total = sum(c for _, c in counts)
+        size = max(0, n if fraction is None else int(total * min(1.0, max(0.0, fraction)) + 0.5))
+        if size >= total:
+            return df
+        at, before = 0, 0
+        while before + counts[at][1] <= size:
+            before += counts[at][1]
+            at += 1
+        edge = counts[at][0]
+        last = df.filter(bucket == edge).orderBy(seeded(seed, *keys), *keys).limit(size - before)
+        return df.filter(bucket < edge).unionByName(last)
 
     return run
 
@@ -134,10 +186,21 @@ def fill_directed(column: str, order_by: Order | Sequence[Order], backward: bool
 
 
 def search(df: DataFrame, query: str, order_by: Order | Sequence[Order], start: int = 0) -> int | None:
-    """The position of the first row, from start on and around, with a cell that holds the query; case is ignored."""
+    """The position of the first row, from start on and around, with a cell that holds the query; case is ignored.
+
+    Hits are filtered first; the least of them is placed by counting the rows before it. Rows that share a place in the order are
+    found at the first of these places."""
     hit = F.lit(False)
     for c in df.columns:
         hit = hit | F.coalesce(F.lower(F.col(c).cast("string")).contains(query.lower()), F.lit(False))
-    found = with_row_id(df, order_by).filter(hit)
-    turn = found.agg(F.min(F.when(F.col("_row_id") >= start, F.col("_row_id"))), F.min("_row_id")).first()
+    names = _names(order_by)
+    if names and start <= NEAR:
+        place = order_value(names)
+        first, edge = F.min_by(F.struct(*names), place), _edge(df, start, names) if start > 0 else None
+        hits = df.filter(hit)
+        found = hits.agg(first.alias("f")).first().f
+        if start > 0 and edge is not None:
+            found = hits.filter(place >= _literal(df, names, edge)).agg(first.alias("f")).first().f or found
+        return None if found is None else df.filter(place < _literal(df, names, found)).count()
+    turn = with_row_id(df, order_by).filter(hit).agg(F.min(F.when(F.col("_row_id") >= start, F.col("_row_id"))), F.min("_row_id")).first()
     return turn[0] if turn[0] is not None else turn[1]

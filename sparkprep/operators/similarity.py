@@ -39,29 +39,45 @@ def _hashes(text: str | None, n: int) -> np.ndarray:
     return np.unique(h).view(np.int64)
 
 
-def grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, gram, total): a row for each distinct n-gram, hashed; total is their number in the text."""
+#: References of at most this many distinct n-grams are sent to all executors.
+KNOWN = 1 << 22
+
+
+def grams(df: DataFrame, key: str, text: str, n: int, among: np.ndarray | None = None) -> DataFrame:
+    """(key, row, gram, total): a row for each distinct n-gram, hashed, of each row of df; total is their number in the text.
+
+    among: sorted hashes; all other n-grams are left out (total still counts them)."""
     need(df, key, text)
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("gram", T.LongType()), T.StructField("total", T.LongType())])
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in ("row", "gram", "total"))])
+    sent = None if among is None else df.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                each = [_hashes(x, n) for x in part.column(text).to_pylist()]
+                each = [_hashes(x, n) for x in part.column("_text").to_pylist()]
                 sizes = np.array([len(x) for x in each], np.int64)
-                at = pa.array(np.repeat(np.arange(len(each)), sizes))
+                at, gram = np.repeat(np.arange(len(each)), sizes), np.concatenate([np.zeros(0, np.int64), *each])
+                if sent is not None:
+                    known = sent.value
+                    some = known[np.minimum(np.searchsorted(known, gram), len(known) - 1)] == gram if len(known) else np.zeros(len(gram), bool)
+                    at, gram = at[some], gram[some]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([part.column(key).take(at), pa.array(np.concatenate(each)), pa.array(np.repeat(sizes, sizes))], schema.names)
+                    place = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([part.column("_key").take(place), part.column("_row").take(place), pa.array(gram), pa.array(sizes[at])], schema.names)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row")).mapInArrow(run, schema)
 
 
 def contamination(train: DataFrame, reference: DataFrame, key: str, ref_key: str, text: str = "text", ref_text: str = "text", n: int = 10) -> DataFrame:
-    """(key, ref_key, overlap): for each row that shares any n-gram, the reference with the largest share; ties to the smaller key."""
-    own = grams(train, key, text, n)
-    other = grams(reference, ref_key, ref_text, n).select(F.col(ref_key).alias("_ref"), F.col("gram").alias("_gram"))
-    shared = own.join(other, F.col("gram") == F.col("_gram")).groupBy(key, "_ref", "total").agg(F.count("*").alias("_n"))
+    """(key, ref_key, overlap): for each key that shares any n-gram, the reference with the largest share; ties to the smaller key.
+
+    The reference's n-grams, if they are few enough, filter those of the texts where these are read, so that only shared ones are
+    joined. Rows that repeat a key are compared each on their own, and so are those of the reference."""
+    other = grams(reference, ref_key, ref_text, n).select(F.col(ref_key).alias("_ref"), F.col("row").alias("_other"), F.col("gram").alias("_gram"))
+    few = other.select("_gram").distinct().limit(KNOWN + 1).toArrow().column(0).to_numpy()
+    own = grams(train, key, text, n, among=np.sort(few) if len(few) <= KNOWN else None)
+    shared = own.join(other, F.col("gram") == F.col("_gram")).groupBy(key, "row", "_ref", "_other", "total").agg(F.count("*").alias("_n"))
     # Of equal shares the smaller reference key: the maximum of (share, -rank) as a minimum of (-share, key).
     best = shared.groupBy(key).agg(F.min(F.struct((-F.col("_n") / F.col("total")).alias("s"), F.col("_ref").alias("r"))).alias("b"))
     return best.select(key, F.col("b.r").alias(ref_key), (-F.col("b.s")).alias("overlap"))

@@ -463,10 +463,7 @@ def container_round_trip(spark, d):
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 700 OFFSET 900")
 def chunked_rows(spark, d):
-    path = _place(spark, "t.spd").removeprefix("file://")
-    import os
-
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = _place(spark, "t.spd")
     container.write_chunks(load(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey"), path, 5000)
     return container.Chunked(spark, path).get_rows(900, 700)
 

@@ -2,21 +2,23 @@
 
 A DDSketch is rows (column, sign, bucket, n): counting by logarithmic bucket is exact, associative and done by
 partial aggregation. A t-digest is an array of centroids per column, built per partition and merged in a tree
-of bounded groups. Sketches are stored as Parquet.
+of bounded groups. Sketches are stored as Parquet, or as bytes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkprep.core import numeric_columns
-from sparkprep.errors import InvalidConfig
+from sparkprep.errors import InvalidConfig, ParseError
 
 
 def gamma(alpha: float) -> float:
@@ -69,22 +71,14 @@ def dd_quantiles(sketch: DataFrame, quantiles: Sequence[float]) -> DataFrame:
 
 # ------------------------------------------------------------------ t-digest
 def compress(means: np.ndarray, weights: np.ndarray, compression: float = 100.0) -> tuple[np.ndarray, np.ndarray]:
-    """Merge sorted centroids as long as a cluster stays within one step of the scale function."""
+    """Merge sorted centroids whose middles fall into one unit of the scale function."""
     order = np.argsort(means, kind="stable")
     means, weights = means[order], weights[order]
-    total, out_m, out_w = weights.sum(), [], []
-    scale = lambda q: compression / (2 * math.pi) * math.asin(min(1.0, max(-1.0, 2 * q - 1)))
-    m, w, before, start = means[0], weights[0], 0.0, scale(0.0)
-    for x, y in zip(means[1:], weights[1:], strict=True):
-        if scale((before + w + y) / total) - start <= 1:
-            m += (x - m) * y / (w + y)
-            w += y
-        else:
-            out_m.append(m)
-            out_w.append(w)
-            before += w
-            start, m, w = scale(before / total), x, y
-    return np.array([*out_m, m]), np.array([*out_w, w])
+    middle = (np.cumsum(weights) - weights / 2) / weights.sum()
+    unit = np.floor(compression / (2 * math.pi) * (np.arcsin(2 * middle - 1) + math.pi / 2))
+    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    w = np.add.reduceat(weights, first)
+    return np.add.reduceat(means * weights, first) / w, w
 
 
 _DIGEST = "column string, means array<double>, weights array<double>, min double, max double"
@@ -142,6 +136,51 @@ def td_quantiles(digests: DataFrame, quantiles: Sequence[float]) -> DataFrame:
     return digests.mapInPandas(run, "column string, q double, value double")
 
 
+# ------------------------------------------------------------------ either kind
+KINDS = ("ddsketch", "tdigest")
+
+
+def sketch(df: DataFrame, kind: str = "ddsketch", columns: Sequence[str] | None = None) -> DataFrame:
+    if kind not in KINDS:
+        raise InvalidConfig(f"kind is one of {', '.join(KINDS)}")
+    return (ddsketch if kind == "ddsketch" else tdigest)(df, columns)
+
+
+def kind_of(sketched: DataFrame) -> str:
+    return "ddsketch" if "bucket" in sketched.columns else "tdigest"
+
+
+def merge(*parts: DataFrame) -> DataFrame:
+    """Sketches of one kind taken together."""
+    kinds = {kind_of(p) for p in parts}
+    if len(kinds) != 1:
+        raise InvalidConfig("sketches of two kinds can't be merged")
+    return merge_ddsketches(*parts) if kinds == {"ddsketch"} else merge_tdigests(reduce(DataFrame.unionByName, parts))
+
+
+def quantiles(sketched: DataFrame, at: Sequence[float]) -> DataFrame:
+    return (dd_quantiles if kind_of(sketched) == "ddsketch" else td_quantiles)(sketched, at)
+
+
+def to_bytes(sketched: DataFrame) -> bytes:
+    """A sketch (some hundred numbers a column) as an Arrow stream that names its kind."""
+    rows = sketched.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema.with_metadata({"sketch": kind_of(sketched)})) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(spark: SparkSession, data: bytes) -> DataFrame:
+    try:
+        rows = pa.ipc.open_stream(data).read_all()
+    except pa.ArrowInvalid as e:
+        raise ParseError("not a sketch") from e
+    if (rows.schema.metadata or {}).get(b"sketch", b"").decode() not in KINDS:
+        raise ParseError("not a sketch")
+    return spark.createDataFrame(rows)
+
+
 # ------------------------------------------------------------------ drift between sketches
 def compare(reference: DataFrame, current: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Quantile tables (column, q, value) of both sides -> (column, statistic, severity): the largest relative difference."""

@@ -1,9 +1,13 @@
-"""A versioned catalogue of datasets: an index in JSON, and Parquet folders."""
+"""A versioned catalogue of datasets: Parquet folders, and a record in JSON for each version.
+
+Publishing writes a record of its own and changes no other, so writers do not undo each other's work; the index is the
+records, listed on load."""
 
 from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkprep.errors import InvalidConfig, NotFound, ParseError
 from sparkprep.sources.storage import HadoopStorage, Storage
 
-INDEX = "registry-index.json"
+INDEX, RECORDS = "registry-index.json", "registry/"
 
 
 @dataclass
@@ -40,19 +44,22 @@ class Registry:
         self.storage = storage or HadoopStorage(spark, self.root)
 
     def load(self) -> dict[str, Entry]:
-        if not self.storage.exists(INDEX):
-            return {}
         try:
-            return {x["name"]: Entry(**x) for x in json.loads(self.storage.get(INDEX))["datasets"]}
+            if self.storage.exists(INDEX):
+                json.loads(self.storage.get(INDEX))["format"]
+            found = [json.loads(self.storage.get(k)) for k in self.storage.list(RECORDS)]
+            out: dict[str, Entry] = {}
+            for x in sorted(found, key=lambda x: (x["at"], x["entry"]["latest"])):
+                e = Entry(**x["entry"])
+                e.versions = [*(out[e.name].versions if e.name in out else []), e.latest]
+                out[e.name] = e
+            return out
         except (ValueError, KeyError, TypeError) as e:
             raise ParseError(f"the index of {self.root} can't be read") from e
 
-    def _save(self, entries: dict[str, Entry]) -> None:
-        self.storage.put(INDEX, json.dumps({"datasets": [asdict(e) for e in entries.values()]}, indent=1).encode())
-
     def init(self) -> None:
         if not self.storage.exists(INDEX):
-            self._save({})
+            self.storage.put(INDEX, b'{"format": 2}')
 
     def path(self, name: str, version: str) -> str:
         return f"{self.root}/datasets/{name}/{version}/data.parquet"
@@ -62,17 +69,16 @@ class Registry:
         for x in (name, version):
             if not re.fullmatch(r"[\w.+-]+", x):
                 raise InvalidConfig(f"bad name or version {x!r}")
-        entries = self.load()  # before anything is written
+        old = self.load().get(name)  # before anything is written
         path = self.path(name, version)
         df.write.mode("overwrite").parquet(path)
         base = f"datasets/{name}/{version}/data.parquet"
         size = sum(self.storage.size(k) for k in self.storage.list(base))
-        old = entries.get(name)
-        versions = [v for v in (old.versions if old else []) if v != version] + [version]
         kept = {k: v for k, v in asdict(old).items() if k in ("description", "license", "tags", "source", "citation")} if old else {}
-        entries[name] = Entry(name, versions, version, size, self.spark.read.parquet(path).count(), df.schema.simpleString(), **(kept | about))
-        self._save(entries)
-        return entries[name]
+        entry = Entry(name, [version], version, size, self.spark.read.parquet(path).count(), df.schema.simpleString(), **(kept | about))
+        self.init()
+        self.storage.put(f"{RECORDS}{name}/{version}.json", json.dumps({"at": time.time_ns(), "entry": asdict(entry)}).encode())
+        return self.load()[name]
 
     def list(self) -> list[str]:
         return sorted(self.load())
@@ -95,15 +101,9 @@ class Registry:
         entries = self.load()
         if name not in entries or version not in entries[name].versions:
             raise NotFound(f"{name} {version}")
+        self.storage.delete(f"{RECORDS}{name}/{version}.json")
         for key in self.storage.list(f"datasets/{name}/{version}/"):
             self.storage.delete(key)
-        entry = entries[name]
-        entry.versions.remove(version)
-        if entry.versions:
-            entry.latest = entry.versions[-1] if entry.latest == version else entry.latest
-        else:
-            del entries[name]
-        self._save(entries)
 
     def frame(self) -> DataFrame:
         """The index as a table."""

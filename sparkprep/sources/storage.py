@@ -6,6 +6,8 @@ import os
 import threading
 import urllib.error
 import urllib.request
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Protocol
 
@@ -93,6 +95,15 @@ class MemoryStorage:
         self._data.clear()
 
 
+class HadoopWriter:
+    def __init__(self, stream):
+        self._stream = stream
+
+    def write(self, data: bytes) -> None:
+        for at in range(0, len(data), 8 << 20):
+            self._stream.write(bytearray(data[at : at + (8 << 20)]))
+
+
 class HadoopStorage:
     """Keys below a URI that Spark's Hadoop file systems can open."""
 
@@ -126,9 +137,26 @@ class HadoopStorage:
             stream.close()
 
     def put(self, key: str, data: bytes) -> None:
+        with self.writer(key) as out:
+            out.write(data)
+
+    @contextmanager
+    def writer(self, key: str) -> Iterator[HadoopWriter]:
         stream = self._fs.create(self._at(key), True)
         try:
-            stream.write(bytearray(data))
+            yield HadoopWriter(stream)
+        finally:
+            stream.close()
+
+    def get_range(self, key: str, start: int, size: int) -> bytes:
+        """Bytes from a place on."""
+        if not self.exists(key):
+            raise NotFound(key)
+        stream, out = self._fs.open(self._at(key)), self._jvm.java.io.ByteArrayOutputStream()
+        try:
+            stream.seek(start)
+            self._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, size)
+            return bytes(out.toByteArray())
         finally:
             stream.close()
 
