@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkprep.core import running_totals
+from sparkprep.core import running_totals, seeded
 from sparkprep.errors import EmptyDataset, InvalidConfig
 
 STRATEGIES = ("local_with_seed", "global_stratified", "proportional_iid")
@@ -58,7 +58,7 @@ def execute(df: DataFrame, instructions: DataFrame, node: str, key: str) -> Data
     label = instructions.select("stratify_column").filter("stratify_column IS NOT NULL").distinct().head(2)
     group = [F.col(node).cast("string"), F.col(label[0][0]).cast("string") if label else F.lit("")]
     rows = df.join(F.broadcast(instructions), F.col(node).cast("string") == F.col("node_id")) if instructions.count() <= 100_000 else df.join(instructions, F.col(node).cast("string") == F.col("node_id"))
-    rows = rows.withColumn("_group", F.concat_ws("\x1f", *group)).withColumn("_by", F.struct(F.xxhash64("seed", key).alias("h"), F.col(key))).withColumn("_one", F.lit(1).cast("long"))
+    rows = rows.withColumn("_group", F.concat_ws("\x1f", *group)).withColumn("_by", F.struct(seeded(F.col("seed"), key).alias("h"), F.col(key))).withColumn("_one", F.lit(1).cast("long"))
     sizes = rows.groupBy(F.col("_group").alias("_g")).agg(F.count("*").alias("_n"))
     placed = running_totals(rows, "_group", "_by", {"_upto": "_one"}).join(sizes, F.col("_group") == F.col("_g"))
     cut = F.greatest(F.floor(F.col("_n") * F.col("train_ratio") + 0.5), F.lit(1))

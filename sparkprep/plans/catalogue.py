@@ -503,3 +503,6 @@ def streaming_daily_counts(spark, d):
     counts = lambda batch: batch.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     frames.each_batch(stream, counts, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("event_type", "day").agg(F.sum("n").alias("n"))
+
+
+from sparkprep.plans import interfaces  # noqa: E402,F401  registers its queries
