@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from sparkprep.llm.common import materialize
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame) -> DataFrame:  # merge joins: many small broadcast relations would pile up on the driver
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.join(least, both.u == least.k).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least.hint("merge"), both.u == least.k).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    hooked = e.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hooked = e.join(least.withColumnRenamed("u", "k").hint("merge"), F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hooked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -347,8 +347,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iter
 
 
 def _candidates(entries: DataFrame, nodes: DataFrame, percent: int, labels: DataFrame | None, every: bool = False) -> DataFrame:
-    rows = entries.join(nodes, "node")
-    rows = rows.withColumn("component", F.lit(None).cast("long")) if labels is None else rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = entries.join(nodes.hint("merge"), "node")
+    rows = rows.withColumn("component", F.lit(None).cast("long")) if labels is None else rows.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.select("list", "side", "node", "n", "bits", "component").repartition(partitions(entries.sparkSession), "list").sortWithinPartitions("list", "side")
     return rows.mapInArrow(lambda it: _pairs(it, percent, every), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -368,7 +368,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
     kind = sets.schema["id"].dataType.simpleString()
-    return pairs.join(left, "a").join(right, "b").select("u", "v", "x", "y").mapInArrow(run, f"u {kind}, v {kind}")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("u", "v", "x", "y").mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", most_frequent: int = MOST_FREQUENT) -> DataFrame:
@@ -389,7 +389,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", te
     entries = short.unionByName(long)
     pairs = materialize(_candidates(entries, nodes, percent, None), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = reps.join(needed, "node", "left_semi").filter("id IS NOT NULL").select(F.col("id").alias("_id"), F.col("node").alias("_node"), F.col("check").alias("_check"))
+    wanted = reps.join(needed.hint("merge"), "node", "left_semi").filter("id IS NOT NULL").select(F.col("id").alias("_id"), F.col("node").alias("_node"), F.col("check").alias("_check"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -404,22 +404,22 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", te
             got = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([got.column("_id"), got.column("_node"), pa.array(sets, pa.binary())], ["id", "node", "tokens"])
 
-    sets = docs.select(F.col(key).alias("_key"), text).join(wanted, F.col("_key") == F.col("_id")).select("_id", "_node", "_check", text)
+    sets = docs.select(F.col(key).alias("_key"), text).join(wanted.hint("merge"), F.col("_key") == F.col("_id")).select("_id", "_node", "_check", text)
     sets = materialize(sets.mapInArrow(fetch, f"id {kind}, node long, tokens binary"), "tokens")
     links = materialize(_verify(pairs, sets, percent), "links")
     label = components(links, "u", "v")
     for every in (False, True):  # few pairs join most of what belongs together; then all that are left are tried
-        by_node = reps.join(label, reps.id == label.node).select(reps.node, "component")
+        by_node = reps.join(label.hint("merge"), reps.id == label.node).select(reps.node, "component")
         by_node = by_node.groupBy("node").agg(F.min("component").alias("component"))
         # Any name of a component will do, as long as equal means equal.
         named = materialize(by_node.withColumn("component", F.xxhash64("component")), "labels")
-        more = materialize(_candidates(entries, nodes, percent, named, every).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_candidates(entries, nodes, percent, named, every).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         links = materialize(links.unionByName(_verify(more, sets, percent)), "links")
         pairs = pairs.unionByName(more)
         label = components(links, "u", "v")
     label = label.select(F.col("node").alias("_id"), "component")
-    named = reps.join(label, reps.id == F.col("_id"), "left").select(F.col("node").alias("_node"), F.col("check").alias("_check"), F.coalesce("component", "id").alias("component"))
-    out = meta.join(named, (meta.node == F.col("_node")) & (meta.check == F.col("_check")) & (meta.n > 0), "left")
+    named = reps.join(label.hint("merge"), reps.id == F.col("_id"), "left").select(F.col("node").alias("_node"), F.col("check").alias("_check"), F.coalesce("component", "id").alias("component"))
+    out = meta.join(named.hint("merge"), (meta.node == F.col("_node")) & (meta.check == F.col("_check")) & (meta.n > 0), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
