@@ -44,6 +44,7 @@ from sparkprep.llm.common import hash_spans, materialize, mix, shingle_hashes, s
 DEPTH = 2
 MIN_TOKENS, FIXED = 1, 3
 CONSTANT, FIELDS, VALUES = 5, 0.3, 3
+SALTS = 16
 SHINGLE, BINS, ALIKE = 5, 128, 0.8
 _FIELD = np.zeros(256, np.int64)
 _FIELD[[*range(48, 58), ord("@"), ord("/")]] = 1
@@ -168,7 +169,10 @@ def _generalised(lines: DataFrame) -> DataFrame:
     # Leaves with one line, or of one document, have nothing to compare.
     open_ = lines.groupBy("leaf").agg(*(f(c).alias(f"{c}{i}") for c in ("template", "__sp_hash") for i, f in enumerate((F.min, F.max))))
     open_ = open_.filter("template0 != template1 AND __sp_hash0 != __sp_hash1").select("leaf")
-    kinds = materialize(lines.select("template", "leaf", "base", "plain", "tokens").join(open_, "leaf", "left_semi").dropDuplicates(["template"]), "leaves")
+    # A leaf may hold a large share of all lines: its lines are dealt by document, too.
+    salted = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kinds = lines.select("template", "leaf", "base", "plain", "tokens", F.pmod("__sp_hash", F.lit(SALTS)).cast("int").alias("salt"))
+    kinds = materialize(kinds.join(salted, ["leaf", "salt"], "left_semi").drop("salt").dropDuplicates(["template"]), "leaves")
     alone = kinds.select("template", "leaf", "tokens").mapInArrow(_cells, "template long, cell long, delta long")
     alone = alone.groupBy("cell").agg(F.count("*").alias("n"), F.min("template").alias("template"), F.min("delta").alias("delta")).filter("n = 1")
     fields = alone.groupBy("template").agg(F.count("*").alias("fields"), F.bit_xor("delta").alias("delta"))
