@@ -7,16 +7,21 @@ each rare token of its prefix, and by pairs of frequent tokens of one subclass.
 until (rare tokens) + sum over subclasses of (frequent tokens - 1) reaches size - t + 1; if two sets
 share no signature, each is missing so many tokens of the other that their overlap is below t.
 
-Documents with equal sets are one node. In each posting list with two or more nodes, pairs are bounded
+Documents with equal sets are one node. A signature that HEAVY nodes of one chunk share is posted in parts (the nodes
+of a chunk), which never meet in one task; all other signatures have one posting list. Pairs are bounded
 by parity bitmaps (the Hamming distance of two parity bitmaps never exceeds the symmetric difference, so
-no link is lost). Instead of all pairs a star per group of alike nodes is verified first, then one pair per
-node and list between different components, and last all pairs that still are in different components.
-Verification intersects the whole token sets.
+no link is lost). Three rounds of verification, each followed by connected components, go from few pairs to all that
+are left: (1) a star per group of alike nodes of a list or part; (2) one pair per node and list between different
+components, and for signatures in parts, between one representative of each component; (3) every alike pair of different
+components: in a signature of several parts the nodes outside its largest component meet all parts, so the parts of a
+large group of near copies, which are one component by then, do not meet each other. Lists within one component take no part.
+Verification intersects the whole token sets. (Round 3 is as large as the number of pairs that pass the bitmaps but not
+the limit; no exact join avoids these.)
 
 Defined cases: null text, or text without words, has an empty set and no links; fewer words than a
 shingle form one token; equal sets are linked however many there are; rows that repeat an id are all
-reported, with that id; null ids are reported and stand after all others for naming a component (if a component
-holds only null ids its name is null); an empty table gives no rows; other columns are ignored.
+reported, with that id; null ids are linked and reported like others and stand after all others for naming a component (if a
+component holds only null ids its name is null); an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ MOST_FREQUENT = 1 << 20
 FLUSH = 1 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK = 2048
+HEAVY = 64
 
 
 def token_sets(batch: pa.RecordBatch, text: str, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -77,7 +83,7 @@ def frequent_tokens(docs: DataFrame, text: str, k: int, most: int = MOST_FREQUEN
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for _, s in token_sets(batch, text, k):
+            for _, s in token_sets(batch, "_text", k):
                 held.append(s)
                 size += len(s)
                 if size >= 2 * FLUSH:
@@ -111,7 +117,7 @@ def frequent_tokens(docs: DataFrame, text: str, k: int, most: int = MOST_FREQUEN
         if keys:
             yield from close(now, keys, counts)
 
-    parts = docs.select(text).mapInArrow(local, "bucket int, once binary, more binary, counts binary")
+    parts = docs.select(F.col(text).alias("_text")).mapInArrow(local, "bucket int, once binary, more binary, counts binary")
     found = parts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(total, "token long, df long")
     found = materialize(found, "frequencies")
     room, least = most, None
@@ -180,18 +186,27 @@ def index(docs: DataFrame, frequent: tuple[np.ndarray, int], key: str, text: str
     filled[(frequent[0] % np.uint64(1 << 24)).astype(np.int64)] = True
     sent, cut = spark.sparkContext.broadcast((frequent[0], np.packbits(filled))), frequent[1]
     key_type = docs.select(key).limit(0).toArrow().schema.field(0).type
-    first = pa.schema([("bucket", pa.int32()), ("id", key_type), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("sigs", pa.binary()), ("nodes", pa.binary())])
-    then = pa.schema([("id", key_type), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("sig", pa.int64()), ("members", pa.list_(pa.int64()))])
+    first = pa.schema([("bucket", pa.int32()), ("id", key_type), ("h", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("sigs", pa.binary()), ("nodes", pa.binary())])
+    then = pa.schema([("id", key_type), ("h", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("sig", pa.int64()), ("members", pa.list_(pa.int64()))])
     key_sql = docs.schema[key].dataType.simpleString()
 
     def post(sigs: list[np.ndarray], nodes: list[tuple[int, int]]) -> pa.RecordBatch:
         sig, node = np.concatenate(sigs), np.repeat(np.array([x for x, _ in nodes], np.int64), [c for _, c in nodes])
+        order = np.argsort(sig, kind="stable")
+        sig, node = sig[order], node[order]
+        first_of = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(first_of, len(sig)))
+        heavy = np.flatnonzero(size >= HEAVY)
+        parts = [(-1 - int(sig[i] % np.uint64(lists)), sig[i : i + 1].tobytes(), np.sort(node[j : min(j + BLOCK, i + m)]).tobytes()) for i, m in zip(first_of[heavy], size[heavy], strict=True) for j in range(i, i + m, BLOCK)]
+        light = np.repeat(size < HEAVY, size)
+        sig, node = sig[light], node[light]
         list_of = (sig % np.uint64(lists)).astype(np.int32)
         order = np.argsort(list_of, kind="stable")
         sig, node, list_of = sig[order], node[order], list_of[order]
         edge = np.searchsorted(list_of, np.arange(lists + 1))
         full = np.flatnonzero(edge[1:] > edge[:-1])
-        return _rows(first, bucket=full.astype(np.int32), sigs=[sig[edge[b] : edge[b + 1]].tobytes() for b in full], nodes=[node[edge[b] : edge[b + 1]].tobytes() for b in full])
+        rows = [(b, sig[edge[b] : edge[b + 1]].tobytes(), node[edge[b] : edge[b + 1]].tobytes()) for b in full] + parts
+        return _rows(first, **dict(zip(("bucket", "sigs", "nodes"), map(list, zip(*rows, strict=True)), strict=True)))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, packed = sent.value
@@ -200,7 +215,7 @@ def index(docs: DataFrame, frequent: tuple[np.ndarray, int], key: str, text: str
         for batch in batches:
             meta: dict[str, list] = {c: [] for c in ("bucket", "n", "node", "check", "bits")}
             rows = []
-            for row, s in token_sets(batch, text, k):
+            for row, s in token_sets(batch, "_text", k):
                 node, check = identity(s) if len(s) else (0, 0)
                 for c, x in zip(meta, (lists + (row + node) % (4 * lists), len(s), node, check, parity(s) if len(s) else b""), strict=True):
                     meta[c].append(x)
@@ -220,7 +235,7 @@ def index(docs: DataFrame, frequent: tuple[np.ndarray, int], key: str, text: str
                 if size >= FLUSH:
                     yield post(held, owners)
                     held, owners, seen, size = [], [], set(), 0
-            yield _rows(first, id=batch.column(key).cast(key_type), **meta)
+            yield _rows(first, id=batch.column("_id").cast(key_type), h=batch.column("_h"), **meta)
         if size:
             yield post(held, owners)
 
@@ -251,8 +266,11 @@ def index(docs: DataFrame, frequent: tuple[np.ndarray, int], key: str, text: str
             bucket = batch.column("bucket").to_numpy()
             if (bucket >= lists).any():
                 plain = batch.filter(pa.array(bucket >= lists))
-                yield _rows(then, **{c: plain.column(c) for c in ("id", "n", "node", "check", "bits")})
-                batch = batch.filter(pa.array(bucket < lists))
+                yield _rows(then, **{c: plain.column(c) for c in ("id", "h", "n", "node", "check", "bits")})
+            if (bucket < 0).any():
+                parts = batch.filter(pa.array(bucket < 0))
+                yield _rows(then, sig=[int.from_bytes(x, "little", signed=True) for x in parts.column("sigs").to_pylist()], members=[np.frombuffer(x, np.int64) for x in parts.column("nodes").to_pylist()])
+            batch = batch.filter(pa.array((bucket >= 0) & (bucket < lists)))
             for b, s, m in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "nodes")), strict=True):
                 if b != now and sigs:
                     yield from close(sigs, nodes)
@@ -263,9 +281,10 @@ def index(docs: DataFrame, frequent: tuple[np.ndarray, int], key: str, text: str
         if sigs:
             yield from close(sigs, nodes)
 
-    both = docs.select(key, text).mapInArrow(local, f"bucket int, id {key_sql}, n long, node long, check long, bits binary, sigs binary, nodes binary")
+    rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
+    both = rows.mapInArrow(local, f"bucket int, id {key_sql}, h long, n long, node long, check long, bits binary, sigs binary, nodes binary")
     both = both.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return materialize(both.mapInArrow(gather, f"id {key_sql}, n long, node long, check long, bits binary, sig long, members array<long>"), "postings")
+    return materialize(both.mapInArrow(gather, f"id {key_sql}, h long, n long, node long, check long, bits binary, sig long, members array<long>"), "postings")
 
 
 # ------------------------------------------------------------------ pairs
@@ -346,17 +365,17 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*dict.fromkeys(out), strict=True)], ["a", "b"])
 
 
-def _candidates(entries: DataFrame, nodes: DataFrame, percent: int, labels: DataFrame | None, every: bool = False) -> DataFrame:
-    rows = entries.join(nodes.hint("merge"), "node")
-    rows = rows.withColumn("component", F.lit(None).cast("long")) if labels is None else rows.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = rows.select("list", "side", "node", "n", "bits", "component").repartition(partitions(entries.sparkSession), "list").sortWithinPartitions("list", "side")
+def _candidates(entries: DataFrame, nodes: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Pairs of the entries (list, side, node, component)."""
+    rows = entries.join(nodes.hint("merge"), "node").select("list", "side", "node", "n", "bits", "component")
+    rows = rows.repartition(partitions(entries.sparkSession), "list").sortWithinPartitions("list", "side")
     return rows.mapInArrow(lambda it: _pairs(it, percent, every), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the ids of linked sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("id").alias("u"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("id").alias("v"), F.col("tokens").alias("y"))
+    """The pairs (a, b) of nodes whose sets are linked."""
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,73 +384,110 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
-
-    kind = sets.schema["id"].dataType.simpleString()
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("u", "v", "x", "y").mapInArrow(run, f"u {kind}, v {kind}")
-
-
-def join(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", most_frequent: int = MOST_FREQUENT) -> DataFrame:
-    """One row per document: key, n_shingles, component_id (the smallest key reachable by links)."""
-    spark = docs.sparkSession
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _lists(found: DataFrame) -> DataFrame:
+    """(sig, part, several, node): the entries of posting lists, less signatures that post the same nodes in the same parts as another."""
+    posted = found.filter("sig IS NOT NULL").select("sig", "members", F.xxhash64("members").alias("part"), F.xxhash64(F.lit(1), "members").alias("other"))
+    whole = posted.groupBy("sig").agg(F.bit_xor("part").alias("x"), F.bit_xor("other").alias("y"), F.count("*").alias("parts"))
+    kept = whole.groupBy("x", "y", "parts").agg(F.min("sig").alias("sig")).select("sig", (F.col("parts") > 1).alias("parted"))
+    rows = posted.join(kept.hint("merge"), "sig").withColumn("blocks", F.ceil(F.size("members") / (2 * BLOCK)))
+    rows = rows.select("sig", "part", "blocks", (F.col("parted") | (F.col("blocks") > 1)).alias("several"), F.posexplode("members").alias("at", "node"))
+    return rows.select("sig", F.when(F.col("blocks") > 1, F.xxhash64("part", F.col("at") % F.col("blocks"))).otherwise(F.col("part")).alias("part"), "several", "node")
+
+
+def _open(entries: DataFrame, every: bool) -> DataFrame:
+    """(list, side, node, component) of the entries (sig, part, several, node, component) of signatures with several components."""
+    spans = entries.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("sig")
+    entries = materialize(entries.join(spans.hint("merge"), "sig", "left_semi"), "entries")
+    name = lambda part, block: F.struct(F.col("sig"), part.alias("part"), block.alias("block")).alias("list")
+    zero = F.lit(0)
+    own = entries.filter("NOT several OR " + str(not every).lower()).select(name(F.col("part"), zero), zero.alias("side"), "node", "component")
+    several = entries.filter("several")
+    sizes = several.groupBy("sig", "component").agg(F.count("*").alias("size"), F.min("node").alias("node"))
+    if not every:  # one node of each component of the whole signature
+        blocks = sizes.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        heads = sizes.join(blocks.hint("merge"), "sig").select(name(F.lit(0).cast("long"), F.pmod(F.xxhash64("node"), "blocks").cast("int") + 1), zero.alias("side"), "node", "component")
+        return own.unionByName(heads)
+    # Nodes outside the largest component meet all parts, in blocks.
+    largest = sizes.groupBy("sig").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+    rest = several.join(largest.hint("merge"), "sig").filter("component != largest").select("sig", "node", "component").distinct()
+    blocks = rest.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    places = several.select("sig", "part").distinct()
+    rest = rest.join(blocks.hint("merge"), "sig").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(places.hint("merge"), "sig")
+    rest = rest.select(name(F.col("part"), F.col("block")), F.lit(1).alias("side"), "node", "component")
+    part = several.join(blocks.hint("merge"), "sig").withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    return own.unionByName(rest).unionByName(part.select(name(F.col("part"), F.col("block")), zero.alias("side"), "node", "component"))
+
+
+def _groups(docs: DataFrame, k: int, percent: int, key: str, text: str, most_frequent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, h, n, node, check) of every document, and (node, check, id, h, component) of every set: its first document and its group."""
     kind = docs.schema[key].dataType.simpleString()
     found = index(docs, frequent_tokens(docs, text, k, most_frequent), key, text, k, percent)
-    meta = found.filter("sig IS NULL").select("id", "n", "node", "check", "bits")
+    meta = found.filter("sig IS NULL").select("id", "h", "n", "node", "check", "bits")
     # A set is known by its first document; equal sets need no comparison.
-    reps = materialize(meta.filter("n > 0").groupBy("node", "check").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))).alias("first")
+    reps = meta.filter("n > 0").groupBy("node", "check").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"))
+    reps = materialize(reps.select("node", "check", "first.id", "first.h", "n", "bits"), "sets")
     nodes = reps.dropDuplicates(["node"]).select("node", "n", "bits")
-    lists = found.filter("sig IS NOT NULL").groupBy("members").agg(F.min("sig").alias("sig")).withColumn("blocks", F.ceil(F.size("members") / BLOCK).cast("int"))
-    short = lists.filter("blocks <= 2").select(F.struct(F.col("sig"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("list"), F.lit(0).alias("side"), F.explode("members").alias("node"))
-    # Long lists: every pair of blocks of their members meets in a task of its own.
-    long = lists.filter("blocks > 2").select("sig", "blocks", F.posexplode("members").alias("at", "node")).withColumn("block", F.pmod("at", "blocks"))
-    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    long = long.select(F.struct(F.col("sig"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("list"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node")
-    entries = short.unionByName(long)
-    pairs = materialize(_candidates(entries, nodes, percent, None), "pairs")
+    entries = materialize(_lists(found), "lists")
+    lists = entries.select(F.struct("sig", "part", F.lit(0).alias("block")).alias("list"), F.lit(0).alias("side"), "node", F.lit(None).cast("long").alias("component"))
+    pairs = materialize(_candidates(lists, nodes, percent), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = reps.join(needed.hint("merge"), "node", "left_semi").filter("id IS NOT NULL").select(F.col("id").alias("_id"), F.col("node").alias("_node"), F.col("check").alias("_check"))
+    wanted = reps.join(needed.hint("merge"), "node", "left_semi").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("node").alias("_node"), F.col("check").alias("_check"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
         for batch in batches:
             rows, sets = [], []
             asked = list(zip(batch.column("_node").to_pylist(), batch.column("_check").to_pylist(), strict=True))
-            for i, s in token_sets(batch, text, k):
-                if len(s) and identity(s) == asked[i] and asked[i] != before:  # repeated rows lie side by side
+            for i, s in token_sets(batch, "_text", k):
+                if len(s) and identity(s) == asked[i]:
                     rows.append(i)
                     sets.append(s.tobytes())
-                    before = asked[i]
-            got = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([got.column("_id"), got.column("_node"), pa.array(sets, pa.binary())], ["id", "node", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("_node").take(pa.array(rows, pa.int64())), pa.array(sets, pa.binary())], ["node", "tokens"])
 
-    sets = docs.select(F.col(key).alias("_key"), text).join(wanted.hint("merge"), F.col("_key") == F.col("_id")).select("_id", "_node", "_check", text)
-    sets = materialize(sets.mapInArrow(fetch, f"id {kind}, node long, tokens binary"), "tokens")
+    texts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    texts = texts.join(wanted.hint("merge"), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+    sets = texts.select("_node", "_check", "_text").mapInArrow(fetch, "node long, tokens binary")
+    repeated = meta.filter("n > 0").groupBy("id", "h").count().filter("count > 1").limit(1)
+    sets = materialize(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), "tokens")
     links = materialize(_verify(pairs, sets, percent), "links")
-    label = components(links, "u", "v")
+    label = components(links, "a", "b")
     for every in (False, True):  # few pairs join most of what belongs together; then all that are left are tried
-        by_node = reps.join(label.hint("merge"), reps.id == label.node).select(reps.node, "component")
-        by_node = by_node.groupBy("node").agg(F.min("component").alias("component"))
-        # Any name of a component will do, as long as equal means equal.
-        named = materialize(by_node.withColumn("component", F.xxhash64("component")), "labels")
-        more = materialize(_candidates(entries, nodes, percent, named, every).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.unionByName(_verify(more, sets, percent)), "links")
+        named = entries.join(label.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        more = materialize(_candidates(_open(named, every), nodes, percent, every).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        new = materialize(_verify(more, sets, percent), "links")
         pairs = pairs.unionByName(more)
-        label = components(links, "u", "v")
-    label = label.select(F.col("node").alias("_id"), "component")
-    named = reps.join(label.hint("merge"), reps.id == F.col("_id"), "left").select(F.col("node").alias("_node"), F.col("check").alias("_check"), F.coalesce("component", "id").alias("component"))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            label = components(links, "a", "b")
+    return meta.select("id", "h", "n", "node", "check"), reps.select("node", "check", "id", "h").join(label.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", most_frequent: int = MOST_FREQUENT) -> DataFrame:
+    """One row per document: key, n_shingles, component_id (the smallest key reachable by links)."""
+    meta, sets = _groups(docs, k, percent, key, text, most_frequent)
+    names = sets.groupBy("component").agg(F.min("id").alias("name"))
+    named = sets.join(names.hint("merge"), "component").select(F.col("node").alias("_node"), F.col("check").alias("_check"), "name")
     out = meta.join(named.hint("merge"), (meta.node == F.col("_node")) & (meta.check == F.col("_check")) & (meta.n > 0), "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-
-
-def keep(docs: DataFrame) -> DataFrame:
-    """A pipeline stage: of each group of near duplicates the document with the smallest id stays."""
-    groups = materialize(join(docs), "groups")
-    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__sp_id"))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__sp_id")), "left_semi")
-    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():  # rows that repeat an id and a text
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A pipeline stage: of each group of near duplicates one document stays, that of the smallest id (null ids last); documents
+    without words all stay, but rows that repeat an id and a text only once."""
+    meta, sets = _groups(docs, 5, 80, key, text, MOST_FREQUENT)
+    best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))).alias("best")
+    kept = sets.groupBy("component").agg(best).select("best.id", "best.h").unionByName(meta.filter("n = 0").select("id", "h")).distinct()
+    kept = materialize(kept.select(F.col("id").alias("__sp_id"), F.col("h").alias("__sp_h")), "kept")
+    out = docs.withColumn("__sp_hash", F.xxhash64(text)).join(kept.hint("merge"), F.col(key).eqNullSafe(F.col("__sp_id")) & (F.col("__sp_hash") == F.col("__sp_h")), "left_semi").drop("__sp_hash")
+    repeated = meta.groupBy("id", "h").count().filter("count > 1").limit(1)
+    return out if repeated.isEmpty() else out.dropDuplicates([key, text])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
