@@ -1,15 +1,18 @@
 """Document fingerprints: threshold-scaled sketches.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range (and the smallest hash, so
-that no text with words has an empty one). Its size follows the document's, unions of sketches are the
-sketches of unions, and the share of one sketch found in another estimates containment even between
-very unequal documents.
+A sketch keeps every shingle hash below a fixed fraction of the hash range. Its size follows the document's, and the
+share of one sketch found in another estimates containment even between very unequal documents. If no hash is below the
+fraction, the smallest one stands in, so that no text with words has an empty sketch; as it is not below the fraction, merge()
+can tell it and drops it as soon as there is a hash that is, so the merged sketches of documents are the sketch of their
+union, always. Containment of a stand-in in a sketch that does not have it can't be told, and is not a number.
 
 A fingerprint is the sorted hashes, 32 bits each, as hex. Shingles are runs of five words after A-Z are
 lower-cased; a text of fewer words is one shingle.
 
 Defined cases: a null text is empty; a text without words has the empty fingerprint, which is alike 1 to
-another empty one and 0 to any other; equal texts have equal fingerprints.
+another empty one and 0 to any other; equal texts have equal fingerprints; rows that repeat an id, and rows of null id (they
+come last), are ordered by their texts, and each is compared with the next; a single row is its own next; an empty table
+gives no rows; other columns are ignored (names that begin with ``__sp_`` are reserved).
 """
 
 from __future__ import annotations
@@ -56,9 +59,11 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
 
 
-def merge(*parts: np.ndarray) -> np.ndarray:
+def merge(*parts: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
     """The sketch of documents taken together."""
-    return np.unique(np.concatenate(parts))
+    every = np.unique(np.concatenate(parts))
+    low = every[every < int(fraction * (1 << 32))]
+    return low if len(low) else every[:1]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -68,11 +73,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The estimated share of a's shingles that b has."""
+def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """The estimated share of a's shingles that b has; nan if a has a stand-in only and b does not have it."""
     if not len(a):
         return 1.0
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
+    share = len(np.intersect1d(a, b, assume_unique=True)) / len(a)
+    return float("nan") if not share and len(b) and a[0] >= int(fraction * (1 << 32)) else share
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
@@ -113,14 +119,14 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     step = lambda at, jump: F.when((at + jump <= len(cuts)) & (F.get(bounds, at + jump - 1) >= F.col(key)), at + jump).otherwise(at)
     found = F.aggregate(F.lit(jumps), F.lit(0), step) if cuts else F.lit(0)
     segment = F.when(F.col(key).isNull(), F.lit(len(cuts) + 1)).otherwise(found)
-    placed = docs.select(F.col(key), F.col(text), segment.alias("_segment"))
-    heads = sorted(placed.groupBy("_segment").agg(F.max(key).alias("head")).collect(), key=lambda r: r[0])  # one row a segment
-    to = [(heads[i]["head"], heads[i - 1]["_segment"]) for i in range(len(heads))]
+    placed = docs.select(F.col(key), F.col(text), segment.alias("__sp_segment"))
+    heads = sorted(placed.groupBy("__sp_segment").agg(F.max(key).alias("head")).collect(), key=lambda r: r[0])  # one row a segment
+    to = [(heads[i]["head"], heads[i - 1]["__sp_segment"]) for i in range(len(heads))]
     kind = docs.schema[key].dataType
-    moves = spark.createDataFrame(to, T.StructType([T.StructField("_head", kind), T.StructField("_to", T.IntegerType())]))
-    extra = placed.join(F.broadcast(moves), F.col(key).eqNullSafe(F.col("_head"))).select(key, text, F.col("_to").alias("_segment"), F.lit(True).alias("_extra"))
-    both = placed.withColumn("_extra", F.lit(False)).unionByName(extra)
-    both = both.repartition(n, "_segment").sortWithinPartitions("_segment", "_extra", F.desc_nulls_last(key), text)
+    moves = spark.createDataFrame(to, T.StructType([T.StructField("__sp_head", kind), T.StructField("__sp_to", T.IntegerType())]))
+    extra = placed.join(F.broadcast(moves), F.col(key).eqNullSafe(F.col("__sp_head"))).select(key, text, F.col("__sp_to").alias("__sp_segment"), F.lit(True).alias("__sp_extra"))
+    both = placed.withColumn("__sp_extra", F.lit(False)).unionByName(extra)
+    both = both.repartition(n, "__sp_segment").sortWithinPartitions("__sp_segment", "__sp_extra", F.desc_nulls_last(key), text)
     schema = T.StructType([T.StructField(key, kind), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
     key_type = docs.select(key).limit(0).toArrow().schema.field(0).type
 
@@ -139,7 +145,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
         now, keys, texts, size, closed = None, [], [], 0, False
         for batch in batches:
             for part in slices(batch, text):
-                for x, t, s, more in zip(*(part.column(c).to_pylist() for c in (key, text, "_segment", "_extra")), strict=True):
+                for x, t, s, more in zip(*(part.column(c).to_pylist() for c in (key, text, "__sp_segment", "__sp_extra")), strict=True):
                     if s != now:
                         if len(texts) > 1:
                             yield compare(keys, texts)
