@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+PIECE = 2 << 20
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -154,7 +155,17 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     out = np.zeros(len(starts), np.uint64)
     i, n = 0, len(starts)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (2 << 20), "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        if ends[i] - starts[i] > PIECE:  # one long span, piece by piece: its polynomial is a sum
+            total, factor, n_bytes = 0, 1, int(ends[i] - starts[i])
+            for at in range(int(starts[i]), int(ends[i]), PIECE):
+                part = data[at : min(at + PIECE, int(ends[i]))]
+                with np.errstate(over="ignore"):
+                    total += int((_BYTE[part] * _powers(PIECE)[: len(part)]).sum(dtype=np.uint64)) * factor
+                factor = factor * pow(int(_BASE), PIECE, 1 << 64) % (1 << 64)
+            out[i] = mix(np.array([(total + n_bytes * 0xD6E8FEB86659FD93) % (1 << 64)], np.uint64))[0]
+            i += 1
+            continue
         s, size = starts[i:j], ends[i:j] - starts[i:j]
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         total = int(size.sum())

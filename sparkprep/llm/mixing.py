@@ -69,13 +69,18 @@ def mix(docs: DataFrame, weights: list[int], max_epochs: int = 3, seed: int = 17
     middle = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / F.lit(2.0)
     extra = (middle <= (times - whole) * F.col("source_size")) & (times - whole > F.lit(1e-12))
     out = joined.withColumn("times", (whole + F.when(extra, 1).otherwise(0)).cast("int"))
-    return out.select(F.col("id").alias(key), "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times")
-
-
-def repeat(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents as often as mix() says; the columns of docs are kept. Rows that repeat a key are taken alike."""
-    times = mixed.filter(F.col("times") > 0).groupBy(F.col(key).alias("__sp_key")).agg(F.max("times").alias("__sp_times"))
-    out = docs.join(times, F.col(key).eqNullSafe(F.col("__sp_key")))
+    return out.select(F.col("id").alias(key), "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times", "crc")
+
+
+def repeat(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents as often as mix() says; the columns of docs are kept. Rows that repeat a key are told apart by their texts; of
+    rows that repeat both, one stands for all."""
+    crc = F.crc32(F.coalesce(F.col(text), F.lit("")))
+    times = mixed.groupBy(F.col(key).alias("__sp_key"), F.col("crc").alias("__sp_crc")).agg(F.sum("times").cast("int").alias("__sp_times"), F.count("*").alias("__sp_rows")).filter("__sp_times > 0")
+    rows = docs.withColumn("__sp_text", crc)
+    if not times.filter("__sp_rows > 1").isEmpty():
+        rows = rows.dropDuplicates([key, "__sp_text"])
+    out = rows.join(times, F.col(key).eqNullSafe(F.col("__sp_key")) & (F.col("__sp_text") == F.col("__sp_crc")))
     return out.withColumn("__sp_copy", F.explode(F.sequence(F.lit(1), F.col("__sp_times")))).select(*docs.columns)
 
 

@@ -8,7 +8,8 @@ ends of a partition share their sequence with the neighbouring partitions. Only
 all has padding.
 
 Defined cases: a null or empty text is the end token alone; texts of any length are cut into as many
-pieces as they need; repeated ids and rows are packed each on their own; an empty table gives no rows.
+pieces as they need; repeated ids and rows are packed each on their own; an empty table gives no rows; null ids are kept; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
