@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep.errors import InvalidConfig, NotFound, ParseError
+from sparkprep.sources import raw
+from sparkprep.sources.files import to_parquet_bytes
 
 KINDS = {"string": T.StringType(), "integer": T.LongType(), "float": T.DoubleType(), "boolean": T.BooleanType(), "datetime": T.TimestampType(), "binary": T.BinaryType(), "reference": T.StringType()}
 
@@ -144,16 +146,46 @@ COURSE = ContentKind("course", _COURSE, ("id", "title", "weeks"), lambda d: d.se
 BOOK = ContentKind("book", _BOOK, ("id", "title", "author"), lambda d: d.select(F.explode("chapters").alias("c")).select(F.col("c.id").alias("chapter_id"), F.col("c.title").alias("chapter_title"), F.col("c.order").cast("string").alias("order"), F.col("c.settings.difficulty").alias("difficulty"), F.col("c.settings.estimated_time").alias("estimated_time")))
 
 
+@dataclass(frozen=True)
+class TableKind:
+    """Content that is a table itself: bytes of Parquet, JSON or CSV ('dataset'), or text whose format is found ('raw')."""
+
+    name: str
+    schema: Schema
+    read: Callable[[SparkSession, bytes], DataFrame]
+    hints: RenderHints = RenderHints("table")
+
+    def parse(self, spark: SparkSession, data: bytes) -> DataFrame:
+        return self.read(spark, data)
+
+    def serialize(self, df: DataFrame) -> bytes:
+        return to_parquet_bytes(df)
+
+    def chunks(self, spark: SparkSession, data: bytes, size: int) -> Iterator[pa.RecordBatch]:
+        yield from self.parse(spark, data).toArrow().to_batches(size)
+
+
+def _raw(spark: SparkSession, data: bytes) -> DataFrame:
+    try:
+        return raw.parse(spark, data.decode("utf-8"))
+    except UnicodeDecodeError as e:
+        raise ParseError("not UTF-8 text") from e
+
+
+DATASET = TableKind("dataset", Schema("dataset", fields=(Field("name", "string", constraints=(Constraint("min_length", 1),)), Field("format", "string", True, constraints=(Constraint("enum", ("parquet", "csv", "json", "arrow")),)), Field("rows", "integer", True), Field("columns", "integer", True))), raw.parse_bytes)
+RAW = TableKind("raw", Schema("raw", fields=(Field("data", "string", True), Field("source", "string", True), Field("format", "string", True))), _raw)
+
+
 class ContentRegistry:
     """Kinds by name."""
 
     def __init__(self, *kinds: ContentKind):
-        self._kinds = {k.name: k for k in kinds or (COURSE, BOOK)}
+        self._kinds = {k.name: k for k in kinds or (COURSE, BOOK, DATASET, RAW)}
 
-    def register(self, kind: ContentKind) -> None:
+    def register(self, kind: ContentKind | TableKind) -> None:
         self._kinds[kind.name] = kind
 
-    def get(self, name: str) -> ContentKind:
+    def get(self, name: str) -> ContentKind | TableKind:
         if name not in self._kinds:
             raise NotFound(name)
         return self._kinds[name]

@@ -11,7 +11,7 @@ import json
 from pyspark.sql import functions as F
 
 from sparkprep import cli, repl, viewer
-from sparkprep.content import BOOK, COURSE, documents
+from sparkprep.content import BOOK, COURSE, ContentRegistry, documents
 from sparkprep.errors import ChecksumMismatch, LicenseExpired
 from sparkprep.functions import text as tx
 from sparkprep.operators import columns as co
@@ -19,7 +19,7 @@ from sparkprep.operators import doctests, federated, rows, splits, tensors, valu
 from sparkprep.plans.catalogue import _SIDES, ORACLE_SQL, _dd_sql, _histogram_sql, _place, _sides, big, load, query, r6
 from sparkprep.profile import drift, imbalance, quality, sketches
 from sparkprep.registry import Registry
-from sparkprep.sources import arrow_ipc, container, crypto, files, hub, raw
+from sparkprep.sources import arrow_ipc, batches, container, crypto, files, hub, raw
 from sparkprep.sources.storage import HadoopStorage, HttpClient, HttpStorage, MemoryStorage
 
 
@@ -140,6 +140,26 @@ def raw_bytes(spark, d):
     return raw.parse_bytes(spark, files.to_parquet_bytes(load(spark, d, "region")))
 
 
+@query("SELECT * FROM nation")
+def own_source(spark, d):
+    held = load(spark, d, "nation").toArrow().to_batches(10)
+    batches.register(spark, "nations_at_hand", batches.MemoryBatches("n_nationkey int, n_name string, n_regionkey int", held))
+    return batches.read_batches(spark, "nations_at_hand")
+
+
+@query("SELECT b::BIGINT AS batch, least(4, (SELECT count(*) FROM nation) - 4 * b)::BIGINT AS n, round::BIGINT AS round FROM range((SELECT (count(*) + 3) // 4 FROM nation)) t(b), range(2) r(round) WHERE round = 1 OR b < 2")
+def prefetched_batches(spark, d):
+    """Two batches, then a reset and all of them, waiting or not."""
+    ahead, out = batches.Prefetched(splits.DataLoader(load(spark, d, "nation"), 4, key="n_nationkey"), depth=3), []
+    out += [(i, ahead.next().num_rows, 0) for i in range(2)]
+    ahead.reset()
+    while not ahead.done:
+        got = ahead.try_next() if ahead.buffered else ahead.next()
+        if got is not None:
+            out.append((sum(r for *_, r in out), got.num_rows, 1))
+    return spark.createDataFrame(out, "batch bigint, n bigint, round bigint")
+
+
 # ------------------------------------------------------------------ stores
 @query("SELECT store, n_name || '.txt' AS key, strlen(n_name)::BIGINT AS bytes, n_name AS body FROM nation, (SELECT unnest(['folder', 'memory']) AS store) WHERE n_nationkey % 2 = 0")
 def stored_objects(spark, d):
@@ -282,6 +302,14 @@ def column_vectors(spark, d):
     return spark.createDataFrame(list(zip(keys.tolist(), price.tolist(), size.tolist(), strict=True)), "p_partkey bigint, price double, size bigint")
 
 
+@query("SELECT count(*)::BIGINT AS rows, 2::BIGINT AS columns, max(CASE WHEN n = 3 THEN p_size END)::DOUBLE AS fourth, -1.0::DOUBLE AS changed, true AS outside FROM (SELECT p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part)")
+def tensor_places(spark, d):
+    t = tensors.tensor(load(spark, d, "part").orderBy("p_partkey"), ["p_partkey", "p_size"], "double")
+    fourth = t.get(3, 1)
+    t.set(0, 0, -1.0)
+    return spark.createDataFrame([(*t.shape, fourth, float(t.values()[0]), t.get(-1, 0) is None and t.get(0, 2) is None)], "rows bigint, columns bigint, fourth double, changed double, outside boolean")
+
+
 # ------------------------------------------------------------------ seeded splits and draws
 @query(f"SELECT o_orderkey, CASE WHEN n <= greatest(1, floor(c * 0.8::DOUBLE + 0.5)) THEN 'train' ELSE 'test' END AS part FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {seed_sql(9, 'o_orderkey')}, o_orderkey) AS n, count(*) OVER () AS c FROM orders)")
 def split_seeded(spark, d):
@@ -542,6 +570,28 @@ def viewer_page(spark, d):
     return spark.createDataFrame([(r.s_suppkey, viewer.cell(r.s_acctbal), viewer.truncate(viewer.cell(r.s_name), 10)) for r in v.rows(v.at, v.page)], "s_suppkey bigint, balance string, name string")
 
 
+@query("SELECT name, n::BIGINT AS n, 'table' AS chart FROM (VALUES ('dataset', (SELECT count(*) FROM region)), ('raw', (SELECT count(*) FROM nation))) t(name, n)")
+def content_tables(spark, d):
+    kinds, out = ContentRegistry(), io.StringIO()
+    load(spark, d, "nation").toPandas().to_csv(out, index=False)
+    data = {"dataset": files.to_parquet_bytes(load(spark, d, "region")), "raw": out.getvalue().encode()}
+    return spark.createDataFrame([(k, sum(b.num_rows for b in kinds.get(k).chunks(spark, v, 7)), kinds.get(k).hints.chart_type) for k, v in data.items()], "name string, n bigint, chart string")
+
+
+@query("SELECT * FROM (VALUES ('page', 10::BIGINT, NULL::BIGINT), ('end', (SELECT count(*) FROM nation) - 10, NULL), ('select', (SELECT count(*) FROM nation) - 10, (SELECT count(*) FROM nation) - 3), ('step', 2, 3)) t(key, \"offset\", selected)")
+def viewer_scroll(spark, d):
+    s, out = viewer.Scroll(load(spark, d, "nation").count(), 10), []
+    for key, act in (("page", lambda: s.page(1)), ("end", s.end), ("select", lambda: s.select(s.total - 3)), ("step", lambda: (s.select(2), s.step(1)))):
+        act()
+        out.append((key, s.offset, s.selected))
+    return spark.createDataFrame(out, "key string, offset bigint, selected bigint")
+
+
+@query("SELECT unnest(['column      | type   | null', 'r_regionkey | int    | yes', 'r_name      | string | yes']) AS line")
+def schema_lines(spark, d):
+    return spark.createDataFrame([(x,) for x in viewer.SchemaInspector(load(spark, d, "region")).lines()], "line string")
+
+
 # ------------------------------------------------------------------ command line and session
 def _cli(spark, *words: str) -> str:
     out = io.StringIO()

@@ -197,7 +197,7 @@ def test_content(spark):
     assert [i.path for i in BOOK.validate('{"id": "b", "chapters": [{"id": ""}]}')] == ["title", "author", "chapters[0].id", "chapters[0].title"]
     course = json.dumps({"id": "c", "title": "T", "description": "d", "weeks": 3, "categories": ["x", "y"]})
     assert COURSE.to_rows(documents(spark, [course])).first().categories == "x, y" and not COURSE.validate(course)
-    assert ContentRegistry().names() == ["book", "course"]
+    assert ContentRegistry().names() == ["book", "course", "dataset", "raw"]
     with pytest.raises(ParseError):
         BOOK.validate("{")
 
