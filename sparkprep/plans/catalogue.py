@@ -410,7 +410,11 @@ def json_props(spark, d):
     return events.filter(F.col("p").isNotNull()).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+def _unit(seed: int) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', doc_id::VARCHAR)), 1, 15))::BIGINT % 4503599627370496) / 4503599627370496::DOUBLE"
+
+
+@query(f"SELECT doc_id, CASE WHEN strlen(text) >= 10 AND {_unit(42)} < 0.5 THEN '<|fim_prefix|>' || substring(text, 1, least(i, j)) || '<|fim_suffix|>' || substring(text, greatest(i, j) + 1) || '<|fim_middle|>' || substring(text, least(i, j) + 1, greatest(i, j) - least(i, j)) ELSE text END AS text FROM (SELECT doc_id, text, floor({_unit(43)} * (length(text) + 1))::BIGINT AS i, floor({_unit(44)} * (length(text) + 1))::BIGINT AS j FROM documents)")
 def fill_in_the_middle(spark, d):
     return load(spark, d, "documents").select("doc_id", "text").transform(fim.fim("text", "doc_id", rate=0.5, seed=42))
 
@@ -422,7 +426,7 @@ def watermark_bits(spark, d):
     return watermark.analyze(marked, "p_partkey")
 
 
-@query()
+@query("SELECT 'demo' AS source, '1.0' AS version, 'pkg.m' || r_regionkey AS module, 'f' AS function, '>>> f(2)' AS input, '4' AS expected, 'def f(x)' AS signature FROM region")
 def extract_doctests(spark, d):
     code = "def f(x):\n    \"\"\"Double.\n\n    >>> f(2)\n    4\n    \"\"\"\n    return 2 * x\n"
     files = load(spark, d, "region").select(F.lit(code).alias("content"), F.concat(F.lit("pkg.m"), F.col("r_regionkey").cast("string")).alias("module"))
