@@ -7,7 +7,8 @@ before they choose a branch. In tokens of scripts written without spaces, which
 do, and lines of fewer than FIXED tokens that are all variable keep these as they are (long links, say), as nothing
 else would tell such lines apart. By comparison within the leaf: a token that no other line of its leaf has at its
 place is a field (a name, say), if at least CONSTANT tokens of the line remain and the fields are at most FIELDS of its
-tokens; lines that agree but for such fields are one template, if there are at least VALUES of them. All this is counted, not
+tokens; lines that agree but for such fields are one template, if there are at least VALUES of them (lines that several texts share as
+they stand keep a template of their own, so that each of them stays once). All this is counted, not
 learned line by line: a shard's lines are compared by pre-aggregated counts over (leaf, place, token), so the outcome
 depends neither on the order of lines nor on their partitions.
 
@@ -171,16 +172,18 @@ def _generalised(lines: DataFrame) -> DataFrame:
     open_ = open_.filter("template0 != template1 AND __sp_hash0 != __sp_hash1").select("leaf")
     # A leaf may hold a large share of all lines: its lines are dealt by document, too.
     salted = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    kinds = lines.select("template", "leaf", "base", "plain", "tokens", F.pmod("__sp_hash", F.lit(SALTS)).cast("int").alias("salt"))
-    kinds = materialize(kinds.join(salted, ["leaf", "salt"], "left_semi").drop("salt").dropDuplicates(["template"]), "leaves")
+    kinds = lines.select("template", "leaf", "base", "plain", "tokens", "__sp_hash", F.pmod("__sp_hash", F.lit(SALTS)).cast("int").alias("salt"))
+    one = F.min("__sp_hash") == F.max("__sp_hash")
+    kinds = kinds.join(salted, ["leaf", "salt"], "left_semi").groupBy("template").agg(*(F.first(c).alias(c) for c in ("leaf", "base", "plain", "tokens")), one.alias("one"))
+    kinds = materialize(kinds, "leaves")
     alone = kinds.select("template", "leaf", "tokens").mapInArrow(_cells, "template long, cell long, delta long")
     alone = alone.groupBy("cell").agg(F.count("*").alias("n"), F.min("template").alias("template"), F.min("delta").alias("delta")).filter("n = 1")
     fields = alone.groupBy("template").agg(F.count("*").alias("fields"), F.bit_xor("delta").alias("delta"))
-    alike = kinds.select("template", "leaf", "base", "plain", (F.octet_length("tokens") / 4).alias("n")).join(fields, "template")
+    alike = kinds.select("template", "leaf", "base", "plain", "one", (F.octet_length("tokens") / 4).alias("n")).join(fields, "template")
     alike = alike.filter((F.col("plain") - F.col("fields") >= CONSTANT) & (F.col("fields") <= FIELDS * F.col("n")))
-    alike = materialize(alike.select("template", F.xxhash64("leaf", F.col("base").bitwiseXOR(F.col("delta"))).alias("named")), "alike")
+    alike = materialize(alike.select("template", "one", F.xxhash64("leaf", F.col("base").bitwiseXOR(F.col("delta"))).alias("named")), "alike")
     several = alike.groupBy("named").agg(F.count("*").alias("n")).filter(F.col("n") >= VALUES).select("named")
-    return alike.join(several, "named").select("template", "named")
+    return alike.filter("one").join(several, "named").select("template", "named")
 
 
 def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -578,7 +578,7 @@ def brute_lines(docs, hashes, depth=line_dedup.DEPTH):
                 groups[tuple("*" if p in fields else x for p, x in enumerate(w))].append(w)
         for name, members in groups.items():
             if len(members) >= 3:
-                named.update(dict.fromkeys(members, ("field", name)))
+                named.update((w, ("field", name)) for w in members if len({text[i] for i, _ in at[w]}) == 1)
     lines = collections.defaultdict(list)
     for w, o in at.items():
         lines[named.get(w, w)] += o
