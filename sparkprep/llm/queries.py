@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkprep.llm import archive, fingerprints, langid, line_dedup, mixing, packing, pitman_yor, quality, simjoin, vectors
+from sparkprep.llm import archive, divergence, fingerprints, langid, line_dedup, mixing, packing, pitman_yor, quality, rope, simjoin, url_filter, vectors
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,8 +15,14 @@ QUERIES = {
     "op8_mix_sources": mixing.query,
     "op9_warc": archive.query,
     "op10_nearest_neighbours": vectors.query,
+    "op11_url_filter": url_filter.query,
+    "op12_source_divergence": divergence.query,
+    "op13_fill_in_middle": rope.query,
 }
 ORACLE_SQL = {
     "op8_mix_sources": mixing.SQL,
     "op9_warc": archive.SQL,
+    "op11_url_filter": url_filter.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_fill_in_middle": rope.SQL,
 }
