@@ -3,14 +3,17 @@
 Lines are parsed to templates by a tree of fixed depth: the first level is the number of tokens, the next
 ``depth`` levels are the leading tokens, and a leaf holds the lines that share these. Fields are generalised in two
 ways. By form: tokens with a digit, an at sign or a slash (numbers, dates, hashes, addresses, links) become one mark
-before they choose a branch. In tokens of scripts written without spaces, which hold whole sentences, only the digits
-do, and lines of fewer than FIXED tokens that are all variable keep these as they are (long links, say), as nothing
-else would tell such lines apart. By comparison within the leaf: a token that no other line of its leaf has at its
-place is a field (a name, say), if at least CONSTANT tokens of the line remain and the fields are at most FIELDS of its
-tokens; lines that agree but for such fields are one template, if there are at least VALUES of them (lines that several texts share as
-they stand keep a template of their own, so that each of them stays once). All this is counted, not
-learned line by line: a shard's lines are compared by pre-aggregated counts over (leaf, place, token), so the outcome
-depends neither on the order of lines nor on their partitions.
+before they choose a branch, if at least FORM tokens and half of the line's are others; a line of fewer (a row of
+numbers, a list of links) keeps all its tokens, as nothing else would tell it from other rows. In tokens of scripts
+written without spaces, which hold whole sentences, only the digits become one mark, if BYTES other bytes remain. By
+comparison within the leaf: of each token it is known how many different lines of the leaf have it at its place. The
+constants of a line's template are what most of its tokens have in common with the most lines: at least 1 - FIELDS of
+the tokens that are no fields by form. Tokens that at most one VALUES-th as many lines share as the rarest of these are
+fields (names, say, which may repeat, as long as their template has that many times more lines). Lines that agree but for such fields are one
+template, if at least CONSTANT constants remain and at least VALUES different lines agree in them. All this is counted,
+not learned line by line: a shard's lines are compared by pre-aggregated counts over (leaf, place, token), so the
+outcome depends neither on the order of lines nor on their partitions. Lines of one template always have equal
+constants; a field among the leading ``depth`` tokens is not generalised, as it chooses the leaf.
 
 A template recurs if it is in at least two different documents, wherever it stands in them. Documents are different
 unless one is a near copy of the other as a whole: a Jaccard similarity of at least ALIKE over the shingles of SHINGLE
@@ -43,8 +46,8 @@ from pyspark.sql import types as T
 from sparkprep.llm.common import hash_spans, materialize, mix, shingle_hashes, slices, table, utf8, words
 
 DEPTH = 2
-MIN_TOKENS, FIXED = 1, 3
-CONSTANT, FIELDS, VALUES = 5, 0.3, 3
+MIN_TOKENS, FORM, BYTES = 1, 2, 12
+CONSTANT, FIELDS, VALUES = 4, 0.3, 3
 SALTS = 16
 SHINGLE, BINS, ALIKE = 5, 128, 0.8
 _FIELD = np.zeros(256, np.int64)
@@ -57,7 +60,7 @@ _WORD[[*range(48, 58), *range(97, 123), ord("_"), *range(0xC3, 0xE2), *range(0xE
 _WORD_CHARACTER = re.compile(r"\w")
 _ANY = np.uint64(0x27D4EB2F165667C5)
 _K = np.uint64(0x9E3779B97F4A7C15)
-_LINE = ["__sp_key", "__sp_hash", "place", "template", "leaf", "base", "plain", "tokens", "sketch"]
+_LINE = ["__sp_key", "__sp_hash", "place", "fresh", "template", "leaf", "base", "tokens", "sketch"]
 _PLACE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -93,7 +96,7 @@ def cells(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def templates(column: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
     """(template, leaf, tokens, tokens that are no fields by form, with a word character or not) of each line; the tokens of all
-    lines; lines of each row; sketch of each row."""
+    lines, and which are fields by form; lines of each row; sketch of each row."""
     raw, off = utf8(column)
     lines, per_row = line_offsets(raw, off)
     data, starts, ends, counts = words(raw, lines)
@@ -103,13 +106,13 @@ def templates(column: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
     fields, wide, letters = (np.concatenate([[0], np.cumsum(kind[data])]) for kind in (_FIELD, _UNSPACED, _WORD))
     begin = np.cumsum(counts) - counts
     field, unspaced = fields[ends] > fields[starts], wide[ends] > wide[starts]
-    part = np.flatnonzero(field & unspaced)
+    part = np.flatnonzero(field & unspaced & ((ends - starts) - (fields[ends] - fields[starts]) >= BYTES))
     if len(part):
         h[part] = hash_spans(np.where((data >= 48) & (data <= 57), np.uint8(48), data), starts[part], ends[part])
     field &= ~unspaced
     fixed = np.concatenate([[0], np.cumsum(~field)])
     plain = fixed[begin + counts] - fixed[begin]
-    h = np.where(field & ~np.repeat((plain == 0) & (counts < FIXED), counts), _ANY, h)
+    h = np.where(field & np.repeat((plain >= FORM) & (2 * plain >= counts), counts), _ANY, h)
     worded = letters[lines[1:]] > letters[lines[:-1]]
     for i in np.flatnonzero(~worded & (counts > 0)):
         worded[i] = _WORD_CHARACTER.search(raw[lines[i] : lines[i + 1]].tobytes().decode(errors="ignore")) is not None
@@ -117,7 +120,7 @@ def templates(column: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
     value = cells(h, place)
     with np.errstate(over="ignore"):
         size = mix(counts.astype(np.uint64) * _K + np.uint64(1))
-    return size ^ by_line(value, counts), size ^ by_line(np.where(place < depth, value, np.uint64(0)), counts), counts, plain, worded, h, per_row, sketch
+    return size ^ by_line(value, counts), size ^ by_line(np.where(place < depth, value, np.uint64(0)), counts), counts, plain, worded, h, field, per_row, sketch
 
 
 def by_line(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -132,24 +135,27 @@ def _places(batches: Iterator[pa.RecordBatch], text: str, depth: int, least: int
     long = lambda x: pa.array(x.view(np.int64))
     for batch in batches:
         for part in slices(batch, text):
-            t, leaf, counts, plain, worded, h, per_row, sketch = templates(part.column(text), depth)
+            t, leaf, counts, plain, worded, h, field, per_row, sketch = templates(part.column(text), depth)
             owner = np.repeat(np.arange(part.num_rows), per_row)
             place = np.arange(len(t)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
             use = np.flatnonzero(worded & (counts >= max(1, least)))
-            # Within a leaf and a place, 32 bits of a token's hash do.
-            short, stop = (h >> np.uint64(32)).astype(np.uint32), np.cumsum(counts)
+            # Within a leaf and a place, 32 bits of a token's hash do; the last one tells fields by form.
+            short, stop = (h >> np.uint64(32)).astype(np.uint32) & ~np.uint32(1) | field.astype(np.uint32), np.cumsum(counts)
             base = by_line(cells(short.astype(np.uint64), np.arange(len(h)) - np.repeat(stop - counts, counts)), counts)
-            own = [short[e - m : e].tobytes() if m > CONSTANT and p >= CONSTANT else None for e, m, p in zip(stop[use].tolist(), counts[use].tolist(), plain[use].tolist(), strict=True)]
+            own = [short[e - m : e].tobytes() if p > CONSTANT else None for e, m, p in zip(stop[use].tolist(), counts[use].tolist(), plain[use].tolist(), strict=True)]
+            with np.errstate(over="ignore"):
+                fresh = np.zeros(len(use), bool)  # the first line of its template in its text
+                fresh[np.unique(mix(t[use] ^ (owner[use].astype(np.uint64) * _K)), return_index=True)[1]] = True
             at = pa.array(owner[use])
-            yield pa.RecordBatch.from_arrays([part.column("__sp_key").take(at), part.column("__sp_hash").take(at), pa.array(place[use].astype(np.int32)), *(long(x[use]) for x in (t, leaf, base)), pa.array(plain[use].astype(np.int32)), pa.array(own, pa.binary()), pa.nulls(len(use), pa.binary())], _LINE)
+            yield pa.RecordBatch.from_arrays([part.column("__sp_key").take(at), part.column("__sp_hash").take(at), pa.array(place[use].astype(np.int32)), pa.array(fresh), *(long(x[use]) for x in (t, leaf, base)), pa.array(own, pa.binary()), pa.nulls(len(use), pa.binary())], _LINE)
             size = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column("__sp_key"), part.column("__sp_hash"), pa.nulls(size, pa.int32()), *[pa.nulls(size, pa.int64())] * 3, pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], _LINE)
+            yield pa.RecordBatch.from_arrays([part.column("__sp_key"), part.column("__sp_hash"), pa.nulls(size, pa.int32()), pa.nulls(size, pa.bool_()), *[pa.nulls(size, pa.int64())] * 3, pa.nulls(size, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], _LINE)
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(template, cell, delta) of the tokens that are no fields by form: what their place in the leaf is called, and how the
     line's hash changes if the token is a field."""
-    mark = _ANY >> np.uint64(32)
+    mark = (_ANY >> np.uint64(32)) | np.uint64(1)
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
             part = batch.slice(a, 4096)
@@ -160,7 +166,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value, owner = cells(tokens, place), np.repeat(np.arange(len(counts)), counts)
             cell = mix(value ^ part.column("leaf").to_numpy().view(np.uint64)[owner])
             delta = value ^ cells(np.full(len(tokens), mark), place)
-            some = tokens != mark
+            some = tokens & np.uint64(1) == 0
             yield pa.RecordBatch.from_arrays([part.column("template").take(pa.array(owner[some])), pa.array(cell[some].view(np.int64)), pa.array(delta[some].view(np.int64))], ["template", "cell", "delta"])
 
 
@@ -172,18 +178,21 @@ def _generalised(lines: DataFrame) -> DataFrame:
     open_ = open_.filter("template0 != template1 AND __sp_hash0 != __sp_hash1").select("leaf")
     # A leaf may hold a large share of all lines: its lines are dealt by document, too.
     salted = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    kinds = lines.select("template", "leaf", "base", "plain", "tokens", "__sp_hash", F.pmod("__sp_hash", F.lit(SALTS)).cast("int").alias("salt"))
-    one = F.min("__sp_hash") == F.max("__sp_hash")
-    kinds = kinds.join(salted, ["leaf", "salt"], "left_semi").groupBy("template").agg(*(F.first(c).alias(c) for c in ("leaf", "base", "plain", "tokens")), one.alias("one"))
+    kinds = lines.select("template", "leaf", "base", "tokens", F.pmod("__sp_hash", F.lit(SALTS)).cast("int").alias("salt"))
+    kinds = kinds.join(salted, ["leaf", "salt"], "left_semi").groupBy("template").agg(*(F.first(c).alias(c) for c in ("leaf", "base", "tokens")))
     kinds = materialize(kinds, "leaves")
-    alone = kinds.select("template", "leaf", "tokens").mapInArrow(_cells, "template long, cell long, delta long")
-    alone = alone.groupBy("cell").agg(F.count("*").alias("n"), F.min("template").alias("template"), F.min("delta").alias("delta")).filter("n = 1")
-    fields = alone.groupBy("template").agg(F.count("*").alias("fields"), F.bit_xor("delta").alias("delta"))
-    alike = kinds.select("template", "leaf", "base", "plain", "one", (F.octet_length("tokens") / 4).alias("n")).join(fields, "template")
-    alike = alike.filter((F.col("plain") - F.col("fields") >= CONSTANT) & (F.col("fields") <= FIELDS * F.col("n")))
-    alike = materialize(alike.select("template", "one", F.xxhash64("leaf", F.col("base").bitwiseXOR(F.col("delta"))).alias("named")), "alike")
+    cells = kinds.select("template", "leaf", "tokens").mapInArrow(_cells, "template long, cell long, delta long")
+    # Written, so that adaptive execution can split the lines that share a common token.
+    shared = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")), "cells")
+    seen = cells.join(shared, "cell").groupBy("template").agg(F.collect_list(F.struct("n", "delta")).alias("seen"))
+    level = F.element_at(F.sort_array(F.transform("seen", lambda x: x["n"])), (F.floor(F.size("seen") * F.lit(FIELDS)) + 1).cast("int"))
+    seen = seen.withColumn("level", level).withColumn("fields", F.filter("seen", lambda x: VALUES * x["n"] <= F.col("level")))
+    seen = seen.filter((F.size("fields") > 0) & (F.size("seen") - F.size("fields") >= CONSTANT))
+    seen = seen.select("template", F.aggregate("fields", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["delta"])).alias("delta"))
+    alike = kinds.select("template", "leaf", "base").join(seen, "template")
+    alike = materialize(alike.select("template", F.xxhash64("leaf", F.col("base").bitwiseXOR(F.col("delta"))).alias("named")), "alike")
     several = alike.groupBy("named").agg(F.count("*").alias("n")).filter(F.col("n") >= VALUES).select("named")
-    return alike.filter("one").join(several, "named").select("template", "named")
+    return alike.join(several, "named").select("template", "named")
 
 
 def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,15 +206,15 @@ def drops(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     """(__sp_key, __sp_hash, __sp_places): the lines to drop of the documents that lose any."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("__sp_key"), F.xxhash64(text).alias("__sp_hash"), F.col(text).alias("__sp_text")).filter("__sp_text IS NOT NULL")
-    schema = f"__sp_key {kind}, __sp_hash long, place int, template long, leaf long, base long, plain int, tokens binary, sketch binary"
+    schema = f"__sp_key {kind}, __sp_hash long, place int, fresh boolean, template long, leaf long, base long, tokens binary, sketch binary"
     both = materialize(rows.mapInArrow(lambda it: _places(it, "__sp_text", depth, least), schema), "lines")
     lines = both.filter("place IS NOT NULL").drop("sketch")
     named = _generalised(lines)
-    lines = lines.select("__sp_key", "__sp_hash", "place", "template").join(named, "template", "left")
+    lines = lines.select("__sp_key", "__sp_hash", "place", "fresh", "template").join(named, "template", "left")
     # Written, so that the joins shuffle both sides and adaptive execution can split a very common template.
-    lines = materialize(lines.select("__sp_key", "__sp_hash", "place", F.coalesce("named", "template").alias("template")), "templates")
-    first = F.min(F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place")))
-    found = lines.groupBy("template").agg(F.min("__sp_hash").alias("centre"), F.max("__sp_hash").alias("last"), first.alias("first"))
+    lines = materialize(lines.select("__sp_key", "__sp_hash", "place", "fresh", F.coalesce("named", "template").alias("template")), "templates")
+    document = F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"))
+    found = lines.groupBy("template").agg(F.min("__sp_hash").alias("centre"), F.max("__sp_hash").alias("last"), F.min(document).alias("first"))
     found = materialize(found.filter("centre != last"), "repeated")
     asked = lines.select("template", "__sp_hash").join(found.select("template", "centre"), "template").filter("__sp_hash != centre")
     asked = materialize(asked, "asked")
@@ -217,8 +226,7 @@ def drops(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     unlike = materialize(pairs.mapInArrow(_unlike, "__sp_hash long, centre long"), "unlike")
     several = asked.join(unlike, ["__sp_hash", "centre"]).select("template").distinct()
     recurring = materialize(found.join(several, "template", "left_semi").select("template", "first"), "recurring")
-    kept = F.struct(F.col("__sp_key").isNull(), F.col("__sp_key"), F.col("__sp_hash"), F.col("place"))
-    lost = lines.join(recurring, "template").filter(~kept.eqNullSafe(F.col("first")))
+    lost = lines.join(recurring, "template").filter(~(document.eqNullSafe(F.col("first")) & F.col("fresh")))
     return lost.groupBy("__sp_key", "__sp_hash").agg(F.collect_set("place").alias("__sp_places"))
 
 

@@ -555,11 +555,14 @@ def test_language_equals_plain_bayes(spark, corpus):
 def brute_lines(docs, hashes, depth=line_dedup.DEPTH):
     """The rule of templates, line by line; hashes are only used to choose each template's centre."""
     at, out = collections.defaultdict(list), {}
+    wide = lambda x: re.search("[\u0800-\u1fff\u3000-\ud7ff]", x)
+    form = lambda x: re.search("[0-9@/]", x) and not wide(x)
     for i, t in docs:
         for j, line in enumerate((t or "").split("\n") if t is not None else []):
-            w = tuple("*" if re.search("[0-9@/]", x) else x for x in words(line))
+            w = [re.sub("[0-9]", "0", x) if wide(x) and len(re.sub("[0-9@/]", "", x).encode()) >= 12 else x for x in words(line)]
+            constant = sum(not form(x) for x in w)
+            w = tuple("*" if form(x) and constant >= 2 and 2 * constant >= len(w) else x for x in w)
             if any(re.search(r"\w", x) for x in words(line)):
-                w = tuple(words(line)) if set(w) == {"*"} and len(w) < 3 else w
                 at[w].append((i, j))
     leaves = collections.defaultdict(list)
     text = dict(docs)
@@ -567,29 +570,36 @@ def brute_lines(docs, hashes, depth=line_dedup.DEPTH):
         leaves[len(w), w[:depth]].append(w)
     named = {}
     for leaf in leaves.values():
-        if len({text[i] for w in leaf for i, _ in at[w]}) < 2:
+        plain = {w: [p for p, x in enumerate(w) if x != "*" and not form(x)] for w in leaf}
+        fit = [w for w in leaf if len(plain[w]) > 4]
+        if len({text[i] for w in fit for i, _ in at[w]}) < 2:
             continue
-        fit = [w for w in leaf if len(w) > 5 and sum(x != "*" for x in w) >= 5]
-        seen = collections.Counter((p, x) for w in fit for p, x in enumerate(w))
+        seen = collections.Counter((p, w[p]) for w in fit for p in plain[w])
         groups = collections.defaultdict(list)
         for w in fit:
-            fields = [p for p, x in enumerate(w) if x != "*" and seen[p, x] == 1]
-            if fields and sum(x != "*" for x in w) - len(fields) >= 5 and len(fields) <= 0.3 * len(w):
-                groups[tuple("*" if p in fields else x for p, x in enumerate(w))].append(w)
+            by = sorted(seen[p, w[p]] for p in plain[w])
+            level = by[int(len(by) * 0.3)]
+            fields = [p for p in plain[w] if 3 * seen[p, w[p]] <= level]
+            if fields and len(by) - len(fields) >= 4:
+                groups[tuple((0,) if p in fields else x for p, x in enumerate(w))].append(w)
         for name, members in groups.items():
             if len(members) >= 3:
-                named.update((w, ("field", name)) for w in members if len({text[i] for i, _ in at[w]}) == 1)
+                named.update((w, ("field", name)) for w in members)
     lines = collections.defaultdict(list)
     for w, o in at.items():
-        lines[named.get(w, w)] += o
+        lines[named.get(w, w)] += [(i, j, w) for i, j in o]
     shingles = {i: set(zip(*[w[j:] for j in range(5)], strict=False)) if len(w := words(t)) >= 5 else {tuple(w)} for i, t in docs if t is not None}
     drop = collections.defaultdict(set)
     for o in lines.values():
-        centre = min({i for i, _ in o}, key=lambda i: hashes[i])
+        centre = min({i for i, _, _ in o}, key=lambda i: hashes[i])
         a = shingles[centre]
-        if any(text[i] != text[centre] and len(a & shingles[i]) < 0.8 * len(a | shingles[i]) for i, _ in o):
-            for i, j in sorted(o)[1:]:
-                drop[i].add(j)
+        if any(text[i] != text[centre] and len(a & shingles[i]) < 0.8 * len(a | shingles[i]) for i, _, _ in o):
+            first, kept = min(i for i, _, _ in o), set()
+            for i, j, w in sorted(o, key=lambda x: x[:2]):
+                if i == first and w not in kept:
+                    kept.add(w)
+                else:
+                    drop[i].add(j)
     for i, t in docs:
         out[i] = t if t is None or i not in drop else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in drop[i])
     return out
@@ -605,12 +615,47 @@ def test_lines_equal_brute_force(spark, corpus, empty, depth):
     assert got == brute_lines(rows(docs), hashes, depth)
     assert got[9204] == extra[4][1] and got[9205] == "p2 was there then\nalso p2 text here\np2 ends at last"
     assert got[9200] == extra[0][1] and got[9201] == "top\nfoot\n\n"
-    # The name is a field unless it is one of the leading tokens that choose the leaf.
+    # The name is a field unless it is one of the leading tokens that choose the leaf; the other lines are too short.
     assert [got[9210 + i].count("\n") for i in range(6)] == ([2] * 6 if depth == 3 else [2] + [1] * 5)
     whole = line_dedup.keep(corpus)
     assert whole.columns == corpus.columns and line_dedup.dedup(empty).count() == 0
 
 
+def dropped(spark, lines, **options):
+    """How many of these lines go, each put into a document of other words."""
+    docs = [(i, f"{' '.join(f'x{i}y{j}z'.translate(str.maketrans('0123456789', 'abcdefghij')) for j in range(30))}\n{line}") for i, line in enumerate(lines)]
+    return line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), **options).agg(F.sum("__sp_dropped")).first()[0]
+
+
+def test_rows_of_fields_stay(spark):
+    """Different rows of numbers, hashes and links are different lines, however many there are; equal ones recur."""
+    rng = np.random.default_rng(3)
+    rows_ = ["2019 141 77 5.2", "1998 8 3012 0.1", "10:30 9/4 a1 b2", "total 4 5 6", "total 7 8 9", "12円 34円", "56円 78円"]
+    rows_ += [" ".join(str(x) for x in rng.integers(0, 10**6, 6)) for _ in range(30)] + [" ".join(f"q{x}w" for x in rng.integers(0, 10**6, 40)) for _ in range(10)]
+    rows_ += [f"0 0 0 0 0 0 {i}" for i in range(9)] + [f"north 0 south 0 east {x}" for x in ("a", "b", "c")]
+    assert dropped(spark, rows_) == 0
+    assert dropped(spark, ["1 2 3 4", "page 3 of the book", "1 2 3 4", "page 14 of the book"]) == 2
+
+
+def test_fields_may_repeat(spark):
+    names = ["smith", "jones", "baker", "cook", "mason", "weaver"]
+    story = [f"this story was posted by {a} in our {s} pages for all readers today" for a in names for s in ("news", "sports", "travel", "money", "science")]
+    assert dropped(spark, story) == 29
+    assert dropped(spark, [f"posted by {a} in news" for a in names]) == 5
+    assert dropped(spark, [f"the night watch was led by captain {a}{b} until dawn" for a in names for b in ("a", "b", "c")[: 2 + (a > "m")] for _ in range(2)]) == 29
+    assert dropped(spark, [f"dear {a} thank you for writing to us" for a in names], depth=1) == 5
+    assert dropped(spark, [f"dear {a} thank you for writing to us" for a in names]) == 0
+
+
+def test_lines_of_other_constants_stay(spark):
+    """Lines of one leaf that share most tokens, each with another rest, and lines that differ in more than the fields allowed."""
+    letters = "abcdefghijklmnopqrst"
+    assert dropped(spark, [f"we saw that {a}{b} {b}{a} {a}{a} went {b}{b}" for a, b in zip(letters, letters[::-1], strict=True)]) == 0
+    # Two templates in one leaf that differ in a constant: one line of each stays.
+    both = [f"we saw that mister {a}{a} went {w} again" for a in letters for w in ("home", "away")]
+    assert dropped(spark, both) == len(both) - 2
+
+
 def test_refrain_of_one_document_stays(spark):
     song = "verse one is new\nrefrain line sung again\nverse two is newer\nrefrain line sung again\nverse three is last"
     df = spark.createDataFrame([(1, song), (1, song), (None, "other text of one line")], "doc_id long, text string")
