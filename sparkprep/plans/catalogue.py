@@ -18,7 +18,7 @@ from sparkprep.operators import columns as co
 from sparkprep.operators import doctests, federated, fim, rows, similarity, splits, tensors, values, watermark
 from sparkprep.profile import drift, imbalance, quality, sketches
 from sparkprep.registry import Registry
-from sparkprep.sources import container, files
+from sparkprep.sources import chunks, container, files
 from sparkprep.sources.hub import LICENSES
 from sparkprep.streaming import frames
 
@@ -468,8 +468,8 @@ def container_round_trip(spark, d):
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 700 OFFSET 900")
 def chunked_rows(spark, d):
     path = _place(spark, "t.spd")
-    container.write_chunks(load(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey"), path, 5000)
-    return container.Chunked(spark, path).get_rows(900, 700)
+    chunks.write_chunks(load(spark, d, "orders").orderBy("o_orderkey"), path, 5000)
+    return chunks.Chunked(spark, path).get_rows(900, 700, ["o_orderkey", "o_custkey"])
 
 
 @query("SELECT * FROM region")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from sparkprep.operators import doctests, federated, rows, splits, tensors, valu
 from sparkprep.plans.catalogue import _SIDES, ORACLE_SQL, _dd_sql, _histogram_sql, _place, _sides, big, load, query, r6
 from sparkprep.profile import drift, imbalance, quality, sketches
 from sparkprep.registry import Registry
-from sparkprep.sources import arrow_ipc, batches, container, crypto, files, hub, raw
+from sparkprep.sources import arrow_ipc, batches, chunks, container, crypto, files, hub, raw
 from sparkprep.sources.storage import HadoopStorage, HttpClient, HttpStorage, MemoryStorage
 
 
@@ -523,12 +524,46 @@ def license_terms(spark, d):
 @query("SELECT * FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS row, o_orderkey FROM orders) WHERE row IN (0, 497, 994)")
 def chunk_lookup(spark, d):
     path = _place(spark, "t.spd")
-    container.write_chunks(load(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey"), path, 400)
-    held, out = container.Chunked(spark, path), []
+    chunks.write_chunks(load(spark, d, "orders").orderBy("o_orderkey"), path, 400)
+    held, out = chunks.Chunked(spark, path), None
     for row in (0, 497, 994):
         i = held.find(row)
-        out.append((row, held.get_chunk(i).collect()[row - held.chunks[i].row_offset][0]))
-    return spark.createDataFrame(out, "row bigint, o_orderkey bigint")
+        one = held.get_rows(row, 1, ["o_orderkey"]).select(F.lit(row).cast("bigint").alias("row"), "o_orderkey").filter(F.lit(held.chunks[i].row_offset) <= row)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT row, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1)::BIGINT AS row, * FROM lineitem) WHERE row >= 1000 AND row < 30000 AND l_quantity > 25")
+def chunk_scan(spark, d):
+    """A container as a format: the filter on the row number chooses chunks, the one on another column is Spark's."""
+    path = _place(spark, "t.spd")
+    chunks.write_chunks(load(spark, d, "lineitem").orderBy("l_orderkey", "l_linenumber"), path, 2048)
+    found = chunks.scan(spark, path, [chunks.ROW, "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"]).filter(f"{chunks.ROW} >= 1000 AND {chunks.ROW} < 30000 AND l_quantity > 25")
+    return found.select(F.col(chunks.ROW).alias("row"), "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("SELECT * FROM customer")
+def chunks_encrypted(spark, d):
+    """Two runs of encrypted chunks, each under its own key."""
+    path, half = _place(spark, "t.spd"), F.col("c_custkey") % 2 == 0
+    chunks.write_chunks(load(spark, d, "customer").filter(half), path, 300, password="a word")
+    chunks.write_chunks(load(spark, d, "customer").filter(~half), path, 300, mode="append", password="a word")
+    held = chunks.Chunked(spark, path, password="a word")
+    held.verify()
+    return held.rows()
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
+def chunk_stream(spark, d):
+    """A stream of chunks that stops, and goes on from its checkpoint with the chunks that were appended meanwhile."""
+    base = _place(spark, "stream")
+    path, name, half = f"{base}/t.spd", f"chunks_{uuid.uuid4().hex}", F.col("event_id") % 2 == 0
+    events = load(spark, d, "events").select("event_id", "event_type")
+    for part, mode in ((half, "error"), (~half, "append")):
+        chunks.write_chunks(events.filter(part), path, 1000, mode=mode)
+        batches.register(spark, name, chunks.ChunkBatches(spark, path))
+        batches.stream_batches(spark, name).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 # ------------------------------------------------------------------ registry, content, viewer

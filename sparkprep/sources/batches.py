@@ -9,7 +9,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from sparkprep.errors import InvalidConfig
 
@@ -38,7 +38,11 @@ class MemoryBatches:
 
 
 def register(spark: SparkSession, name: str, source: BatchSource) -> None:
-    """Make a source a format of ``spark.read``: each of its partitions is a task."""
+    """Make a source a format of ``spark.read`` and ``spark.readStream``: each of its partitions is a task.
+
+    As a stream, a source may gain partitions; those that it has given must stay what they are. The offset is the number of partitions
+    given so far, kept in the query's checkpoint: a query that is started anew goes on behind it, a batch that failed is read again, and a new
+    checkpoint begins with the first partition."""
 
     class Reader(DataSourceReader):
         def partitions(self) -> list[InputPartition]:
@@ -47,6 +51,19 @@ def register(spark: SparkSession, name: str, source: BatchSource) -> None:
         def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
             yield from source.batches(partition.value)
 
+    class StreamReader(DataSourceStreamReader):
+        def initialOffset(self) -> dict:
+            return {"partitions": 0}
+
+        def latestOffset(self) -> dict:
+            return {"partitions": source.partitions()}
+
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            return [InputPartition(i) for i in range(start["partitions"], end["partitions"])]
+
+        def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+            yield from source.batches(partition.value)
+
     class Registered(DataSource):
         @classmethod
         def name(cls) -> str:
@@ -58,6 +75,9 @@ def register(spark: SparkSession, name: str, source: BatchSource) -> None:
         def reader(self, schema) -> DataSourceReader:  # noqa: ARG002
             return Reader()
 
+        def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ARG002
+            return StreamReader()
+
     spark.dataSource.register(Registered)
 
 
@@ -65,6 +85,10 @@ def read_batches(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.format(name).load()
 
 
+def stream_batches(spark: SparkSession, name: str) -> DataFrame:
+    return spark.readStream.format(name).load()
+
+
 class Prefetched:
     """The batches of a loader, fetched ahead by a thread into a queue of ``depth``; errors of the loader are raised where they are met."""
 

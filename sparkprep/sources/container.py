@@ -1,40 +1,30 @@
 """A single-file container: header, metadata, schema, Arrow payload, and optional signature and license.
 
 Layout: 32-byte header | metadata (JSON) | schema (IPC) | encryption mode (1 byte, if encrypted) | payload |
-signature (96 bytes) | license | CRC-32 of all before. All integers are little-endian. A chunked container has
-an index of its chunks in place of one payload, so readers fetch only the chunks they need.
+signature (96 bytes) | license | CRC-32 of all before. All integers are little-endian. One container is one file for a
+table that fits on the driver; larger ones are folders of chunks (``chunks``).
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import struct
 import time
 import uuid
 import zlib
-from bisect import bisect_right
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 from enum import IntEnum
 
 import pyarrow as pa
-from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 
-from sparkprep.core import materialize, scratch
 from sparkprep.errors import ChecksumMismatch, EmptyDataset, FormatError, InvalidConfig, LicenseExpired
 from sparkprep.sources import crypto
-from sparkprep.sources.storage import HadoopStorage
 
 MAGIC, VERSION, HEADER = b"SPDF", (1, 2), struct.Struct("<4sBBHIIIBBHQ")
-ENCRYPTED, SIGNED, CHUNKED, LICENSED = 1, 2, 4, 8
-CHUNK_ROWS, FETCH = 65536, 64
-_CHUNK = struct.Struct("<QIQII")
+ENCRYPTED, SIGNED, LICENSED = 1, 2, 8
 
 # Tags of what a container holds.
 DatasetType = IntEnum("DatasetType", {"TABULAR": 0x01, "TIME_SERIES": 0x02, "GRAPH": 0x03, "SPATIAL": 0x04, "TEXT_CORPUS": 0x10, "TEXT_CLASSIFICATION": 0x11, "TEXT_PAIRS": 0x12, "SEQUENCE_LABELING": 0x13, "QUESTION_ANSWERING": 0x14, "SUMMARIZATION": 0x15, "TRANSLATION": 0x16, "IMAGE_CLASSIFICATION": 0x20, "OBJECT_DETECTION": 0x21, "SEGMENTATION": 0x22, "IMAGE_PAIRS": 0x23, "VIDEO": 0x24, "AUDIO_CLASSIFICATION": 0x30, "SPEECH_RECOGNITION": 0x31, "SPEAKER_IDENTIFICATION": 0x32, "USER_ITEM_RATINGS": 0x40, "IMPLICIT_FEEDBACK": 0x41, "SEQUENTIAL_RECS": 0x42, "IMAGE_TEXT": 0x50, "AUDIO_TEXT": 0x51, "VIDEO_TEXT": 0x52, "CUSTOM": 0xFF})
@@ -187,139 +177,15 @@ def write_container(df: DataFrame, path: str, **options) -> None:
 
 
 def read_container(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The table of a container: one file, or a folder of chunks."""
+    from sparkprep.sources import chunks
+
+    if chunks.versions(chunks._store(spark, path)):
+        return chunks.Chunked(spark, path, **options).rows()
     data = spark.read.format("binaryFile").load(path).select("content").first()
     if data is None:
         raise EmptyDataset(f"no container at {path}")
-    raw = bytes(data.content)
-    if raw[:4] == MAGIC and raw[21] & CHUNKED:
-        return Chunked(spark, path).rows()
-    return spark.createDataFrame(loads(raw, spark, **options).table)
-
-
-# ------------------------------------------------------------------ chunks
-@dataclass(frozen=True)
-class Chunk:
-    row_offset: int
-    num_rows: int
-    byte_offset: int
-    compressed_size: int
-    uncompressed_size: int
-
-
-def write_chunks(df: DataFrame, path: str, chunk_rows: int = CHUNK_ROWS, compression: Compression = Compression.ZSTD_3) -> None:
-    """A chunked container of the rows in their order; a chunk holds rows of one partition.
-
-    Executors cut and compress the chunks; the driver writes the index and then copies the bodies, one at a time, into the file."""
-    spark, schema = df.sparkSession, df.limit(0).toArrow().schema
-
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def emit(table: pa.Table) -> pa.RecordBatch:
-            plain = _ipc(schema, table.cast(schema).combine_chunks().to_batches())
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((part, pa.int64()), (seq, pa.int64()), (table.num_rows, pa.int64()), (len(plain), pa.int64()), (compress(plain, compression), pa.binary()))], ["part", "seq", "n", "plain", "body"])
-
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            size += batch.num_rows
-            while size >= chunk_rows:
-                whole = pa.concat_tables(held)
-                yield emit(whole.slice(0, chunk_rows))
-                held, size, seq = [whole.slice(chunk_rows)], size - chunk_rows, seq + 1
-        if size:
-            yield emit(pa.concat_tables(held))
-
-    with scratch():
-        stored = materialize(df.mapInArrow(bodies, "part long, seq long, n long, plain long, body binary"))
-        sizes = stored.select("part", "seq", "n", F.length("body").alias("size"), "plain").orderBy("part", "seq").collect()  # one row a chunk
-        chunks, row, at = [], 0, 0
-        for r in sizes:
-            chunks.append(Chunk(row, r.n, at, r["size"], r.plain))
-            row, at = row + r.n, at + r["size"]
-        meta, sch = json.dumps(asdict(Metadata())).encode(), _ipc(schema, [])
-        index = b"".join(_CHUNK.pack(*asdict(c).values()) for c in chunks)
-        head = HEADER.pack(MAGIC, *VERSION, DatasetType.TABULAR, len(meta), _fits(len(index), 32, "index"), 0, compression, CHUNKED, _fits(len(sch), 16, "schema"), row)
-        store, name = _store(spark, path)
-        with store.writer(name) as out:
-            out.write(head + meta + sch + index)
-            for r in stored.orderBy("part", "seq").select("body").toLocalIterator():
-                out.write(bytes(r.body))
-
-
-def _store(spark: SparkSession, path: str) -> tuple[HadoopStorage, str]:
-    where = path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
-    folder, _, name = where.rpartition("/")
-    return HadoopStorage(spark, folder), name
-
-
-def rows_of(start: int, stop: int, how: Compression):
-    """Parse fetched chunks, as far as their rows are in the range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, n, plain, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lo, hi = max(0, start - row), min(n, stop - row)
-                yield from pa.ipc.open_stream(decompress(body, how, plain)).read_all().slice(lo, hi - lo).to_batches()
-
-    return run
-
-
-class Chunked:
-    """A chunked container, opened without reading its chunks. Those asked for are fetched by range and parsed on executors."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.store, self.name = _store(spark, path)
-        magic, _, _, _, n_meta, n_index, _, how, flags, n_schema, self.num_rows = HEADER.unpack(self.store.get_range(self.name, 0, HEADER.size))
-        if magic != MAGIC or not flags & CHUNKED:
-            raise FormatError("not a chunked container")
-        rest = self.store.get_range(self.name, HEADER.size, n_meta + n_schema + n_index)
-        self.schema = pa.ipc.open_stream(rest[n_meta : n_meta + n_schema]).schema
-        self.chunks = [Chunk(*x) for x in _CHUNK.iter_unpack(rest[n_meta + n_schema :])]
-        self.begin, self.compression = HEADER.size + len(rest), Compression(how)
-
-    def find(self, row: int) -> int:
-        """The chunk that holds a row, by bisection; -1 if none does."""
-        i = bisect_right(self.chunks, row, key=lambda c: c.row_offset) - 1
-        return i if i >= 0 and row < self.chunks[i].row_offset + self.chunks[i].num_rows else -1
-
-    def _read(self, chunks: list[Chunk], start: int, stop: int) -> DataFrame:
-        how, schema = self.compression, from_arrow_schema(self.schema)
-        if not chunks:
-            return self.spark.createDataFrame([], schema)
-        uri = f"{self.store.root}/{self.name}".replace("s3a://", "s3://", 1)
-        if uri.split(":", 1)[0] in ("file", "hdfs", "s3", "gs"):  # executors fetch their own ranges
-            plan = self.spark.createDataFrame([tuple(asdict(c).values()) for c in chunks], "row long, n long, at long, size long, plain long").repartition(len(chunks), "row")
-            begin = self.begin
-
-            def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                system, where = fs.FileSystem.from_uri(uri)
-                for batch in batches:
-                    with system.open_input_file(where) as f:
-                        bodies = [f.read_at(n, begin + at) for n, at in zip(batch.column("size").to_pylist(), batch.column("at").to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "n", "plain")), pa.array(bodies, pa.binary())], ["row", "n", "plain", "body"])
-
-            return plan.mapInArrow(fetched, "row long, n long, plain long, body binary").mapInArrow(rows_of(start, stop, how), schema)
-        out = None
-        for at in range(0, len(chunks), FETCH):  # of other stores, compressed bytes of so many chunks at once pass the driver
-            held = [(c.row_offset, c.num_rows, c.uncompressed_size, self.store.get_range(self.name, self.begin + c.byte_offset, c.compressed_size)) for c in chunks[at : at + FETCH]]
-            part = self.spark.createDataFrame(held, "row long, n long, plain long, body binary").repartition(len(held), "row")
-            part = part if len(chunks) <= FETCH else materialize(part)
-            out = part if out is None else out.unionByName(part)
-
-        return out.mapInArrow(rows_of(start, stop, how), schema)
-
-    def rows(self) -> DataFrame:
-        return self._read(self.chunks, 0, self.num_rows)
-
-    def get_chunk(self, i: int) -> DataFrame:
-        c = self.chunks[i]
-        return self._read([c], c.row_offset, c.row_offset + c.num_rows)
-
-    def get_rows(self, start: int, count: int) -> DataFrame:
-        """Rows of a range; only chunks that overlap it are read."""
-        stop = start + count
-        return self._read([c for c in self.chunks if c.row_offset < stop and c.row_offset + c.num_rows > start], start, stop)
+    return spark.createDataFrame(loads(bytes(data.content), spark, **options).table)
 
 
 def content_hash(df: DataFrame, column: str) -> DataFrame:

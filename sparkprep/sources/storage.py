@@ -160,8 +160,13 @@ class HadoopStorage:
         finally:
             stream.close()
 
-    def delete(self, key: str) -> None:
-        self._fs.delete(self._at(key), False)
+    def delete(self, key: str, folder: bool = False) -> None:
+        self._fs.delete(self._at(key), folder)
+
+    def rename(self, old: str, new: str) -> None:
+        """Give a key another name, at once; raise if that one is taken."""
+        if self.exists(new) or not self._fs.rename(self._at(old), self._at(new)):
+            raise StorageError(f"{old} can't be renamed to {new}")
 
     def exists(self, key: str) -> bool:
         return self._fs.exists(self._at(key))

@@ -90,16 +90,6 @@ def test_container_protection(spark, items):
         container.loads(data, spark, now=10**6)
 
 
-def test_chunks(spark, items, tmp_path):
-    path = str(tmp_path / "c.spd")
-    container.write_chunks(items.orderBy("id"), path, 7)
-    c = container.Chunked(spark, path)
-    assert [x.num_rows for x in c.chunks] == [7, 7, 7, 7, 2] and c.num_rows == 30 and c.find(8) == 1 and c.find(99) == -1
-    assert rows(c.rows()) == rows(items) and rows(container.read_container(spark, path)) == rows(items)
-    assert [r[0] for r in rows(c.get_rows(5, 4))] == [5, 6, 7, 8] and c.get_chunk(4).count() == 2
-    assert c.get_rows(40, 5).count() == 0
-
-
 def test_raw(spark):
     for text, kind in (("a,b\n1,2", "csv"), ("a\tb\n1\t2", "tsv"), ('{"a": 1}\n{"a": 2}', "jsonl"), ('[{"a": 1}]', "json"), ("plain words", "text"), ("  ", "unknown")):
         assert raw.detect(text) == kind
