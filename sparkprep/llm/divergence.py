@@ -12,8 +12,8 @@ sent to the shard that they belong to, each shard walks them through its own aut
 the same counts. Kept terms above LONG bytes are not put into an automaton; their occurrences are looked up by themselves.
 
 Shares are exact integers: p = 1 + floor(SCALE (count + 1) / (N + V)). A group's divergence from another one sums
-f(p, q) = floor((p - q)^2 / q) over all kept terms of the language. Postings of (term, source, p) are dealt by blocks of terms; a
-task works through them in chunks, one source against all postings of the chunk at a time, adds the terms that the
+f(p, q) = floor((p - q)^2 / q) over all kept terms of the language. Postings of (term, source, p) are dealt by blocks of terms, which
+hold more postings than a language has pairs of sources; a task works through them in chunks, one source against all postings of the chunk at a time, adds the terms that the
 other source lacks from the counts of equal shares, and the terms that both lack by their number. So it takes postings x
 sources steps, not terms x sources^2, and passes on one number for each pair of sources.
 
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from sparkprep.llm.common import materialize, partitions, table
 
 SCALE, LEAST, TOP = 1_000_000_000, 3, 200
-HELD, PART, LONG, PIECE, CHUNK = 400_000, 16 << 20, 256, 1 << 20, 1 << 19
+HELD, PART, LONG, PIECE, CHUNK, BLOCK = 400_000, 16 << 20, 256, 1 << 20, 1 << 19, 1 << 15
 #: Letters A-Z in lower case, other letters and bytes above 127 as they are, all else one delimiter.
 _TERMS = bytes((x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x > 127 else 32) for x in range(256))
 _LONG = re.compile(rb"[^ ]{%d,}" % (LONG + 1))
@@ -131,6 +131,40 @@ def occurrences(found, long: dict[bytes, int], part: bytes) -> Iterator[int]:
     return iter(met)
 
 
+class Tally:
+    """Counts of numbers by group, in arrays: what was met is sorted and counted when there are HELD numbers."""
+
+    def __init__(self):
+        self.met: dict[tuple, list[np.ndarray]] = {}
+        self.sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        self.waiting = 0
+
+    def add(self, group: tuple, numbers: np.ndarray) -> bool:
+        """Whether it is time to give the counts out."""
+        self.met.setdefault(group, []).append(numbers)
+        self.waiting += len(numbers)
+        if self.waiting < 10 * HELD:
+            return False
+        self.settle()
+        return sum(len(x) for x, _ in self.sums.values()) >= 4 * HELD
+
+    def settle(self) -> None:
+        for group, arrays in self.met.items():
+            number, n = np.unique(np.concatenate(arrays), return_counts=True)
+            if group in self.sums:
+                old, more = self.sums[group]
+                number, at = np.unique(np.concatenate([old, number]), return_inverse=True)
+                both, n = np.concatenate([more, n]), np.zeros(len(number), np.int64)
+                np.add.at(n, at, both)
+            self.sums[group] = number, n
+        self.met, self.waiting = {}, 0
+
+    def take(self) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+        self.settle()
+        out, self.sums = self.sums, {}
+        return out
+
+
 def _recount(sent: Broadcast):
     """(lang, source, term, n): occurrences of the broadcast terms."""
 
@@ -142,14 +176,19 @@ def _recount(sent: Broadcast):
             terms = sent.value.split()
             _automaton[name] = automaton(terms), {x: i for i, x in enumerate(terms) if len(x) > LONG}, _texts(terms)
         found, long, names = _automaton[name]
-        give, held = lambda keys: names.take(pa.array(keys, pa.int64())), Held()
+        held = Tally()
+
+        def give() -> Iterator[pa.RecordBatch]:
+            for group, (number, n) in held.take().items():
+                yield pa.RecordBatch.from_arrays([*(pa.array([g] * len(n), pa.string()) for g in group), names.take(pa.array(number)), pa.array(n, pa.int64())], ["lang", "source", "term", "n"])
+
         for batch in batches:
             groups = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
             for i in sorted(range(len(groups)), key=groups.__getitem__):
                 for part in pieces(batch.column("text")[i]):
-                    if held.add(groups[i], occurrences(found, long, part), len(part) // 8):
-                        yield from _rows(held.take(), ["lang", "source"], give)
-        yield from _rows(held.take(), ["lang", "source"], give)
+                    if held.add(groups[i], np.fromiter(occurrences(found, long, part), np.int32)):
+                        yield from give()
+        yield from give()
 
     return run
 
@@ -325,7 +364,8 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text
     terms = placed.join(q, ["lang", "term"]).filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), value.alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= top)
 
-    blocks = partitions(docs.sparkSession)
+    most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, placed.count() // max(BLOCK, most * most))
     postings = placed.select(F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"), "lang", "term", "source", "p")
     known = groups.filter("terms > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "lang", F.lit(None).cast("string").alias("term"), "source", share(F.lit(0), F.col("total"), F.col("terms")).alias("p"))
     dealt = postings.unionByName(known).repartition(blocks, "block", "lang").sortWithinPartitions("block", "lang", F.col("term").asc_nulls_first())

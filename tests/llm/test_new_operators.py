@@ -139,6 +139,16 @@ def test_small_tables_and_pieces_count_alike(sourced, monkeypatch):
     small = total(divergence._frequencies(iter([batch])), "lang", "term")
     assert small[0] == whole[0] and small[1] > whole[1] and walk() == times and times[0] > 10
     rng = np.random.default_rng(0)
+    numbers, tally, sums = rng.integers(0, 300, (40, 60), np.int32), divergence.Tally(), collections.Counter()
+    given = 0
+    for i, x in enumerate(numbers):
+        if tally.add((str(i % 3), ""), x):
+            given += 1
+            for g, (a, n) in tally.take().items():
+                sums.update({(g[0], int(y)): int(k) for y, k in zip(a, n, strict=True)})
+    for g, (a, n) in tally.take().items():
+        sums.update({(g[0], int(y)): int(k) for y, k in zip(a, n, strict=True)})
+    assert sums == collections.Counter((str(i % 3), int(y)) for i, x in enumerate(numbers) for y in x) and given > 1
     made = [(0, la, f"t{t:03}", f"s{s}", int(rng.integers(2, 10**8))) for la in ("de", "en") for t in range(60) for s in range(5) if rng.random() < 0.4]
     made = [(0, la, None, f"s{s}", 1 + s) for la in ("de", "en") for s in range(5)] + made
     made.sort(key=lambda r: (r[1], r[2] or "", r[3]))
