@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkprep.core import Order, need, order_columns, order_value, ordered, seeded, with_row_id
+from sparkprep.core import Order, materialize, need, order_columns, order_value, seeded, with_row_id
 from sparkprep.errors import IndexOutOfBounds, InvalidConfig
 from sparkprep.operators.columns import Transform
 
@@ -159,28 +163,46 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_rows")).withColumn("duplicate_rows", F.col("rows") - F.col("distinct_rows"))
 
 
+def _filled(column: str, names: list[str]):
+    """Scan a sorted partition: nulls take the last value before them. __sp_at: the place in it; __sp_open: there was no value up to there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place, carry, at = TaskContext.get().partitionId(), 0, None, names.index(column)
+        for batch in batches:
+            values = batch.column(at)
+            carry = pa.nulls(1, values.type) if carry is None else carry
+            both = pa.concat_arrays([carry, values])
+            last = np.maximum.accumulate(np.where(both.is_valid().to_numpy(zero_copy_only=False), np.arange(len(both)), 0))
+            full = both.take(pa.array(last))
+            carry = full.slice(len(full) - 1)
+            yield pa.RecordBatch.from_arrays([*(full.slice(1) if i == at else c for i, c in enumerate(batch.columns)), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(place, place + batch.num_rows)), full.slice(1).is_null()], [*names, "__sp_part", "__sp_at", "__sp_open"])
+            place += batch.num_rows
+
+    return run
+
+
 def fill_directed(column: str, order_by: Order | Sequence[Order], backward: bool = False) -> Transform:
-    """The last value before a null (or the next after it), in an order.
+    """The last value before a null (or the next after it), in an order. Of rows at one place of the order any may be the first.
 
-    Within a stretch of the order a window fills; what reaches over its edge is one value per stretch."""
+    Rows are range-partitioned and sorted once; a scan of each partition fills what it can, and the rows at its beginning take one
+    value that the partitions before it leave. Backward, the same is done in the opposite order."""
 
     def run(df: DataFrame) -> DataFrame:
         need(df, column)
-        rows = ordered(df, order_by)
-        edge = F.min_by if backward else F.max_by
-        ends = rows.filter(F.col(column).isNotNull()).groupBy("_part").agg(edge(column, "_at").alias("_edge"))
-        parts = sorted(r[0] for r in rows.select("_part").distinct().collect())
-        known = {r["_part"]: r["_edge"] for r in ends.collect()}  # one value per stretch
-        carried, now = [], None
-        for p in reversed(parts) if backward else parts:
+        if backward and (names := _names(order_by)) is None:  # expressions can't be turned round; places can
+            return fill_directed(column, "_row_id", True)(with_row_id(df, order_by)).select(*df.columns)
+        spark, kind = df.sparkSession, df.schema[column].dataType
+        keys = [F.col(c).desc_nulls_first() for c in names] if backward else order_columns(order_by)
+        schema = T.StructType([*df.schema, T.StructField("__sp_part", T.IntegerType()), T.StructField("__sp_at", T.LongType()), T.StructField("__sp_open", T.BooleanType())])
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        stored = materialize(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_filled(column, df.columns), schema))
+        ends = stored.filter("NOT __sp_open").groupBy("__sp_part").agg(F.max_by(column, "__sp_at").alias("_edge"))  # one value a partition
+        left, carried, now = {r["__sp_part"]: r["_edge"] for r in ends.collect()}, [], None
+        for p in range(parts):
             carried.append((p, now))
-            now = known.get(p, now)
-        spark = df.sparkSession
-        kind = df.schema[column].dataType.simpleString()
-        over = spark.createDataFrame(carried, f"_part long, _carried {kind}")
-        w = Window.partitionBy("_part").orderBy("_at")
-        inside = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if backward else F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return rows.join(F.broadcast(over), "_part").withColumn(column, F.coalesce(inside, "_carried")).select(*df.columns)
+            now = left.get(p, now)
+        over = spark.createDataFrame(carried, T.StructType([T.StructField("__sp_part", T.IntegerType()), T.StructField("__sp_carried", kind)]))
+        return stored.join(F.broadcast(over), "__sp_part").withColumn(column, F.when(F.col("__sp_open"), F.col("__sp_carried")).otherwise(F.col(column))).select(*df.columns)
 
     return run
 

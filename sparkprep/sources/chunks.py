@@ -49,7 +49,7 @@ from sparkprep.core import need
 from sparkprep.errors import ChecksumMismatch, DecryptionFailed, EmptyDataset, FormatError, InvalidConfig
 from sparkprep.sources import crypto
 from sparkprep.sources.container import Compression, compress, decompress
-from sparkprep.sources.storage import HadoopStorage
+from sparkprep.sources.storage import HadoopStorage, arrow_uri, qualified
 
 MAGIC, ROWS, ROW = b"SPCH", 65536, "_row"
 FORMAT = "sparkprep_chunks"
@@ -121,17 +121,6 @@ class Index:
         return [c for c in self.chunks[first:last] if c.row_offset < stop and c.row_offset + c.num_rows > start]
 
 
-def qualified(path: str) -> str:
-    return path if re.match(r"\w[\w+.-]*:", path) else f"file://{os.path.abspath(path)}"
-
-
-def arrow_uri(spark: SparkSession, path: str) -> str:
-    """The path as Arrow's file systems know it; mount tables are resolved."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(qualified(path))
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(where).toString()
-    return re.sub(r"^s3a:", "s3:", re.sub(r"^file:/(?!/)", "file:///", found))
-
-
 # ------------------------------------------------------------------ bodies
 def seal_body(column: pa.ChunkedArray, field: pa.Field, how: Compression) -> bytes:
     """Length, CRC-32 and compressed IPC stream of one column of a chunk."""

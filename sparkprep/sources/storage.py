@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import threading
 import urllib.error
 import urllib.request
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 from typing import Protocol
+from urllib.parse import quote
 
 from pyspark.sql import SparkSession
 
@@ -177,6 +179,20 @@ class HadoopStorage:
         return self._fs.getFileStatus(self._at(key)).getLen()
 
 
+def qualified(path: str) -> str:
+    return path if re.match(r"\w[\w+.-]*:", path) else f"file://{os.path.abspath(path)}"
+
+
+def arrow_uri(spark: SparkSession, path: str) -> str:
+    """The path as Arrow's file systems know it; mount tables are resolved, as far as the path exists."""
+    where, rest = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(qualified(path)), ""
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while not store.exists(where) and where.getParent() is not None:
+        where, rest = where.getParent(), f"/{quote(where.getName())}{rest}"
+    found = store.resolvePath(where).toUri().toString().rstrip("/") + rest
+    return re.sub(r"^s3a:", "s3:", re.sub(r"^file:/(?!/)", "file:///", found))
+
+
 def s3_options(endpoint: str | None = None, access_key: str | None = None, secret_key: str | None = None, anonymous: bool = False) -> dict[str, str]:
     """Spark settings for an S3-compatible store; a custom endpoint is addressed by path."""
     out = {}

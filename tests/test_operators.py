@@ -69,6 +69,27 @@ def test_unique(spark):
     assert rows.duplicate_rows(df.limit(0)).first().duplicate_rows == 0
 
 
+@pytest.mark.parametrize("backward", [False, True])
+def test_fill_over_partitions(spark, backward):
+    """Whole partitions of nulls, nulls at the ends, keys that are null, nested values, clashing names, and orders by expressions."""
+    rows = [(i if i % 37 else None, [str(i)] if i % 50 == 20 else None, i) for i in range(37, 400)]
+    df = spark.createDataFrame(rows, "k int, v array<string>, _part int").repartition(5)
+    df = df.filter("k IS NOT NULL")
+    fill = values.fill_backward if backward else values.fill_forward
+    want, now = {}, None
+    for k, v, _ in sorted((r for r in rows if r[0]), reverse=backward):
+        now = v or now
+        want[k] = now
+    for order in ("k", ["k", "_part"], F.col("k").asc(), [F.col("k")]):
+        got = df.transform(fill("v", order))
+        assert got.columns == df.columns and {r.k: r.v for r in got.collect()} == want
+    assert df.limit(0).transform(fill("v", "k")).count() == 0
+    nothing = spark.createDataFrame([(i, None) for i in range(9)], "k int, v double")
+    assert {r.v for r in nothing.transform(fill("v", "k")).collect()} == {None}
+    last = spark.createDataFrame([(None, None, 5), (1, 1.0, 5), (2, None, 5)], "k int, v double, x int").transform(fill("v", "k"))
+    assert {r.k: r.v for r in last.collect()} == ({1: 1.0, 2: None, None: None} if backward else {1: 1.0, 2: 1.0, None: 1.0})
+
+
 def test_fill(spark, items):
     got = {r.id: r.score for r in items.transform(values.fill_forward("score", "id")).collect()}
     assert got[0] is None and got[3] == 3.0 and got[4] == 6.0
