@@ -86,6 +86,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a plan may consist of to be run again as cheaply as its result could be read.
+_CHEAP = {"Project", "Filter", "LogicalRelation", "Relation", "LocalRelation", "InMemoryRelation", "Range", "SubqueryAlias"}
+
+
+def rereadable(df: DataFrame) -> DataFrame:
+    """df itself if it is a scan with expressions and filters; else it is written once and read back."""
+
+    def cheap(plan) -> bool:
+        children = plan.children()
+        return plan.nodeName() in _CHEAP and all(cheap(children.apply(i)) for i in range(children.size()))
+
+    return df if cheap(df._jdf.queryExecution().optimizedPlan()) else materialize(df)
+
+
 def order_columns(order_by: Order | Sequence[Order]) -> list[Column]:
     items = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
     if not items:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.core import materialize, need, running_totals
+from sparkprep.core import materialize, need, rereadable
 from sparkprep.errors import ColumnNotFound, InvalidConfig
 from sparkprep.operators.rows import duplicate_rows
 
+BINS = 4096
 _NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)$"
 
 
@@ -40,37 +42,64 @@ def value_counts(df: DataFrame) -> DataFrame:
     return df.select(F.explode(cells).alias("c")).groupBy("c.column", "c.value").agg(F.count("*").alias("n"))
 
 
-def pick_ranks(counts: DataFrame, group: str, value: str, n: str, ranks: Sequence[tuple[str, Column]]) -> DataFrame:
-    """From (group, value, n): per group, the values at 0-based places of the sorted sequence.
-
-    ranks: names and places as expressions of `_total`. Places are found among running counts, without sorting
-    a group in one task."""
-    totals = counts.groupBy(F.col(group).alias("_g")).agg(F.sum(n).alias("_total"))
-    upto = running_totals(counts, group, value, {"_upto": n}).join(totals, F.col(group).eqNullSafe(F.col("_g")))
-    here = lambda at: F.when((at < F.col("_upto")) & (at >= F.col("_upto") - F.col(n)), F.col(value))
-    return upto.groupBy(group).agg(*[F.max(here(at)).alias(name) for name, at in ranks])
+def select_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Callable[[int], int]], n: str | None = None, known: dict | None = None) -> dict:
+    """{group: {name: value}}: per group, the values at 0-based places of its sorted values, exactly; nothing is sorted.
+
+    Each pass counts the values of the ranges that are still open in BINS equal parts, all groups and ranks at once, and keeps for each rank the
+    part that holds it, with the least and the largest value there. A rank is found when these are one. Parts keep the order of values
+    and shrink by BINS each time, so some six passes tell any two doubles apart; a million evenly spread values take two.
+    n: how often a row counts. known: {group: (total, least, largest)} spares the first pass."""
+    spark, v, weight = rows.sparkSession, F.col(value).cast("double"), F.col(n) if n else F.lit(1)
+    if known is None:
+        known = {r[0]: (r[1], r[2], r[3]) for r in rows.groupBy(group).agg(F.sum(weight), F.min(v), F.max(v)).collect()}  # one row a group
+    out: dict = {g: {} for g in known}
+    open_ = {(g, name): (rank(total), low, high) for g, (total, low, high) in known.items() for name, rank in ranks.items()}
+    kind = rows.schema[group].dataType.simpleString()
+    while open_:
+        for (g, name), (_, low, high) in list(open_.items()):
+            if low == high:
+                out[g][name] = low
+                del open_[g, name]
+        if not open_:
+            break
+        ids: dict = {}
+        asked = [(ids.setdefault((g, low, high), len(ids)), name, rank) for (g, name), (rank, low, high) in open_.items()]
+        ranges = spark.createDataFrame([(i, g, low, high) for (g, low, high), i in ids.items()], f"_id int, _g {kind}, _low double, _high double")
+        # Halves, where the width itself would overflow.
+        part = F.when(F.col("_high") - F.col("_low") < float("inf"), (v - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise((v / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2))
+        inside = rows.join(F.broadcast(ranges), F.col(group).eqNullSafe(F.col("_g")) & v.between(F.col("_low"), F.col("_high")))
+        parts = inside.groupBy("_id", F.least(F.floor(part * BINS), F.lit(BINS - 1)).alias("_bin")).agg(F.sum(weight).alias("_n"), F.min(v).alias("_least"), F.max(v).alias("_most"))
+        before = Window.partitionBy("_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS rows at most
+        parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        found = parts.join(F.broadcast(spark.createDataFrame(asked, "_id int, name string, rank long")), "_id").filter("_before <= rank AND rank < _before + _n").collect()
+        back = {i: g for (g, _, _), i in ids.items()}
+        open_ = {(back[r["_id"]], r["name"]): (r["rank"] - r["_before"], r["_least"], r["_most"]) for r in found}  # one row a rank
+    return out
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column (also of text that holds numbers): count, min, max, mean, population deviation, quartiles by
-    rank, fences at 1.5 interquartile ranges and the number of outliers. Columns with fewer than 4 finite values are left out."""
+    rank, fences at 1.5 interquartile ranges and the number of outliers. Columns with fewer than 4 finite values are left out.
+
+    It runs jobs: the columns are read once for the moments, two or three times for the ranks, and once for the outliers; what isn't a plain scan is written
+    first."""
     names = list(columns) if columns is not None else [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType))]
     need(df, *names)
     number = lambda f: F.col(f.name).cast("double") if isinstance(f.dataType, T.NumericType) else F.when(F.col(f.name).rlike(_NUMBER), F.col(f.name).try_cast("double"))
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), number(f).alias("value")) for f in df.schema if f.name in names])
-    long = df.select(F.explode(cells).alias("c")).select("c.column", "c.value").filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < F.lit(float("inf"))))
-    counts = materialize(long.groupBy("column", "value").agg(F.count("*").alias("n")))
-    n = F.col("n")
-    base = counts.groupBy("column").agg(F.sum("n").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("value") * n) / F.sum(n)).alias("mean"))
-    base = base.filter("count >= 4")
-    spread = counts.join(base.select("column", "mean"), "column").groupBy("column").agg(F.sqrt(F.sum(n * (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean"))) / F.sum(n)).alias("std_dev"))
-    place = lambda k: F.floor(F.col("_total") * k / 4)
-    picked = pick_ranks(counts, "column", "value", "n", [("q1", place(1)), ("median", place(2)), ("q3", place(3))])
-    stats = base.join(spread, "column").join(picked, "column")
-    iqr = F.col("q3") - F.col("q1")
-    stats = stats.withColumn("lower", F.col("q1") - 1.5 * iqr).withColumn("upper", F.col("q3") + 1.5 * iqr)
-    out = counts.join(F.broadcast(stats.select("column", "lower", "upper")), "column").groupBy("column").agg(F.sum(F.when((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")), n).otherwise(0)).alias("outlier_count"))
-    return stats.join(out, "column")
+    own = [f for f in df.schema if f.name in names]
+    narrow = rereadable(df.select(*[number(f).alias(f"v{i}") for i, f in enumerate(own)]))
+    fit = lambda i: F.when(~F.isnan(f"v{i}") & (F.abs(f"v{i}") < F.lit(float("inf"))), F.col(f"v{i}"))
+    moments = narrow.agg(F.lit(0), *[f(fit(i)) for i in range(len(own)) for f in (F.count, F.min, F.max, F.avg, F.stddev_pop)]).first()
+    base = {i: moments[5 * i + 1 : 5 * i + 6] for i in range(len(own))}
+    base = {i: x for i, x in base.items() if x[0] >= 4}
+    rows = []
+    if base:
+        long = narrow.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), fit(i).alias("value")) for i in base])).alias("c")).select("c.column", "c.value").filter("value IS NOT NULL")
+        ranks = select_ranks(long, "column", "value", {f"q{k}": lambda total, k=k: total * k // 4 for k in (1, 2, 3)}, known={i: x[:3] for i, x in base.items()})
+        fences = {i: (r["q1"] - 1.5 * (r["q3"] - r["q1"]), r["q3"] + 1.5 * (r["q3"] - r["q1"])) for i, r in ranks.items()}
+        out = narrow.agg(*[F.count_if((fit(i) < low) | (fit(i) > high)) for i, (low, high) in fences.items()]).first()
+        rows = [(own[i].name, *base[i], ranks[i]["q1"], ranks[i]["q2"], ranks[i]["q3"], *fences[i], n) for i, n in zip(fences, out, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "column string, count long, min double, max double, mean double, std_dev double, q1 double, median double, q3 double, lower double, upper double, outlier_count long")
 
 
 def text_stats(df: DataFrame, column: str, prefix: str | None = None) -> DataFrame:
@@ -82,11 +111,11 @@ def text_stats(df: DataFrame, column: str, prefix: str | None = None) -> DataFra
     head = t.startswith(prefix) if prefix is not None else F.lit(False)
     counts = df.filter(t.isNotNull()).groupBy(F.lit(0).alias("g"), F.octet_length(t).cast("long").alias("len")).agg(F.count("*").alias("n"), F.count_if(F.length(F.regexp_replace(t, r"(?U)\s", "")) == 0).alias("empty"), F.count_if(head).alias("preamble"))
     counts = materialize(counts)
-    total = F.col("_total")
-    ranks = pick_ranks(counts, "g", "len", "n", [("p50_len", F.floor(total / 2)), ("p95_len", F.floor(total * 0.95)), ("p99_len", F.floor(F.least(total * 0.99, total - 1)))])
+    places = {"p50_len": lambda total: total // 2, "p95_len": lambda total: math.floor(total * 0.95), "p99_len": lambda total: math.floor(min(total * 0.99, total - 1))}
+    ranks = select_ranks(counts, "g", "len", places, "n").get(0, {})
     zero = lambda e: F.coalesce(e, F.lit(0)).cast("long")
-    base = counts.agg(zero(F.min("len")).alias("min_len"), zero(F.max("len")).alias("max_len"), F.coalesce(F.sum(F.col("len") * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("mean_len"), zero(F.sum("empty")).alias("empty_count"), zero(F.sum("preamble")).alias("preamble_count"), zero(F.sum("n")).alias("total")).withColumn("g", F.lit(0))
-    return base.join(ranks, "g", "left").select("min_len", "max_len", "mean_len", *(zero(F.col(c)).alias(c) for c in ("p50_len", "p95_len", "p99_len")), "empty_count", "preamble_count", "total")
+    base = counts.agg(zero(F.min("len")).alias("min_len"), zero(F.max("len")).alias("max_len"), F.coalesce(F.sum(F.col("len") * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("mean_len"), zero(F.sum("empty")).alias("empty_count"), zero(F.sum("preamble")).alias("preamble_count"), zero(F.sum("n")).alias("total"))
+    return base.select("min_len", "max_len", "mean_len", *(F.lit(int(ranks.get(c, 0))).cast("long").alias(c) for c in places), "empty_count", "preamble_count", "total")
 
 
 # ------------------------------------------------------------------ issues

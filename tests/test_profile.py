@@ -171,3 +171,37 @@ def test_sketch_compare(spark):
     same = sketches.compare(a, a).first()
     assert same.statistic == 0 and same.severity == "None"
     assert sketches.compare(a, a.withColumn("value", F.lit(13.0))).first().severity == "Medium"
+
+
+def test_ranks_are_those_of_sorted_values(spark):
+    """Values that equal parts separate badly: huge and tiny ones, long tails, repeats, one value, and groups of few."""
+    rng = np.random.default_rng(8)
+    groups = {
+        "even": rng.random(3000), "tail": np.exp(rng.normal(0, 200, 500)), "huge": np.array([-1.7e308, 1.7e308, 1e308, -1.0, 0.0, 5e-324, 1e-323, 1.5e-323] * 3), "same": np.full(9, 2.5),
+        "near": np.array([1.0, np.nextafter(1, 2), np.nextafter(1, 0), 1e300]), "one": np.array([7.0]), "zeros": np.array([0.0, -0.0, 0.0, -0.0, 1.0]), None: rng.integers(0, 5, 100).astype(float),
+    }
+    rows = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g string, v double").repartition(5)
+    ranks = {"first": lambda n: 0, "third": lambda n: n // 3, "median": lambda n: n // 2, "last": lambda n: n - 1}
+    want = {g: {k: sorted(v.tolist())[f(len(v))] for k, f in ranks.items()} for g, v in groups.items()}
+    assert quality.select_ranks(rows, "g", "v", ranks) == want
+    weighted = rows.groupBy("g", "v").agg(F.count("*").alias("n"))
+    assert quality.select_ranks(weighted, "g", "v", ranks, "n") == want
+    assert quality.select_ranks(rows.limit(0), "g", "v", ranks) == {}
+
+
+def test_numeric_stats_of_plans(spark):
+    """A shuffled input is run once; columns of text and of few values are told apart."""
+    ran = spark.sparkContext.accumulator(0)
+    source = spark.range(100).selectExpr("id", "string(id / 4) AS t", "IF(id < 3, id, null) AS few", "IF(id = 50, double('NaN'), id) AS n", "'x' AS word").repartition(3)
+
+    def count(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    df = source.mapInArrow(count, source.schema)
+    got = {r["column"]: r for r in quality.numeric_stats(df).collect()}
+    assert ran.value == 100 and sorted(got) == ["id", "n", "t"]
+    assert (got["id"].q1, got["id"].median, got["id"].q3, got["id"]["count"], got["id"].outlier_count) == (25, 50, 75, 100, 0)
+    assert (got["t"].max, got["n"]["count"], got["n"].median) == (24.75, 99, 49)
+    assert quality.numeric_stats(source.select("word")).count() == 0 and quality.numeric_stats(source.limit(0)).count() == 0
