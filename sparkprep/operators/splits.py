@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator, Sequence
+from concurrent.futures import Future
 from dataclasses import dataclass
+from queue import Empty, Queue
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -171,21 +174,12 @@ class DataLoader:
         return n // self.batch_size if self.drop_last else -(-n // self.batch_size)
 
     def __iter__(self) -> Iterator[pa.RecordBatch]:
-        """Partitions arrive as Arrow streams, one at a time and in order, and are cut anew into batches."""
+        """Partitions arrive as Arrow streams, in order, and are cut anew into batches."""
         df = self.df if self.order is None else self.df.orderBy(*self.order)
         schema = df.limit(0).toArrow().schema
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 65536):
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, batch.schema) as out:
-                        out.write_batch(batch.slice(at, 65536))
-                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
-
         held, size = [], 0
-        for row in df.mapInArrow(packed, "data binary").toLocalIterator(prefetchPartitions=self.prefetch):
-            part = pa.ipc.open_stream(bytes(row.data)).read_all().cast(schema)
+        for data in self._parts(df.mapInArrow(_packed, "data binary")):
+            part = pa.ipc.open_stream(data).read_all().cast(schema)
             held.append(part)
             size += part.num_rows
             while size >= self.batch_size:
@@ -195,6 +189,85 @@ class DataLoader:
         if size and not self.drop_last:
             yield pa.concat_tables(held).combine_chunks().to_batches()[0]
 
+    def _parts(self, packed: DataFrame) -> Iterator[bytes]:
+        """Streams of rows, one partition at a time."""
+        for row in packed.toLocalIterator(prefetchPartitions=self.prefetch):
+            yield bytes(row.data)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 65536):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch.slice(at, 65536))
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+
+class ParallelDataLoader(DataLoader):
+    """A loader whose ``workers`` fetch partitions at the same time; batches are those of one worker, in the same order.
+
+    Each worker runs a job over one partition. At most workers + ahead partitions are fetched or being fetched and not yet consumed, which
+    bounds what the driver holds. A failure is raised at the place of its partition, and ends the loader. Without workers it is a DataLoader."""
+
+    def __init__(self, df: DataFrame, *args, workers: int = 0, ahead: int = 2, **options):
+        super().__init__(df, *args, **options)
+        if workers < 0 or ahead < 1:
+            raise InvalidConfig("workers can't be negative, and one partition at least is fetched ahead")
+        self.workers, self.ahead = workers, ahead
+        self.most_at_once = 0
+
+    def _parts(self, packed: DataFrame) -> Iterator[bytes]:
+        if not self.workers:
+            yield from super()._parts(packed)
+            return
+        context, rdd = packed.sparkSession.sparkContext, packed.rdd
+        places, free, stop = Queue(), threading.Semaphore(self.workers + self.ahead), threading.Event()
+        fetched: list[Future] = [Future() for _ in range(rdd.getNumPartitions())]
+        for p in range(len(fetched)):
+            places.put(p)
+        running, lock = [0], threading.Lock()
+
+        def work() -> None:
+            while not stop.is_set():
+                free.acquire()  # before a place is taken, so that the place the consumer waits for is never the one without room
+                try:
+                    p = places.get_nowait()
+                except Empty:
+                    return
+                with lock:
+                    running[0] += 1
+                    self.most_at_once = max(self.most_at_once, running[0])
+                try:
+                    fetched[p].set_result(context.runJob(rdd, lambda rows: [bytes(r.data) for r in rows], [p]))
+                except Exception as e:  # noqa: BLE001  it belongs to whoever asks for this partition
+                    fetched[p].set_exception(e)
+                    stop.set()
+                finally:
+                    with lock:
+                        running[0] -= 1
+
+        threads = [threading.Thread(target=work, daemon=True) for _ in range(self.workers)]
+        for t in threads:
+            t.start()
+        try:
+            for p in range(len(fetched)):
+                while True:
+                    try:
+                        data = fetched[p].result(timeout=0.1)
+                        break
+                    except TimeoutError:
+                        # A place behind may have failed while this one was never begun.
+                        if stop.is_set() and not any(t.is_alive() for t in threads) and not fetched[p].done():
+                            raise next(f.exception() for f in fetched if f.done() and f.exception()) from None
+                yield from data
+                fetched[p] = Future()
+                free.release()
+        finally:
+            stop.set()
+            for _ in threads:
+                free.release()
+
 
 def split_sizes(df: DataFrame) -> DataFrame:
     """Rows of each part."""

@@ -113,6 +113,11 @@ def loader_drop_last(spark, d):
     return _loaded(spark, splits.DataLoader(load(spark, d, "part").select("p_partkey"), 300, drop_last=True, key="p_partkey"), "p_partkey")
 
 
+@query("SELECT ((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000)::BIGINT AS batch, o_orderkey FROM orders")
+def loader_parallel(spark, d):
+    return _loaded(spark, splits.ParallelDataLoader(load(spark, d, "orders").select("o_orderkey"), 1000, key="o_orderkey", workers=4), "o_orderkey")
+
+
 @query("SELECT b::BIGINT AS batch, least(4, (SELECT count(*) FROM nation) - 4 * b)::BIGINT AS n FROM range((SELECT (count(*) + 3) // 4 FROM nation)) t(b)")
 def streamed_batches(spark, d):
     sizes = [(i, b.num_rows) for i, b in enumerate(files.iterate(load(spark, d, "nation"), 4))]

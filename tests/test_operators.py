@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -169,6 +171,63 @@ def test_loader(items):
         splits.DataLoader(items, 0)
 
 
+def test_parallel_loader(spark):
+    """Batches are those of one worker, so many jobs run at once as there are workers, and failures are raised."""
+    df = spark.range(600).selectExpr("id", "id * 2 AS x").repartitionByRange(8, "id")
+    want = [b.to_pydict() for b in splits.DataLoader(df, 70)]
+    for options in ({"workers": 1}, {"workers": 4}, {"workers": 16, "ahead": 1}):
+        loader = splits.ParallelDataLoader(df, 70, **options)
+        assert [b.to_pydict() for b in loader] == want and loader.most_at_once <= min(options["workers"], 8)
+        assert [b.to_pydict() for b in loader] == want
+
+    def slowly(batches):
+        time.sleep(0.3)
+        yield from batches
+
+    slow = splits.ParallelDataLoader(df.mapInArrow(slowly, df.schema), 600, workers=3)
+    assert next(iter(slow)).num_rows == 600 and slow.most_at_once == 3
+    plain, many = (list(c(df, 50, shuffle=True, seed=4, key="id", drop_last=True, **o)) for c, o in ((splits.DataLoader, {}), (splits.ParallelDataLoader, {"workers": 3})))
+    assert [b.to_pydict() for b in plain] == [b.to_pydict() for b in many]
+    broken = df.withColumn("x", F.when(F.col("id") == 500, F.raise_error(F.lit("no"))).otherwise(F.col("x")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        list(splits.ParallelDataLoader(broken, 10, workers=2))
+    assert next(iter(splits.ParallelDataLoader(df, 10, workers=2))).num_rows == 10  # the rest is left
+    assert list(splits.ParallelDataLoader(df.limit(0), 10, workers=2)) == []
+    for bad in ({"workers": -1}, {"ahead": 0}):
+        with pytest.raises(InvalidConfig):
+            splits.ParallelDataLoader(df, 10, **bad)
+
+
+def test_gram_filters_lose_nothing(spark):
+    """A filter that is far too small passes more, and the results stay the same."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    ref = [(i, " ".join(word() for _ in range(8))) for i in range(40)]
+    train = [(i, " ".join(word() for _ in range(20)) + (ref[i % 40][1] if i % 3 == 0 else "")) for i in range(90)] + [(None, ref[0][1]), (7, None), (8, "short")]
+    a, b = spark.createDataFrame(train, "k long, text string").repartition(3), spark.createDataFrame(ref, "r long, text string")
+    want = {}
+    for k, t in train:
+        best = min(((-similarity.overlap(t, x, 10), r) for r, x in ref), default=(0, 0))
+        if best[0] < 0:
+            want[k] = min(want.get(k, best), best)
+    for words in (1, 1 << 10):
+        found = similarity.grams(b, "r", "text", 10)
+        bits = similarity.gram_filter(found, words=words)
+        assert len(bits) == words
+        held = np.array([r.gram for r in found.collect()]).view(np.uint64)
+        assert similarity.may_hold(bits, held).all()
+        passed = similarity.may_hold(bits, rng.integers(0, 2**63, 20000, dtype=np.uint64)).mean()
+        assert passed > 0.9 if words == 1 else passed < 0.05
+    old, similarity.WORDS = similarity.WORDS, 1
+    try:
+        for size in (1, old):
+            similarity.WORDS = size
+            got = {r.k: (-r.overlap, r.r) for r in similarity.contamination(a, b, "k", "r").collect()}
+            assert got == want
+    finally:
+        similarity.WORDS = old
+
+
 def test_fim_reassembles(spark):
     df = spark.createDataFrame([(i, f"abc{i}déf ghi jkl {i}") for i in range(50)] + [(50, "short"), (51, None)], "id int, text string")
     t = fim.Sentinels("<P>", "<S>", "<M>")
