@@ -455,7 +455,15 @@ class Parent:
 
 # ------------------------------------------------------------------ scoring
 _BLOB = "shard int, chunk long, n long, groups binary, sizes binary, special binary, codes binary, rare binary, trained int, total int"
-_REPLY = "chunk long, score binary, base binary, known binary, ids binary, tokens binary, held binary"
+_REPLY = "chunk long, docs binary, score binary, base binary, known binary, ids binary, tokens binary, held binary"
+#: Documents that sums are held of before they are sent.
+REPLIED = 1 << 20
+
+
+def by_document(doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The documents of a chunk that a shard has touched, and their sums: at most as many as it has tokens of the chunk."""
+    docs, at = np.unique(doc, return_inverse=True)
+    return docs.astype(np.uint16), *(np.bincount(at, v, len(docs)) for v in values)
 
 
 def sample(gid: np.ndarray, w: np.ndarray, a: np.ndarray, learned: np.ndarray, base: np.ndarray, pi: np.ndarray, shared: tuple, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -657,25 +665,27 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", sh
         logs = np.where(start, 0.0, np.log10(known_count + 1))
         for r, y in zip(rows, np.cumsum(lengths), strict=True):
             x = y - r[2]
-            got = sums.setdefault(r[1], np.zeros((3, r[9])))
-            for i, v in enumerate((value[x:y], logs[gid[x:y]], known_count[gid[x:y]] > 0)):
-                got[i] += np.bincount(doc[x:y], v, r[9])
+            sums.setdefault(r[1], []).append(by_document(doc[x:y], value[x:y], logs[gid[x:y]], known_count[gid[x:y]] > 0))
 
     def replies(sums: dict) -> Iterator[pa.RecordBatch]:
         for cut in range(0, len(sums), 256):
-            yield _batch([(k, x[0].tobytes(), x[1].tobytes(), x[2].astype(np.uint32).tobytes(), None, None, None) for k, x in list(sums.items())[cut : cut + 256]], _REPLY)
+            out = []
+            for chunk, held in list(sums.items())[cut : cut + 256]:
+                docs, *total = by_document(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                out.append((chunk, docs.tobytes(), total[0].tobytes(), total[1].tobytes(), total[2].astype(np.uint32).tobytes(), None, None, None))
+            yield _batch(out, _REPLY)
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, sums = None, [], {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] < 0:
-                    yield _batch([(row[1], None, None, None, *row[3:6])], _REPLY)
+                    yield _batch([(row[1], None, None, None, None, *row[3:6])], _REPLY)
                     continue
                 if row[0] != now and held:
                     close(held, sums)
                     held = []
-                    if sum(x.size for x in sums.values()) > 4 << 20:
+                    if sum(len(x[0]) for touched in sums.values() for x in touched) > REPLIED:
                         yield from replies(sums)
                         sums = {}
                 now = row[0]
@@ -687,11 +697,15 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", sh
     out_schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def finish(chunk: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        own = next(r for r in parts if r[4] is not None)
-        ids = pa.ipc.open_stream(own[4]).read_all().column(0).combine_chunks()
-        each, held = np.frombuffer(own[5], np.int64), np.frombuffer(own[6], bool)
+        own = next(r for r in parts if r[5] is not None)
+        ids = pa.ipc.open_stream(own[5]).read_all().column(0).combine_chunks()
+        each, held = np.frombuffer(own[6], np.int64), np.frombuffer(own[7], bool)
+        total = np.zeros((3, len(each)))
         # Partial sums in an order of their own, so that the last bits don't depend on which task came first.
-        total = [sum((np.frombuffer(x, kind).astype(float) for x in sorted(r[i] for r in parts if r[i] is not None)), np.zeros(len(each))) for i, kind in ((1, np.float64), (2, np.float64), (3, np.uint32))]
+        for r in sorted((r for r in parts if r[1] is not None), key=lambda r: r[1:5]):
+            docs = np.frombuffer(r[1], np.uint16)
+            for x, data, kind in zip(total, r[2:5], (np.float64, np.float64, np.uint32), strict=True):
+                x[docs] += np.frombuffer(data, kind)
         place = np.empty(len(held), np.int64)
         place[np.argsort(held, kind="stable")] = np.arange(len(held))
         s, base, seen = (x[place] for x in total)

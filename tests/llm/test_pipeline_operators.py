@@ -300,6 +300,18 @@ def test_rows_that_repeat_or_lack_an_id_are_scored(spark):
     assert [g[:2] for g in got] == [(1, 4), (1, 4), (2, 1), (3, 3), (None, 4)] and got[0] == got[1] and got[0][2] == got[4][2]
 
 
+def test_replies_grow_with_tokens():
+    """A shard answers for the documents that it has tokens of, however many its chunk holds; merged answers are sums of both."""
+    rng = np.random.default_rng(1)
+    for n in (10, 1000):
+        doc, value = rng.integers(0, 30000, n), rng.random(n)
+        docs, sums, ones = pitman_yor.by_document(doc, value, np.ones(n))
+        assert len(docs) == len(set(doc.tolist())) <= n and docs.dtype == np.uint16 and ones.sum() == n
+        assert sums == pytest.approx([value[doc == d].sum() for d in docs])
+    a, b = (pitman_yor.by_document(np.array(d), np.array(v)) for d, v in (([5, 1, 5], [1.0, 2.0, 3.0]), ([1, 9], [4.0, 5.0])))
+    assert [x.tolist() for x in pitman_yor.by_document(*(np.concatenate(x) for x in zip(a, b, strict=True)))] == [[1, 5, 9], [6.0, 4.0, 5.0]]
+
+
 def test_seating_is_exact():
     """Tables drawn at once are distributed as those of customers who move one at a time."""
     rng = np.random.default_rng(0)
