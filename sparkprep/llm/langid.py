@@ -8,7 +8,7 @@ n-grams that occur, their rows of the matrix and sums them per text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; if nothing can be learned
 (no labelled text, empty table) every text is ``und`` with score 0; ties go to the smaller language;
-null labels are not learned from; texts of any length are read whole, those of more than LONG code points in overlapping pieces;
+null labels are not learned from; more labels than ENTRIES / FEWEST are refused before anything is counted; texts of any length are read whole, those of more than LONG code points in overlapping pieces;
 rows that repeat an id, and rows of null id, are predicted each on their own; other columns are passed through if asked for.
 """
 
@@ -118,7 +118,9 @@ _TABLE = "lang string, part int, docs long, counts binary"
 def train(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """labelled(text, lang) -> (languages, matrix of slots x languages; the last row holds the priors)."""
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(ENTRIES // FEWEST).collect())
+    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(ENTRIES // FEWEST + 1).collect())
+    if len(langs) > ENTRIES // FEWEST:
+        raise ValueError(f"more than {ENTRIES // FEWEST} labels: they are no languages")
     width = SLOTS
     while width > FEWEST and width * len(langs) > ENTRIES:
         width //= 2

@@ -107,6 +107,14 @@ def test_many_labels_have_fewer_slots(spark):
     assert langid.predict(df, (langs, matrix), ["doc_id"]).filter("lang_pred = concat('l', doc_id)").count() > 300
 
 
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ENTRIES", langid.FEWEST * 5)
+    df = spark.range(20).selectExpr("id AS doc_id", "concat('some text ', id) AS text", "concat('l', id % 6) AS lang")
+    with pytest.raises(ValueError, match="more than 5 labels"):
+        langid.train(df)
+    assert len(langid.train(df.filter("lang != 'l0'"))[0]) == 5
+
+
 def test_both_tokenizers_agree():
     """Random texts over the characters that the faster library is trusted with."""
     import public_tokenizers
