@@ -538,13 +538,13 @@ def chunk_lookup(spark, d):
     return out
 
 
-@query("SELECT row, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1)::BIGINT AS row, * FROM lineitem) WHERE row >= 1000 AND row < 30000 AND l_quantity > 25")
+@query("SELECT row, o_orderkey, o_totalprice FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS row, * FROM orders) WHERE row >= 1000 AND row < 9000 AND o_totalprice > 1000")
 def chunk_scan(spark, d):
     """A container as a format: the filter on the row number chooses chunks, the one on another column is Spark's."""
     path = _place(spark, "t.spd")
-    chunks.write_chunks(load(spark, d, "lineitem").orderBy("l_orderkey", "l_linenumber"), path, 2048)
-    found = chunks.scan(spark, path, [chunks.ROW, "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"]).filter(f"{chunks.ROW} >= 1000 AND {chunks.ROW} < 30000 AND l_quantity > 25")
-    return found.select(F.col(chunks.ROW).alias("row"), "l_orderkey", "l_linenumber", "l_extendedprice")
+    chunks.write_chunks(load(spark, d, "orders").orderBy("o_orderkey"), path, 512)
+    found = chunks.scan(spark, path, [chunks.ROW, "o_orderkey", "o_totalprice"]).filter(f"{chunks.ROW} >= 1000 AND {chunks.ROW} < 9000 AND o_totalprice > 1000")
+    return found.select(F.col(chunks.ROW).alias("row"), "o_orderkey", "o_totalprice")
 
 
 @query("SELECT * FROM customer")
