@@ -170,6 +170,32 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("template").take(pa.array(owner[some])), pa.array(cell[some].view(np.int64)), pa.array(delta[some].view(np.int64))], ["template", "cell", "delta"])
 
 
+def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(template, delta) from rows sorted by template, one for each of its tokens: how its line's hash changes with its fields. Templates
+    without fields, or with too few constants, go."""
+
+    def judged(template: np.ndarray, n: np.ndarray, delta: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(template):
+            return
+        begin = np.flatnonzero(np.append(True, template[1:] != template[:-1]))
+        size = np.diff(np.append(begin, len(template)))
+        group = np.repeat(np.arange(len(begin)), size)
+        level = n[np.lexsort((n, group))][begin + np.floor(size * FIELDS).astype(np.int64)]
+        field = VALUES * n <= level[group]
+        fields = np.add.reduceat(field.astype(np.int64), begin)
+        some = (fields > 0) & (size - fields >= CONSTANT)
+        changed = np.bitwise_xor.reduceat(np.where(field, delta, 0), begin)
+        yield pa.RecordBatch.from_arrays([pa.array(template[begin][some]), pa.array(changed[some])], ["template", "delta"])
+
+    held = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("template", "n", "delta"), strict=True)]
+        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last template may go on in the next batch
+        yield from judged(*(h[:cut] for h in held))
+        held = [h[cut:] for h in held]
+    yield from judged(*held)
+
+
 def _generalised(lines: DataFrame) -> DataFrame:
     """(template, named): for the templates that are one but for fields, the name they share."""
     lines = lines.filter("tokens IS NOT NULL")
@@ -184,11 +210,8 @@ def _generalised(lines: DataFrame) -> DataFrame:
     cells = kinds.select("template", "leaf", "tokens").mapInArrow(_cells, "template long, cell long, delta long")
     # Written, so that adaptive execution can split the lines that share a common token.
     shared = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")), "cells")
-    seen = cells.join(shared, "cell").groupBy("template").agg(F.collect_list(F.struct("n", "delta")).alias("seen"))
-    level = F.element_at(F.sort_array(F.transform("seen", lambda x: x["n"])), (F.floor(F.size("seen") * F.lit(FIELDS)) + 1).cast("int"))
-    seen = seen.withColumn("level", level).withColumn("fields", F.filter("seen", lambda x: VALUES * x["n"] <= F.col("level")))
-    seen = seen.filter((F.size("fields") > 0) & (F.size("seen") - F.size("fields") >= CONSTANT))
-    seen = seen.select("template", F.aggregate("fields", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["delta"])).alias("delta"))
+    seen = cells.join(shared, "cell").select("template", "n", "delta").repartition("template").sortWithinPartitions("template")
+    seen = seen.mapInArrow(_fields, "template long, delta long")
     alike = kinds.select("template", "leaf", "base").join(seen, "template")
     alike = materialize(alike.select("template", F.xxhash64("leaf", F.col("base").bitwiseXOR(F.col("delta"))).alias("named")), "alike")
     several = alike.groupBy("named").agg(F.count("*").alias("n")).filter(F.col("n") >= VALUES).select("named")
