@@ -206,7 +206,11 @@ def _generalised(lines: DataFrame) -> DataFrame:
     salted = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     kinds = lines.select("template", "leaf", "base", "tokens", F.pmod("__sp_hash", F.lit(SALTS)).cast("int").alias("salt"))
     kinds = kinds.join(salted, ["leaf", "salt"], "left_semi").groupBy("template").agg(*(F.first(c).alias(c) for c in ("leaf", "base", "tokens")))
-    kinds = materialize(kinds, "leaves")
+    kinds = materialize(kinds.withColumn("salt", F.pmod("template", F.lit(SALTS)).cast("int")), "leaves")
+    # A template has VALUES lines at least, and so has its leaf.
+    wide = kinds.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= VALUES)
+    wide = wide.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    kinds = materialize(kinds.join(wide, ["leaf", "salt"], "left_semi").drop("salt"), "wide-leaves")
     cells = kinds.select("template", "leaf", "tokens").mapInArrow(_cells, "template long, cell long, delta long")
     # Written, so that adaptive execution can split the lines that share a common token.
     shared = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")), "cells")
