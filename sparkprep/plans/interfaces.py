@@ -22,6 +22,8 @@ from sparkprep.profile import drift, imbalance, quality, sketches
 from sparkprep.registry import Registry
 from sparkprep.sources import arrow_ipc, batches, chunks, container, crypto, files, hub, raw
 from sparkprep.sources.storage import HadoopStorage, HttpClient, HttpStorage, MemoryStorage
+from sparkprep.streaming import frames
+from sparkprep.streaming.drift import windowed_drift
 
 
 def seed_sql(seed: int | str, key: str) -> str:
@@ -571,6 +573,18 @@ def chunk_stream(spark, d):
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("SELECT ts::DATE AS day, count(*)::BIGINT AS n, min(value) AS low, max(value) AS high FROM events WHERE isfinite(value) AND ts IS NOT NULL GROUP BY 1")
+def stream_windows(spark, d):
+    """Digests of days, given out when a later event closes them; the stream stops in between and goes on from its checkpoint."""
+    base, events = _place(spark, "windows"), load(spark, d, "events").select("ts", "value")
+    later = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(0.0).alias("value"))
+    for part in (events, later):
+        part.write.mode("append").parquet(f"{base}/in")
+        windows = windowed_drift(frames.read_stream(spark, f"{base}/in", events.schema), "ts", ["value"], 86_400_000)
+        windows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.to_date("start").alias("day"), "n", "low", "high")
+
+
 # ------------------------------------------------------------------ registry, content, viewer
 @query("SELECT 'nation' AS name, '2.0' AS latest, '1.0,2.0' AS versions, (SELECT count(*) FROM nation)::BIGINT AS num_rows, 'place,small' AS tags UNION ALL SELECT 'region', '1.0', '1.0', (SELECT count(*) FROM region), 'place'")
 def registry_records(spark, d):

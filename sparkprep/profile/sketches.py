@@ -191,9 +191,20 @@ def compare(reference: DataFrame, current: DataFrame, threshold: float = 0.1) ->
     return both.withColumn("severity", sketch_severity(F.col("statistic"), threshold))
 
 
+# Severities below multiples of the threshold.
+SEVERITIES = ((1, "None"), (2, "Low"), (5, "Medium"), (10, "High"))
+
+
 def sketch_severity(x: Column, threshold: float) -> Column:
-    # Multiples of the threshold.
-    return F.when(x < threshold, "None").when(x < 2 * threshold, "Low").when(x < 5 * threshold, "Medium").when(x < 10 * threshold, "High").otherwise("Critical")
+    out = F
+    for times, name in SEVERITIES:
+        out = out.when(x < times * threshold, name)
+    return out.otherwise("Critical")
+
+
+def severity_of(x: float, threshold: float) -> str:
+    """The same of one number."""
+    return next((name for times, name in SEVERITIES if x < times * threshold), "Critical")
 
 
 def steps(n: int = 20) -> list[float]:
