@@ -132,6 +132,18 @@ class ContentKind:
             out += [Issue(f"chapters[{i}].{k}", f"{k} is required") for k in ("id", "title") if not c.get(k)]
         return out
 
+    def issues(self, documents: DataFrame, key: str, column: str = "json") -> DataFrame:
+        """(key, path, message) of every document: what validate() finds in one of them, as expressions over all."""
+        parsed = documents.select(F.col(key), F.from_json(column, self.struct, {"mode": "FAILFAST"}).alias("d"))
+        kinds = dict(parsed.select("d.*").dtypes)
+        empty = lambda c, kind="string": F.coalesce(c.cast("string"), F.lit("")).isin("") if kind == "string" else c.isNull() | (c == 0)
+        issue = lambda path, k: F.struct(path.alias("path"), F.lit(f"{k} is required").alias("message"))
+        found = F.array(*[F.when(empty(F.col(f"d.{k}"), kinds[k]), issue(F.lit(k), k)) for k in self.required])
+        if self.name == "book":
+            within = lambda c, i: F.array(*[F.when(empty(c[k]), issue(F.format_string(f"chapters[%d].{k}", i), k)) for k in ("id", "title")])
+            found = F.concat(found, F.coalesce(F.flatten(F.transform("d.chapters", within)), F.array()))
+        return parsed.select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select(key, "i.path", "i.message")
+
     def to_rows(self, documents: DataFrame, column: str = "json") -> DataFrame:
         return self.rows(self.parse(documents, column))
 

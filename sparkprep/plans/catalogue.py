@@ -419,11 +419,18 @@ def fill_in_the_middle(spark, d):
     return load(spark, d, "documents").select("doc_id", "text").transform(fim.fim("text", "doc_id", rate=0.5, seed=42))
 
 
-@query()
+# The mark of 256 bits is that of the bytes 0 to 31, the highest bit first; so the low bit of row r is known, and what is measured of it countable.
+@query("""
+WITH x AS (SELECT r, (((r % 256) // 8) >> (7 - r % 8)) & 1 AS bit FROM (SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::BIGINT AS r FROM part WHERE p_retailprice IS NOT NULL)),
+s AS (SELECT count(*) AS n, sum(bit)::DOUBLE AS ones, sum(bit) / count(*)::DOUBLE AS p, 2 * sum(bit) / count(*)::DOUBLE - 1 AS mean FROM x),
+c AS (SELECT sum((2 * a.bit - 1 - mean) * (2 * b.bit - 1 - mean)) / count(*) AS cov FROM x a JOIN x b ON a.r = b.r + 256, s),
+o AS (SELECT n, p, ones, CASE WHEN n < 512 OR 1 - mean * mean < 1e-10 THEN 0.0 ELSE least(greatest(coalesce(cov, 0) / (1 - mean * mean), -1), 1) END AS auto FROM s, c)
+SELECT 'p_retailprice' AS "column", n::BIGINT AS n, round(-p * log2(p) - (1 - p) * log2(1 - p), 6) AS lsb_entropy, round(exp(-(ones - n / 2) * (ones - n / 2) / (n / 2)), 6) AS chi_square_pvalue,
+       round(exp(-2 * (p - 0.5) * (p - 0.5) * n), 6) AS ks_pvalue, round(auto, 6) AS autocorrelation_256, auto > 0.5 AS anomalous FROM o""")
 def watermark_bits(spark, d):
     parts = load(spark, d, "part").select("p_partkey", "p_retailprice")
     marked = watermark.embed(parts, bytes(range(32)), bytes(32), ["p_retailprice"], "p_partkey")
-    return watermark.analyze(marked, "p_partkey")
+    return watermark.analyze(marked, "p_partkey").select("column", "n", *(r6(F.col(c), c) for c in ("lsb_entropy", "chi_square_pvalue", "ks_pvalue", "autocorrelation_256")), "anomalous")
 
 
 @query("SELECT 'demo' AS source, '1.0' AS version, 'pkg.m' || r_regionkey AS module, 'f' AS function, '>>> f(2)' AS input, '4' AS expected, 'def f(x)' AS signature FROM region")

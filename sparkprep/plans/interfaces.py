@@ -9,6 +9,7 @@ import io
 import json
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkprep import cli, repl, viewer
@@ -605,10 +606,14 @@ def course_rows(spark, d):
     return COURSE.to_rows(load(spark, d, "nation").select(F.to_json(course).alias("json")))
 
 
-@query("SELECT * FROM (VALUES ('author', 'author is required'), ('chapters[1].title', 'title is required')) t(path, message)")
+@query("WITH c AS (SELECT n_regionkey AS book, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, n_nationkey AS k FROM nation) SELECT book, 'author' AS path, 'author is required' AS message FROM c WHERE i = 0 AND book % 2 = 0 UNION ALL SELECT book, 'chapters[' || i || '].title', 'title is required' FROM c WHERE k % 3 = 0 UNION ALL SELECT book, 'chapters[' || i || '].id', 'id is required' FROM c WHERE k % 4 = 1")
 def content_issues(spark, d):
-    found = BOOK.validate(json.dumps({"id": "b", "title": "t", "chapters": [{"id": "1", "title": "x"}, {"id": "2"}]}))
-    return spark.createDataFrame([(i.path, i.message) for i in found], "path string, message string")
+    """A book for each region, of its nations, some without a title, an id or an author."""
+    key = F.col("n_nationkey")
+    chapter = F.struct(key.alias("at"), F.when(key % 4 != 1, key.cast("string")).alias("id"), F.when(key % 3 != 0, F.col("n_name")).alias("title"))
+    books = load(spark, d, "nation").groupBy(F.col("n_regionkey").alias("book")).agg(F.sort_array(F.collect_list(chapter)).alias("chapters"))
+    text = F.to_json(F.struct(F.col("book").cast("string").alias("id"), F.lit("t").alias("title"), F.when(F.col("book") % 2 == 1, "a").alias("author"), "chapters"))
+    return BOOK.issues(books.select("book", text.alias("json")), "book")
 
 
 @query("SELECT i::BIGINT AS chunk, least(2, 5 - 2 * i)::BIGINT AS n FROM range(3) t(i)")
@@ -717,10 +722,17 @@ def session_commands(spark, d):
     return spark.createDataFrame([(s.active, found["rows"], s.prompt(), ",".join(s.complete("h")), s.execute("datasets"))], "active string, rows bigint, prompt string, verbs string, listed string")
 
 
-@query("SELECT lower(v) AS verb, n::VARCHAR AS args FROM (SELECT unnest(['HEAD', 'head', 'Schema']) AS v, unnest(['5', '17', '']) AS n)")
+@query("SELECT s_suppkey, 'head' AS verb, s_suppkey::VARCHAR AS args FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'convert', s_name || '.csv' FROM supplier WHERE s_suppkey % 2 = 1")
 def session_parsing(spark, d):
-    found = [repl.parse(x) for x in ("HEAD 5", "head '17'", "Schema")]
-    return spark.createDataFrame([(c.verb, " ".join(c.args)) for c in found], "verb string, args string")
+    """A command for each supplier, parsed by the executors."""
+    lines = load(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.format_string("HEAD %d", "s_suppkey")).otherwise(F.format_string("Convert '%s.csv'", "s_name")).alias("line"))
+
+    def parsed(batches):
+        for batch in batches:
+            found = [repl.parse(x) for x in batch.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("s_suppkey"), pa.array([c.verb for c in found]), pa.array([" ".join(c.args) for c in found])], ["s_suppkey", "verb", "args"])
+
+    return lines.mapInArrow(parsed, f"s_suppkey {dict(lines.dtypes)['s_suppkey']}, verb string, args string")
 
 
 # ------------------------------------------------------------------ doctests, texts, watermarks

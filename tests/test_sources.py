@@ -9,6 +9,7 @@ from sparkprep.errors import ChecksumMismatch, DecryptionFailed, EmptyDataset, F
 from sparkprep.content import BOOK, COURSE, Constraint, ContentRegistry, Field, Schema, documents
 from sparkprep.registry import Registry
 from sparkprep.repl import Session, parse as parse_command
+from sparkprep import content
 from sparkprep.sources import builtin, container, crypto, files, hub, raw, storage
 from sparkprep.streaming import frames
 from sparkprep.viewer import Viewer, cell, truncate, width
@@ -272,3 +273,12 @@ def test_session(spark, items, tmp_path):
             parse_command(bad)
     with pytest.raises(EOFError):
         s.execute("exit")
+
+
+def test_issues_of_all_documents_are_those_of_each(spark):
+    books = [{"id": "b", "title": "t", "author": "a", "chapters": []}, {"id": "0", "chapters": [{"id": "0", "title": ""}, {"title": "x"}]}, {"title": "", "author": None}, {}]
+    courses = [{"id": "c", "title": "t", "weeks": 0}, {"id": "c", "title": "t", "weeks": 3}, {}]
+    for kind, documents in ((content.BOOK, books), (content.COURSE, courses)):
+        rows_ = [(i, json.dumps(x)) for i, x in enumerate(documents)]
+        got = kind.issues(spark.createDataFrame(rows_, "k int, json string"), "k").collect()
+        assert sorted((r.k, r.path, r.message) for r in got) == sorted((i, x.path, x.message) for i, t in rows_ for x in kind.validate(t))
