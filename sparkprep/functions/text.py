@@ -28,15 +28,10 @@ def alnum_ratio_score(t: Column) -> Column:
     return F.when(F.octet_length(t) == 0, 0.0).when(ratio < 0.2, 0.0).when(ratio < 0.3, ratio).otherwise(1.0)
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _line_counts(t: Column, use: Callable[[Column, Column], Column]) -> Column:
-    """use(lines, distinct lines), from one split of the text."""
-    counts = _once(lines(t), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("u")))
-    return _once(counts, lambda c: use(c["n"], c["u"]))
+    """use(lines, distinct lines)."""
+    counted = measures(t)
+    return use(counted["n"], counted["u"])
 
 
 def _length_score(t: Column, n: Column) -> Column:
@@ -59,10 +54,18 @@ def duplicate_lines_score(t: Column) -> Column:
     return _line_counts(t, _distinct_score)
 
 
-@F.pandas_udf(T.DoubleType())
-def byte_entropy(texts: pd.Series) -> pd.Series:
-    """Shannon entropy of the bytes, in bits: one histogram over (row, byte) per run of rows, where expressions would need a row per byte."""
+def _lines_of(text: str) -> list[str]:
+    """What lines() gives."""
+    out = text.removesuffix("\n").split("\n") if text else []
+    return [x.removesuffix("\r") for x in out] if "\r" in text else out
+
+
+@F.pandas_udf(T.StructType([T.StructField("entropy", T.DoubleType()), T.StructField("n", T.IntegerType()), T.StructField("u", T.IntegerType())]))
+def measures(texts: pd.Series) -> pd.DataFrame:
+    """What is counted of a text, in one pass whatever the number of scores: Shannon entropy of its bytes, in bits, by one histogram over
+    (row, byte) per run of rows; its lines, and its distinct lines. Spark evaluates equal calls once."""
     raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    found = [None if t is None else _lines_of(t) for t in texts]
     out, at = np.full(len(raw), np.nan), 0
     while at < len(raw):
         stop, size = at, 0
@@ -75,7 +78,13 @@ def byte_entropy(texts: pd.Series) -> pd.Series:
         total = np.maximum(sizes, 1)
         out[at:stop] = np.where(sizes > 0, np.log2(total) - (n * np.log2(np.maximum(n, 1))).sum(1) / total, 0.0)
         at = stop
-    return pd.Series(out).mask([x is None for x in raw])
+    count = lambda f: pd.array([None if x is None else f(x) for x in found], "Int32")
+    return pd.DataFrame({"entropy": pd.Series(out).mask([x is None for x in raw]), "n": count(len), "u": count(lambda x: len(set(x)))})
+
+
+def byte_entropy(t: Column) -> Column:
+    """Shannon entropy of the bytes, in bits."""
+    return measures(t)["entropy"]
 
 
 def entropy_score(t: Column) -> Column:
