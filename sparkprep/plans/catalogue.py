@@ -18,7 +18,7 @@ from sparkprep.operators import columns as co
 from sparkprep.operators import doctests, federated, fim, rows, similarity, splits, tensors, values, watermark
 from sparkprep.profile import drift, imbalance, quality, sketches
 from sparkprep.registry import Registry
-from sparkprep.sources import chunks, container, files
+from sparkprep.sources import chunks, container, files, hub
 from sparkprep.sources.hub import LICENSES
 from sparkprep.streaming import frames
 
@@ -174,7 +174,7 @@ def text_column_stats(spark, d):
 
 @query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS bytes FROM documents")
 def content_hash(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
+    return container.content_hash(load(spark, d, "documents"), "text").select("doc_id", "sha256", F.octet_length("text").cast("bigint").alias("bytes"))
 
 
 @query("SELECT min(n)::BIGINT AS place FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS n, n_name, n_nationkey, n_regionkey FROM nation) WHERE n_name ILIKE '%an%' OR n_nationkey::VARCHAR LIKE '%an%'")
@@ -502,8 +502,7 @@ def schema_violations(spark, d):
 
 @query("SELECT c_custkey, min(levenshtein(c_mktsegment, x))::BIGINT AS distance FROM customer, (SELECT unnest(['" + "', '".join(LICENSES) + "']) AS x) GROUP BY c_custkey")
 def nearest_name(spark, d):
-    known = F.array(*[F.lit(x) for x in LICENSES])
-    return load(spark, d, "customer").select("c_custkey", F.array_min(F.transform(known, lambda x: F.levenshtein("c_mktsegment", x))).cast("bigint").alias("distance"))
+    return load(spark, d, "customer").select("c_custkey", hub.least_distance(F.col("c_mktsegment"), LICENSES).cast("bigint").alias("distance"))
 
 
 @query("SELECT event_type, ts::DATE AS day, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")

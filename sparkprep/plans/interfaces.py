@@ -367,10 +367,17 @@ def _flawed(spark, d):
 _LOST = "(30 * (SELECT (count(*) FILTER (event_id % 3 = 0))::DOUBLE / count(*) FROM events) / 3 + 10 + 5 + 2 + 15)"
 
 
-@query("SELECT * FROM (VALUES ('high_null_ratio', 'holes', 3), ('high_duplicate_ratio', 'fixed', 2), ('low_cardinality', 'fixed', 1), ('constant_column', 'fixed', 4)) t(kind, \"column\", severity)")
+@query("""
+WITH e AS (SELECT count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS holes, count(DISTINCT event_id) FILTER (event_id % 3 <> 0) AS filled FROM events),
+c AS (SELECT 'holes' AS "column", n, holes AS nulls, filled AS kinds FROM e UNION ALL SELECT 'fixed', n, 0, 1 FROM e),
+r AS (SELECT *, nulls / n AS null_ratio, 1 - kinds / (n - nulls) AS repeated FROM c)
+SELECT 'high_null_ratio' AS kind, "column", CASE WHEN null_ratio > 0.5 THEN 4 ELSE 3 END AS severity, round(null_ratio, 6) AS value, NULL::BIGINT AS count FROM r WHERE null_ratio > 0.1
+UNION ALL SELECT 'high_duplicate_ratio', "column", 2, round(repeated, 6), NULL FROM r WHERE repeated > 0.5
+UNION ALL SELECT 'low_cardinality', "column", 1, NULL, kinds FROM r WHERE kinds < 2 AND n > 1
+UNION ALL SELECT 'constant_column', "column", 4, NULL, NULL FROM r WHERE kinds <= 1""")
 def quality_issues(spark, d):
     found = quality.check(_flawed(spark, d)).issues
-    return spark.createDataFrame([(i.kind, i.column, i.severity) for i in found], "kind string, column string, severity int")
+    return spark.createDataFrame([(i.kind, i.column, i.severity, round(i.value, 6) if isinstance(i.value, float) else None, i.count) for i in found], "kind string, column string, severity int, value double, count bigint")
 
 
 @query(f"SELECT count(*)::BIGINT AS rows, 3::BIGINT AS columns, round(100 - {_LOST}, 6) AS score, 4::BIGINT AS max_severity, 'fixed,holes' AS problems, 0::BIGINT AS repeated FROM events")

@@ -24,11 +24,16 @@ def column_profile(df: DataFrame) -> DataFrame:
     """Per column: total_count, null_count, null_ratio, unique_count, unique_ratio, duplicate_count, duplicate_ratio.
 
     Values of all columns are counted together in long form, so skew in one of them is pre-aggregated away."""
+    return _profile(df).drop("last")
+
+
+def _profile(df: DataFrame) -> DataFrame:
+    """column_profile() and the last value of each column, as text."""
     counts = value_counts(df)
-    rows = counts.groupBy("column").agg(F.sum("n").alias("total_count"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"), F.count("value").alias("unique_count"))
+    rows = counts.groupBy("column").agg(F.max("value").alias("last"), F.sum("n").alias("total_count"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"), F.count("value").alias("unique_count"))
     full = F.col("total_count") - F.col("null_count")
     share = lambda x, y: F.when(y > 0, x / F.when(y > 0, y)).otherwise(0.0)
-    return rows.select("column", "total_count", "null_count", share(F.col("null_count"), F.col("total_count")).alias("null_ratio"), "unique_count", share(F.col("unique_count"), full).alias("unique_ratio"), (full - F.col("unique_count")).alias("duplicate_count"), share(full - F.col("unique_count"), full).alias("duplicate_ratio"))
+    return rows.select("column", "total_count", "null_count", share(F.col("null_count"), F.col("total_count")).alias("null_ratio"), "unique_count", share(F.col("unique_count"), full).alias("unique_ratio"), (full - F.col("unique_count")).alias("duplicate_count"), share(full - F.col("unique_count"), full).alias("duplicate_ratio"), "last")
 
 
 def _cell(name: str, kind: T.DataType) -> Column:
@@ -177,15 +182,14 @@ def check(df: DataFrame, thresholds: Thresholds | None = None, check_duplicates:
     t = thresholds or Thresholds()
     if not df.columns:
         return QualityReport(0, 0, issues=[Issue("empty_schema")])
-    profile = {r["column"]: r.asDict() for r in column_profile(df).collect()}  # one row per column
+    profile = {r["column"]: r.asDict() for r in _profile(df).collect()}  # one row per column
+    last = {c: p.pop("last") for c, p in profile.items()}
     rows = max((p["total_count"] for p in profile.values()), default=0)
     report = QualityReport(rows, len(df.columns))
     if not rows:
         report.issues.append(Issue("empty_dataset"))
         return report
     stats = {r["column"]: r.asDict() for r in numeric_stats(df).collect()} if with_outliers else {}
-    constants = [c for c, p in profile.items() if p["unique_count"] <= 1]
-    values = df.agg(*[F.max(_cell(c, df.schema[c].dataType)).alias(c) for c in constants]).first() if constants else {}
     for name in df.columns:
         p = report.columns[name] = profile[name] | {"numeric": stats.get(name)}
         if p["null_ratio"] > t.max_null_ratio:
@@ -195,7 +199,7 @@ def check(df: DataFrame, thresholds: Thresholds | None = None, check_duplicates:
         if p["unique_count"] < t.min_cardinality and rows > 1:
             report.issues.append(Issue("low_cardinality", name, count=p["unique_count"]))
         if p["unique_count"] <= 1:
-            report.issues.append(Issue("constant_column", name, values[name] or ""))
+            report.issues.append(Issue("constant_column", name, last[name] or ""))
         if p["numeric"] and p["numeric"]["outlier_count"] / rows > t.max_outlier_ratio:
             report.issues.append(Issue("outliers_detected", name, p["numeric"]["outlier_count"] / rows, p["numeric"]["outlier_count"]))
     if check_duplicates:
