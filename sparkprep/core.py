@@ -148,10 +148,15 @@ def order_value(names: Sequence[str]) -> Column:
     return F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in names])
 
 
+def seeded_digits(seed: int | Column, *keys: str | Column) -> Column:
+    """The leading 15 hexadecimal digits of the MD5 of a row's seed and key; they sort as the number does."""
+    cells = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys]
+    return F.substring(F.md5(F.concat_ws("|", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *cells)), 1, 15)
+
+
 def seeded(seed: int | Column, *keys: str | Column) -> Column:
     """A reproducible pseudo-random number of 60 bits of a row: the leading digits of the MD5 of its seed and key."""
-    cells = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *cells)), 1, 15), 16, 10).cast("long")
+    return F.conv(seeded_digits(seed, *keys), 16, 10).cast("long")
 
 
 def uniform(seed: int, *keys: str | Column) -> Column:

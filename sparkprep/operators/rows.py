@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.core import Order, materialize, need, order_columns, order_value, seeded, with_row_id
+from sparkprep.core import Order, materialize, need, order_columns, order_value, seeded, seeded_digits, with_row_id
 from sparkprep.errors import IndexOutOfBounds, InvalidConfig
 from sparkprep.operators.columns import Transform
 
@@ -96,7 +96,7 @@ def head(df: DataFrame, n: int = 10) -> DataFrame:
 def shuffle(seed: int, key: str | Sequence[str]) -> Transform:
     """Permute the rows by a seeded hash of their key."""
     keys = [key] if isinstance(key, str) else list(key)
-    return lambda df: df.orderBy(seeded(seed, *keys), *keys)
+    return lambda df: df.orderBy(seeded_digits(seed, *keys), *keys)
 
 
 #: Buckets of the seeded hash that a sample's cut-off is looked up in.

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkprep.core import Order, materialize, need, running_totals, seeded, uniform, with_row_id
+from sparkprep.core import Order, materialize, need, running_totals, seeded, seeded_digits, uniform, with_row_id
 from sparkprep.errors import EmptyDataset, InvalidConfig
 
 
@@ -167,7 +167,7 @@ class DataLoader:
         if shuffle and key is None:
             raise InvalidConfig("shuffling needs the name of a key")
         self.df, self.batch_size, self.drop_last, self.prefetch = df, batch_size, drop_last, prefetch
-        self.order = None if not (shuffle or key) else [seeded(seed or 0, key), key] if shuffle else [key]
+        self.order = None if not (shuffle or key) else [seeded_digits(seed or 0, key), key] if shuffle else [key]
 
     def __len__(self) -> int:
         n = self.df.count()
