@@ -201,7 +201,7 @@ def _store(spark: SparkSession, path: str) -> HadoopStorage:
 
 def versions(store: HadoopStorage) -> list[str]:
     """The names of the indexes, the newest last."""
-    return [k for k in store.list("index-") if _INDEX.fullmatch(k)]
+    return [k for k in store.glob("index-*") if _INDEX.fullmatch(k)]
 
 
 def newest(store: HadoopStorage, path: str) -> tuple[Index, bytes]:

@@ -129,6 +129,10 @@ class HadoopStorage:
                 out.append(key)
         return sorted(out)
 
+    def glob(self, pattern: str) -> list[str]:
+        """Names directly below the root; nothing further down is listed."""
+        return sorted(x.getPath().getName() for x in self._fs.globStatus(self._at(pattern)) or ())
+
     def get(self, key: str) -> bytes:
         if not self.exists(key):
             raise NotFound(key)
