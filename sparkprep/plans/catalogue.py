@@ -468,8 +468,8 @@ def ipc_round_trip(spark, d):
 
 @query("SELECT * FROM supplier")
 def container_round_trip(spark, d):
-    data = container.dumps(load(spark, d, "supplier").toArrow(), metadata=container.Metadata(name="supplier"))
-    return spark.createDataFrame(container.loads(data).table)
+    suppliers = load(spark, d, "supplier")
+    return container.unpacked(container.packed(suppliers, 500), suppliers.schema)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 700 OFFSET 900")

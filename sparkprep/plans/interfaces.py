@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkprep import cli, repl, viewer
 from sparkprep.content import BOOK, COURSE, ContentRegistry, documents
-from sparkprep.errors import ChecksumMismatch, LicenseExpired
+from sparkprep.errors import LicenseExpired
 from sparkprep.functions import text as tx
 from sparkprep.operators import columns as co
 from sparkprep.operators import doctests, federated, rows, splits, tensors, values, watermark
@@ -127,14 +127,13 @@ def streamed_batches(spark, d):
     return spark.createDataFrame(sizes, "batch bigint, n bigint")
 
 
-@query("SELECT unnest(['csv', 'json', 'jsonl', 'text', 'tsv', 'unknown']) AS kind, (SELECT count(*) FROM region)::BIGINT AS n")
+@query("SELECT c_custkey, ['csv', 'tsv', 'json', 'jsonl', 'text', 'unknown'][c_custkey % 6 + 1] AS format FROM customer")
 def raw_formats(spark, d):
-    found = {}
-    for r in load(spark, d, "region").collect():
-        for t in (f"a,b\n1,{r.r_name}\n", f"a\tb\n1\t{r.r_name}", json.dumps({"a": r.r_name}), f'{{"a": "{r.r_name}"}}\n{{"a": 2}}', r.r_name, " \n"):
-            kind = raw.detect(t)
-            found[kind] = found.get(kind, 0) + 1
-    return spark.createDataFrame(list(found.items()), "kind string, n bigint")
+    """A text for each customer, in one of six formats."""
+    n = F.col("c_name")
+    forms = (F.format_string("a,b\n1,%s\n", n), F.format_string("a\tb\n1\t%s", n), F.to_json(F.struct(n.alias("a"))), F.format_string('{"a": "%s"}\n{"a": 2}', n), n, F.lit(" \n"))
+    texts = load(spark, d, "customer").select("c_custkey", F.element_at(F.array(*forms), (F.col("c_custkey") % 6 + 1).cast("int")).alias("text"))
+    return raw.detected(texts, "text").drop("text")
 
 
 @query(_NATION)
@@ -208,13 +207,13 @@ def http_ranges(spark, d):
     return spark.createDataFrame(found, "name string, part string, bytes bigint, ranges boolean")
 
 
-@query("SELECT n_name AS path, base64(n_name::BLOB) AS content, sha256(n_name) AS oid, n_nationkey % 2 = 0 AS large FROM nation")
+@query("SELECT s_name || CASE WHEN s_suppkey % 2 = 0 THEN '.parquet' ELSE '.md' END AS path, CASE WHEN s_suppkey % 2 = 1 THEN base64(s_name::BLOB) END AS content, CASE WHEN s_suppkey % 2 = 0 THEN sha256(s_name) END AS stored, CASE WHEN s_suppkey % 2 = 0 THEN length(s_name)::BIGINT END AS size, sha256(s_name) AS oid, s_suppkey % 2 = 0 AS large FROM supplier")
 def hub_commits(spark, d):
-    out = []
-    for r in load(spark, d, "nation").collect():
-        body = json.loads(hub.commit_file("m", r.n_name, r.n_name.encode()).split("\n")[1])["value"]
-        out.append((body["path"], body["content"], hub.sha256(r.n_name.encode()), hub.is_binary(f"{r.n_name}.{'parquet' if r.n_nationkey % 2 == 0 else 'md'}")))
-    return spark.createDataFrame(out, "path string, content string, oid string, large boolean")
+    """A file for each supplier, small ones as base64, large ones by their hash."""
+    name = F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, ".parquet").otherwise(".md"))
+    made = hub.commits(load(spark, d, "supplier").select(name.alias("path"), F.col("s_name").cast("binary").alias("body")), "m", content="body")
+    value = lambda k: F.get_json_object(F.element_at(F.split("commit", "\n"), 2), f"$.value.{k}")
+    return made.select(value("path").alias("path"), value("content").alias("content"), value("oid").alias("stored"), value("size").cast("bigint").alias("size"), "oid", "large")
 
 
 # ------------------------------------------------------------------ columns and rows
@@ -506,34 +505,40 @@ def container_signed(spark, d):
     return spark.createDataFrame(container.loads(data, spark, trusted=keys.public).table)
 
 
-@query("SELECT unnest(['LZ4', 'NONE', 'ZSTD_19', 'ZSTD_3']) AS compression, (SELECT count(*) FROM supplier)::BIGINT AS rows, true AS damage_found")
+@query("SELECT how AS compression, count(*)::BIGINT AS rows, sum(s_suppkey)::BIGINT AS keys, false AS damaged_intact FROM supplier, (SELECT unnest(['LZ4', 'NONE', 'ZSTD_19', 'ZSTD_3']) AS how) GROUP BY how")
 def container_checksums(spark, d):
-    table, out = load(spark, d, "supplier").toArrow(), []
+    """Containers made and read by executors, whole and with one bit changed."""
+    suppliers, out = load(spark, d, "supplier"), None
     for how in container.Compression:
-        data = container.dumps(table, compression=how)
-        broken = data[:60] + bytes([data[60] ^ 1]) + data[61:]
-        try:
-            container.loads(broken)
-            found = False
-        except ChecksumMismatch:
-            found = True
-        out.append((how.name, container.loads(data).table.num_rows, found))
-    return spark.createDataFrame(out, "compression string, rows bigint, damage_found boolean")
-
-
-@query("SELECT r_name AS licensee, (r_regionkey + 1)::BIGINT AS seats, true AS valid, true AS ends FROM region")
+        made = container.packed(suppliers, 64, compression=how)
+        damaged = made.withColumn("container", F.expr("concat(substring(container, 1, 60), unhex(IF(hex(substring(container, 61, 1)) = '00', '01', '00')), substring(container, 62))"))
+        kept = container.intact(damaged).agg(F.bool_or("intact").alias("damaged_intact"))
+        read = container.unpacked(made, suppliers.schema).agg(F.count("*").alias("rows"), F.sum("s_suppkey").cast("bigint").alias("keys"))
+        one = read.withColumn("k", F.lit(1)).join(kept.withColumn("k", F.lit(1)), "k").select(F.lit(how.name).alias("compression"), "rows", "keys", "damaged_intact")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT c_name AS licensee, (c_custkey % 7 + 1)::BIGINT AS seats, (c_custkey % 5 + 1)::BIGINT AS days FROM customer")
 def license_terms(spark, d):
-    out = []
-    for r in load(spark, d, "region").collect():
-        terms = container.License.from_bytes(container.License.issue(r.r_name, days=r.r_regionkey + 1, now=1000, seat_limit=r.r_regionkey + 1, terms=r.r_name.encode()).to_bytes())
-        terms.verify(now=1000 + 86400 * (r.r_regionkey + 1))
-        try:
-            terms.verify(now=1001 + 86400 * (r.r_regionkey + 1))
-            ends = False
-        except LicenseExpired:
-            ends = True
-        out.append((terms.terms.decode(), terms.seat_limit, True, ends))
-    return spark.createDataFrame(out, "licensee string, seats bigint, valid boolean, ends boolean")
+    """A license for each customer; days: the last day on which it is valid."""
+
+    def run(batches):
+        for batch in batches:
+            names, keys, days = batch.column("c_name").to_pylist(), batch.column("c_custkey").to_pylist(), []
+            held = [container.License.from_bytes(container.License.issue(n, days=k % 5 + 1, now=1000, seat_limit=k % 7 + 1, terms=n.encode()).to_bytes()) for n, k in zip(names, keys, strict=True)]
+            for x in held:
+                day = 0
+                try:
+                    while day < 9:
+                        x.verify(now=1000 + 86400 * (day + 1))
+                        day += 1
+                except LicenseExpired:
+                    pass
+                days.append(day)
+            yield pa.RecordBatch.from_arrays([pa.array([x.terms.decode() for x in held]), pa.array([x.seat_limit for x in held], pa.int64()), pa.array(days, pa.int64())], ["licensee", "seats", "days"])
+
+    return load(spark, d, "customer").select("c_name", "c_custkey").mapInArrow(run, "licensee string, seats bigint, days bigint")
 
 
 @query("SELECT * FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS row, o_orderkey FROM orders) WHERE row IN (0, 497, 994)")

@@ -13,12 +13,15 @@ import struct
 import time
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 from enum import IntEnum
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep.errors import ChecksumMismatch, EmptyDataset, FormatError, InvalidConfig, LicenseExpired
 from sparkprep.sources import crypto
@@ -188,5 +191,53 @@ def read_container(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.createDataFrame(loads(bytes(data.content), spark, **options).table)
 
 
+_PACKED = "part long, seq long, n long, container binary"
+
+
+def packed(df: DataFrame, most: int = 65536, kind: DatasetType = DatasetType.TABULAR, compression: Compression = Compression.ZSTD_3) -> DataFrame:
+    """(part, seq, n, container): the rows of df as containers of at most so many rows, each made where its rows are."""
+    schema = df.limit(0).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                table = pa.Table.from_batches([batch.slice(at, most)]).cast(schema)
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (part, seq, table.num_rows)), pa.array([dumps(table, kind, compression)], pa.binary())], ["part", "seq", "n", "container"])
+                seq += 1
+
+    return df.mapInArrow(run, _PACKED)
+
+
+def unpacked(containers: DataFrame, schema: T.StructType, column: str = "container") -> DataFrame:
+    """The rows of a column of containers, which have that schema; a damaged one raises."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield from loads(x.as_py()).table.to_batches()
+
+    return containers.select(column).mapInArrow(run, schema)
+
+
+def intact(containers: DataFrame, column: str = "container") -> DataFrame:
+    """containers with intact: whether its checksum and form are those that were written."""
+
+    def check(data: bytes) -> bool:
+        try:
+            loads(data)
+        except (ChecksumMismatch, FormatError):
+            return False
+        return True
+
+    at, schema = containers.columns.index(column), T.StructType([*containers.schema, T.StructField("intact", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([check(x.as_py()) for x in batch.column(at)], pa.bool_())], schema.names)
+
+    return containers.mapInArrow(run, schema)
+
+
 def content_hash(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("sha256", F.sha2(F.col(column), 256))

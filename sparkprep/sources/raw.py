@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from sparkprep.errors import EmptyDataset, InvalidConfig
 from sparkprep.sources.files import CsvOptions, from_csv_str, from_json_str, from_parquet_bytes
@@ -41,6 +44,17 @@ def detect(text: str, config: RawConfig | None = None) -> str:
     return "tsv" if tabs and tabs >= commas else "csv" if commas else "text"
 
 
+def detected(df: DataFrame, column: str, name: str = "format", config: RawConfig | None = None) -> DataFrame:
+    """df with the format of each text of a column; null texts are unknown."""
+    schema, at = T.StructType([*df.schema, T.StructField(name, T.StringType())]), df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([detect(x or "", config) for x in batch.column(at).to_pylist()], pa.string())], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def parse(spark: SparkSession, text: str, config: RawConfig | None = None) -> DataFrame:
     """A table of the text in the format found; plain text has one column, line."""
     c = config or RawConfig()

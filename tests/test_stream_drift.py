@@ -4,7 +4,6 @@ import datetime
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sparkprep.profile import sketches
 from sparkprep.streaming import drift
