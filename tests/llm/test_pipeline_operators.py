@@ -508,6 +508,44 @@ def test_languages_of_few_documents_have_their_own_thresholds(spark):
     assert len(got) == len(at) == len(set(at.values())) == 4
 
 
+@pytest.fixture(scope="module")
+def many_trusted(spark):
+    """Some 4,500 short documents of the training fold, each with characters of its own."""
+    texts = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain words "), F.md5(F.col("id").cast("string"))).alias("text"), F.lit("en").alias("lang"))
+    return texts.repartition(3).cache()
+
+
+def test_all_trusted_documents_of_the_fold_train(spark, many_trusted):
+    first = many_trusted.filter("pmod(xxhash64(doc_id, 1), 2) = 0")
+    model = PlainKneserNey([r.text for r in first.collect()], quality.ORDER)
+    got = quality.judge(many_trusted, many_trusted.select("doc_id"), extra=["text"])
+    seen = got.join(first.select("doc_id"), "doc_id")
+    assert seen.count() > 4000
+    for r in seen.orderBy(F.desc(F.xxhash64("doc_id"))).limit(40).collect():
+        assert r.bits_per_byte == pytest.approx(model.bits(r.text) / len(r.text), rel=1e-4)
+
+
+@pytest.mark.parametrize("most", [0, 300, 3000])
+def test_a_model_too_large_to_broadcast_scores_alike(spark, corpus, most, monkeypatch):
+    """Also with long texts in pieces, and with repeated ids, rows and nulls."""
+    docs = corpus.unionByName(corpus.limit(3)).unionByName(corpus.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    labels = corpus.filter("doc_id % 3 = 0").select("doc_id")
+    columns = ["doc_id", "lang", "_key", "text", "bits_per_byte", "judged", "threshold", "kept"]
+
+    def judged():
+        return sorted(map(tuple, quality.judge(docs, labels, extra=["_key", "text"]).select(*columns).collect()), key=str)
+
+    want = judged()
+    monkeypatch.setattr(quality, "MODEL_GRAMS", most)
+    monkeypatch.setattr(quality, "COUNT_BYTES", 5000)
+    monkeypatch.setattr(quality, "SCORE_BYTES", 700)
+    got = judged()
+    assert len(got) == docs.count() and [r[:4] for r in got] == [r[:4] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[4] == (pytest.approx(b[4], rel=1e-5) if b[4] is not None else None)
+        assert a[5:7] == pytest.approx(b[5:7], rel=1e-5) and a[7] == b[7]
+
+
 def test_hash_table():
     keys = np.random.default_rng(0).permutation(np.arange(1, 20001, dtype=np.uint64) * np.uint64(8) + np.uint64(3))
     table = quality.hash_table(keys[:10000], np.arange(10000, dtype=np.float32))
